@@ -37,6 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import judged
+
+    return judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .orc_tokens import tokens_written_and_read
 
@@ -50,7 +56,7 @@ def op6_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_orc_tokens, op6_minimum_bin_slack)}
+    return {f.__name__: f for f in (op2_distribution_divergence, op5_orc_tokens, op6_minimum_bin_slack)}
 
 
 def oracle_sql() -> dict[str, str]:
