@@ -55,8 +55,20 @@ def op6_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity_cnn import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .byte_cnn import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_distribution_divergence, op5_orc_tokens, op6_minimum_bin_slack)}
+    return {f.__name__: f for f in (op2_distribution_divergence, op5_orc_tokens, op6_minimum_bin_slack, op7_toxicity_cnn, op10_byte_cnn)}
 
 
 def oracle_sql() -> dict[str, str]:
