@@ -61,6 +61,12 @@ def op7_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .order_minhash import near_duplicate_classes
+
+    return near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_cnn import score_quality
 
@@ -68,7 +74,7 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_distribution_divergence, op5_orc_tokens, op6_minimum_bin_slack, op7_toxicity_cnn, op10_byte_cnn)}
+    return {f.__name__: f for f in (op2_distribution_divergence, op5_orc_tokens, op6_minimum_bin_slack, op7_toxicity_cnn, op9_order_minhash, op10_byte_cnn)}
 
 
 def oracle_sql() -> dict[str, str]:
