@@ -43,6 +43,12 @@ def op2_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .orc_tokens import tokens_written_and_read
 
@@ -74,7 +80,7 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_distribution_divergence, op5_orc_tokens, op6_minimum_bin_slack, op7_toxicity_cnn, op9_order_minhash, op10_byte_cnn)}
+    return {f.__name__: f for f in (op2_distribution_divergence, op3_hidden_markov, op5_orc_tokens, op6_minimum_bin_slack, op7_toxicity_cnn, op9_order_minhash, op10_byte_cnn)}
 
 
 def oracle_sql() -> dict[str, str]:
