@@ -49,6 +49,12 @@ def op3_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fuzzy_lines import drop_lines
+
+    return drop_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op5_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .orc_tokens import tokens_written_and_read
 
@@ -80,7 +86,7 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_distribution_divergence, op3_hidden_markov, op5_orc_tokens, op6_minimum_bin_slack, op7_toxicity_cnn, op9_order_minhash, op10_byte_cnn)}
+    return {f.__name__: f for f in (op2_distribution_divergence, op3_hidden_markov, op4_fuzzy_lines, op5_orc_tokens, op6_minimum_bin_slack, op7_toxicity_cnn, op9_order_minhash, op10_byte_cnn)}
 
 
 def oracle_sql() -> dict[str, str]:
