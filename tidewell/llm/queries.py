@@ -37,6 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_block_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk_blocks import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op2_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import judged
 
@@ -73,6 +79,12 @@ def op7_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .soft_mixing import document_rates
+
+    return document_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("__doc")
+
+
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .order_minhash import near_duplicate_classes
 
@@ -86,8 +98,21 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_distribution_divergence, op3_hidden_markov, op4_fuzzy_lines, op5_orc_tokens, op6_minimum_bin_slack, op7_toxicity_cnn, op9_order_minhash, op10_byte_cnn)}
+    return {f.__name__: f for f in (op1_block_pruning, op2_distribution_divergence, op3_hidden_markov, op4_fuzzy_lines, op5_orc_tokens, op6_minimum_bin_slack, op7_toxicity_cnn, op8_soft_mixing, op9_order_minhash, op10_byte_cnn)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+#: SQL for the operators that it can express.
+ORACLES = {
+    "op1_block_pruning": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(d.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v d ON d.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+}
