@@ -1,17 +1,52 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: quality rules, line deduplication, near-duplicate documents, mixing to target weights, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a DataFrame; all but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm.queries import op6_minimum_bin_slack  # noqa: F401
+from tidewell.llm import divergence, fuzzy_lines, order_minhash, slack_packing, soft_mixing
+from tidewell.llm.common import new_path
+from tidewell.llm.queries import table, tokenizer_path
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep. Verdicts follow the rows by id and a hash of the text, so rows of one id may differ."""
+    return divergence.kept_documents(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.drop_lines(docs).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class."""
+    return order_minhash.one_of_each(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return soft_mixing.mixed_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return slack_packing.pack_documents(docs, tokenizer_path())
+
 
-STAGES: list = []
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
+#: SQL expresses neither the union-find nor the trained mixing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over documents; each result is written in the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            path = new_path(spark, f"stage{k}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
