@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import keep, small_side, written
 
 #: Common words of four languages.
 COMMON_WORDS = {
@@ -64,11 +64,12 @@ def repeated_words(words: Column) -> Column:
 def base_columns(docs: DataFrame) -> DataFrame:
     """doc_id, lang, text, words and the base rules' counts."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text.alias("text"))
+    digest = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text.alias("text"), digest.alias("digest"))
     df = df.withColumn("words", F.filter(F.split("text", SPACE), lambda w: w != ""))
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     return df.select(
-        "doc_id", "lang", "text",
+        "doc_id", "lang", "text", "digest",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -134,8 +135,16 @@ def judged(docs: DataFrame, min_words: int = MIN_WORDS, class_limit: float = CLA
     fit = df.where(~F.col("base_failed") & (F.col("n_words") >= min_words))
     size = max(len(w) for w in [*COMMON_WORDS.values(), OTHER_WORDS]) + 1
     references = fit.groupBy("lang").agg(shares(middle("classes", len(CLASSES) + 1)).alias("class_reference"), shares(F.filter(middle("common", size), lambda v: v.isNotNull())).alias("word_reference"))
-    df = df.join(references, "lang", "left")
+    references = keep(references)
+    df = df.join(small_side(references, references.count()), "lang", "left")
     df = df.withColumn("class_distance", js_distance(F.col("classes"), F.col("class_reference"))).withColumn("word_distance", js_distance(F.col("common"), F.col("word_reference")))
     noise = 1 / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     strange = (F.col("n_words") >= min_words) & ((F.col("class_distance") > class_limit + CLASS_SLACK * noise) | (F.col("word_distance") > word_limit + WORD_SLACK * noise))
     return df.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(strange, F.lit(False))).drop("classes", "common", "class_reference", "word_reference")
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, with their columns. Rejected rows' keys are broadcast up to a size, joined by a shuffle beyond."""
+    gone = keep(judged(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__i"), F.col("digest").alias("__d")).distinct())
+    digest = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
+    return docs.join(small_side(gone, gone.count()), (digest == F.col("__d")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__i")), "left_anti")

@@ -154,7 +154,7 @@ def with_digest(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the text and class_id of each row."""
+    """doc_id, digest of the text, class_id and component (a number of the class) of each row."""
     read = with_digest(docs)
     rows = written(read.mapInArrow(sketched, "doc_id long, digest string, keys array<long>"), "sketches")
     nodes = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys")).withColumn("node", F.monotonically_increasing_id())
@@ -170,5 +170,20 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     component = connected_components(links)
     named = nodes.select("digest", "node", "first_id").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = named.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    named = named.join(classes, "component").select("digest", "class_id")
-    return rows.select("doc_id", "digest").join(named, "digest").select("doc_id", "digest", "class_id")
+    named = named.join(classes, "component").select("digest", "class_id", "component")
+    return rows.select("doc_id", "digest").join(named, "digest").select("doc_id", "digest", "class_id", "component")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of docs for each class, of the class's own id; for a class without ids, one of its rows."""
+    classes = written(near_duplicate_classes(docs), "classes")
+    own = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    heads = own.groupBy("component").agg(F.min("digest").alias("digest"), F.first("class_id").alias("doc_id"))
+    times = own.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+    heads = keep(heads.join(times, heads.doc_id.eqNullSafe(times.doc_id) & (heads.digest == times.digest)).select(heads.doc_id.alias("__i"), heads.digest.alias("__d"), "n"))
+    size = heads.agg(F.count("*").alias("rows"), F.max("n").alias("n")).first()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    kept = docs.join(small_side(heads.drop("n"), size["rows"]), (F.md5(text) == F.col("__d")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__i")))
+    if (size["n"] or 0) > 1:  # rows of equal id and text
+        kept = kept.dropDuplicates(["doc_id", "__d"])
+    return kept.drop("__i", "__d")

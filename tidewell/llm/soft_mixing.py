@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of, written
+from .common import keep, slices, small_side, texts_of, written
 from .convolution import Adam, labelled_sample
 from .words import buffers, coded_words, hash_words
 
@@ -199,8 +199,8 @@ def document_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float]
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """The rows of docs, each as often as its copies say."""
-    rates = document_rates(docs, labels, weights).select(F.col("doc_id").alias("__i"), F.col("__doc").alias("__d"), "copies").distinct()
+    rates = keep(document_rates(docs, labels, weights).select(F.col("doc_id").alias("__i"), F.col("__doc").alias("__d"), F.col("copies").alias("__copies")).where("__copies <> 1").distinct())
     rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__doc", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    joined = rows.join(rates, (F.col("__doc") == F.col("__d")) & F.col("__id").eqNullSafe(F.col("__i")))
-    once = joined.where("copies > 0")
-    return once.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    joined = rows.join(small_side(rates, rates.count()), (F.col("__doc") == F.col("__d")) & F.col("__id").eqNullSafe(F.col("__i")), "left")
+    once = joined.withColumn("__copies", F.coalesce("__copies", F.lit(1).cast("long"))).where("__copies > 0")
+    return once.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
