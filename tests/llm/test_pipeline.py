@@ -8,8 +8,8 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_stages_by_brute_force(spark, tmp_path):
-    from .test_fuzzy_lines import brute
-    from .test_order_minhash import brute_classes
+    from test_fuzzy_lines import brute
+    from test_order_minhash import brute_classes
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
