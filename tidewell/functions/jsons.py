@@ -34,7 +34,7 @@ def string_list(raw: Column) -> Column:
     """A JSON array, or parts between commas, semicolons and line feeds; no blanks."""
     parsed = F.from_json(raw, "array<string>")
     parts = F.coalesce(F.when(F.trim(raw).startswith("["), parsed), F.split(raw, r"[,;，；\n]"))
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def ordered_map(raw: Column) -> Column:

@@ -125,13 +125,13 @@ def safe_filename(name: Column) -> Column:
 
 def split_claims(text: Column) -> Column:
     """Sentences of a claim; the whole where there is only one."""
-    parts = F.filter(F.transform(F.split(text, r"[。！？；!?;]"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, r"[。！？；!?;]"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(parts) >= 2, parts).otherwise(F.array(F.trim(text)))
 
 
 def feedback_sentences(text: Column, least: int = 6) -> Column:
     """Sentences of feedback of at least `least` characters, each with a full stop."""
-    parts = F.filter(F.transform(F.split(text, r"[;.!?\r\n；。！？]"), F.trim), lambda x: F.length(x) >= least)
+    parts = F.filter(F.transform(F.split(text, r"[;.!?\r\n；。！？]"), lambda x: F.trim(x)), lambda x: F.length(x) >= least)
     return F.transform(parts, lambda x: F.concat(x, F.lit(".")))
 
 
@@ -170,5 +170,5 @@ def client_address(forwarded: Column) -> Column:
 
 def numbered_lines(items: Column) -> Column:
     """`1. text` lines of the items that are not blank."""
-    kept = F.filter(F.transform(items, F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
     return F.array_join(F.transform(kept, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
