@@ -89,3 +89,30 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 101), (7, 7)] + [(200, k) for k in range(201, 260)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {got[i] for i in range(31)} == {0} and got[101] == 100 and {got[k] for k in range(200, 260)} == {200}
+
+
+def test_hot_family_of_near_copies(spark):
+    """A family whose members differ from one another more than from its middle, and outliers: as by brute force."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(400)}" for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 260):
+        own = list(base)
+        for _ in range(rng.randrange(1, 8)):
+            own[rng.randrange(len(own))] = f"n{rng.randrange(10_000)}"
+        rows.append((k, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert classes(om.near_duplicate_classes(df)) == brute_classes(rows)
+
+
+def test_common_counts():
+    from tidewell.llm.linking import common_counts
+
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(9000, size=rng.integers(1, 9000))) for _ in range(7)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    got = common_counts(sets)
+    assert all(got[i][j] == want[i][j] for i in range(7) for j in range(i + 1, 7))
+    many = [np.unique(rng.integers(400, size=60)) for _ in range(50)]
+    got = common_counts(many)
+    assert all(got[i][j] == len(np.intersect1d(many[i], many[j])) for i in range(50) for j in range(i + 1, 50))

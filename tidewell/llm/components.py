@@ -12,14 +12,15 @@ def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b); the component is its least node.
 
     A hub's links are combined before the shuffle by the minimum, and joins on a hub may be split, as one side is unique."""
-    both = keep(links.selectExpr("a", "b").union(links.selectExpr("b AS a", "a AS b")).where("a <> b").distinct())
+    both = links.selectExpr("a", "b").union(links.selectExpr("b AS a", "a AS b")).where("a <> b")
+    both = keep(both.distinct())
     labels = keep(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("node"), "label"))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("other"))
-        lower = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "other").alias("label"))
-        lower = keep(lower)
-        root = lower.select(F.col("node").alias("at"), F.col("label").alias("root"))
-        jumped = keep(lower.join(root, lower.label == root["at"]).select("node", F.least("label", "root").alias("label"), (F.col("old") != F.least("label", "root")).alias("moved")))
-        labels = jumped.select("node", "label")
-        if jumped.where("moved").limit(1).count() == 0:
+        root = labels.select(F.col("node").alias("at"), F.col("label").alias("root"))
+        lower = F.least("label", "other", "root")
+        step = labels.join(near, labels.node == near.a).join(root, labels.label == root["at"])
+        step = keep(step.select("node", lower.alias("label"), (lower != F.col("label")).alias("moved")))
+        labels = step.select("node", "label")
+        if step.where("moved").limit(1).count() == 0:
             return labels.withColumnRenamed("label", "component")

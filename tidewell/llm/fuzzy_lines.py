@@ -63,6 +63,28 @@ def with_drops(rows: DataFrame, drops: DataFrame) -> DataFrame:
     return rows.join(side, (F.col("__doc") == F.col("__d")) & F.col("__id").eqNullSafe(F.col("__i")), "left").drop("__i", "__d")
 
 
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the shingles of all lines in order, shingles of each line)."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    padded = np.maximum(size, SHINGLE)
+    starts = np.cumsum(padded) - padded
+    flat = np.zeros(int(padded.sum()), np.uint64)
+    flat[gathered(starts, size)] = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    rolled, width = flat + np.uint64(1), 1
+    while width < SHINGLE:  # SHINGLE is a power of two
+        rolled = rolled[: len(rolled) - width] * np.uint64(pow(0x100000001B3, width, 2**64)) + rolled[width:]
+        width *= 2
+    windows = padded - SHINGLE + 1
+    return mixed(rolled[gathered(starts, windows)]), windows
+
+
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each line."""
+    h, windows = shingle_hashes(lines)
+    ends = np.cumsum(windows)
+    return [np.unique(h[end - n : end]) for end, n in zip(ends, windows)]
+
+
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Band keys of each line that has a word and is not dropped."""
     rng = np.random.default_rng(17)
@@ -79,17 +101,8 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     lines.append(line)
         if not lines:
             continue
-        size = np.fromiter(map(len, lines), np.int64, len(lines))
-        padded = np.maximum(size, SHINGLE)
-        starts = np.cumsum(padded) - padded
-        flat = np.zeros(int(padded.sum()), np.uint64)
-        flat[gathered(starts, size)] = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-        rolled, width = flat + np.uint64(1), 1
-        while width < SHINGLE:  # SHINGLE is a power of two
-            rolled = rolled[: len(rolled) - width] * np.uint64(pow(0x100000001B3, width, 2**64)) + rolled[width:]
-            width *= 2
-        windows = padded - SHINGLE + 1
-        h = (mixed(rolled[gathered(starts, windows)]) >> np.uint64(32)).astype(np.uint32)
+        h, windows = shingle_hashes(lines)
+        h = (h >> np.uint64(32)).astype(np.uint32)
         at = np.cumsum(windows) - windows
         least = np.stack([np.minimum.reduceat(h * f + s, at) for f, s in zip(factors, shifts)], axis=1).astype(np.uint64)
         keys = np.zeros((len(lines), BANDS), np.uint64)
@@ -132,7 +145,7 @@ def fuzzy_drops(docs: DataFrame, dropped: DataFrame) -> DataFrame:
         found = found.select(F.split("__text", "\n").alias("lines"), F.explode("wanted").alias("w")).select(F.col("w.node").alias("node"), F.get("lines", F.col("w.place")).alias("body"))
         return written(found, "bodies").dropDuplicates(["node"])
 
-    links = keep(links_of(lines.select("node", F.explode("keys").alias("key")), bodies_of, verified, LIMIT))
+    links = keep(links_of(lines.select("node", F.explode("keys").alias("key")), bodies_of, verified, shingle_sets, lambda a, b: True, LIMIT))
     component = keep(connected_components(links))
     members = keep(lines.select("__id", "__doc", "place", "node").join(small_side(component, component.count()), "node"))
     firsts = members.groupBy("component").agg(F.min(F.struct("__id", "__doc", "place")).alias("first"))

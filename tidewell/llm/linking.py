@@ -1,26 +1,32 @@
-"""Links between near-equal items from shared keys, without all pairs of a bucket.
+"""Links between near-equal items from shared keys, without a row for each pair of a bucket.
 
-Items with a common key form a bucket. In rounds, each bucket's least node leads: every other member is compared with it exactly, those
-that match leave the bucket with a link to the leader, the others go on to the next round under a new leader. So a bucket of n
-copies costs n comparisons, and a bucket of c different families c rounds over what is left.
+Items with a common key form a bucket. A bucket's leader is its member with most company (the sum of the sizes of its buckets), which in a family of
+copies is near the middle; every other member is compared with it exactly, so a bucket of n copies costs n comparisons. The
+links found are joined to components. Buckets whose members are all in one component are done.
 
-A member y that failed against a leader may still match a member x that passed. Both similarities are 1 minus a metric, so this needs
-similarity(y, leader) >= 1 - 2 (1 - limit) and similarity(x, leader) <= similarity(y, leader) + (1 - limit); such pairs are compared too, unless
-their components are already one. Buckets left after ROUNDS rounds are compared in full: they hold only items that differ from so
-many leaders.
+The members of the other buckets are compared in full, in tiles: sorted by their similarity to the leader and cut into blocks of BLOCK, blocks
+whose similarities differ by more than 1 - limit cannot hold a matching pair (the distance is a metric), the other pairs of blocks are tiles. A
+tile counts common elements by a product of small matrices and gives only the links that join components. So no link is
+lost, no task holds more than two blocks, and rows grow with members times blocks, not with pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep, small_side
 from .components import connected_components
 
-ROUNDS = 4
+BLOCK = 1024
+#: Columns of the incidence matrix that are multiplied at a time.
+COLUMNS = 4096
+#: Elements in this many sets of a tile or more count as frequent.
+OFTEN = 16
 SLIM = 1e-9
 
 
@@ -32,52 +38,110 @@ def compared(pairs: DataFrame, bodies: DataFrame, verify: Callable) -> DataFrame
     return keep(joined.mapInArrow(verify, "a long, b long, similarity double, same boolean"))
 
 
-def leaders(keys: DataFrame) -> tuple[DataFrame, int]:
-    """(key, a): the leader of each bucket of two or more, and how many there are."""
-    found = keep(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a"))
-    return found, found.count()
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements sets i < j share, above the diagonal: elements in many sets by a product of incidence matrices, the others pair by pair."""
+    n = len(sets)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(column, kind="stable")
+    row, times = row[order], times[times > 0]
+    out = np.zeros((n, n), np.float32)
+    often = times >= OFTEN
+    width, per = int(often.sum()), np.repeat(often, times)
+    hot_row, hot_column = row[per], np.repeat(np.arange(width), times[often])
+    for at in range(0, width, COLUMNS):
+        low, high = np.searchsorted(hot_column, (at, at + COLUMNS))
+        x = np.zeros((n, min(COLUMNS, width - at)), np.float32)
+        x[hot_row[low:high], hot_column[low:high] - at] = 1
+        out += x @ x.T
+    starts = np.cumsum(times) - times
+    for size in range(2, OFTEN):
+        first = starts[times == size]
+        if len(first):
+            i, j = np.triu_indices(size, 1)
+            pairs = row[first[:, None] + i] * n + row[first[:, None] + j]
+            out += np.bincount(pairs.ravel(), minlength=n * n).reshape(n, n)
+    return np.triu(out, 1)
 
 
-def links_of(keys: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], verify: Callable, limit: float) -> DataFrame:
-    """(a, b) of matching nodes. `keys` has key and node, read twice; bodies_of(nodes) gives node and body of the nodes that share a key."""
-    lead, n = leaders(keys)
+def joining_links(nodes: list[int], components: list[int], texts: list[str], sets_of: Callable, confirm: Callable, limit: float) -> list[tuple[int, int]]:
+    """Links between members of different components, as many as join them."""
+    parent = {c: c for c in components}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    sets = sets_of(texts)
+    sizes = np.array([len(s) for s in sets])
+    common = common_counts(sets)
+    union = sizes[:, None] + sizes[None] - common
+    own = np.array(components)
+    a, b = np.nonzero((common > 0) & (common >= limit * union - SLIM) & (own[:, None] != own[None]))
+    links = []
+    for i, j in zip(a.tolist(), b.tolist()):
+        if root(components[i]) != root(components[j]) and confirm(texts[i], texts[j]):
+            parent[root(components[i])] = root(components[j])
+            links.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+    return links
+
+
+def tile_links(sets_of: Callable, confirm: Callable, limit: float) -> Callable:
+    """Over rows (key, i, j, node, component, body) sorted by tile."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, nodes, components, texts = None, [], [], []
+
+        def out() -> pa.RecordBatch:
+            links = joining_links(nodes, components, texts, sets_of, confirm, limit) if len(set(components)) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for key, i, j, node, component, body in zip(*[c.to_pylist() for c in batch.columns]):
+                if (key, i, j) != tile:
+                    if nodes:
+                        yield out()
+                    tile, nodes, components, texts = (key, i, j), [], [], []
+                nodes.append(node)
+                components.append(component)
+                texts.append(body or "")
+        if nodes:
+            yield out()
+
+    return found
+
+
+def links_of(keys: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], verify: Callable, sets_of: Callable, confirm: Callable, limit: float) -> DataFrame:
+    """(a, b) of matching nodes, enough to join all that match. `keys` has key and node, read twice; bodies_of(nodes) gives node and body of the
+    nodes that share a key; verify compares pairs (Arrow), sets_of gives sorted elements of texts, confirm decides on two texts of enough similarity."""
     spark = keys.sparkSession
-    if not n:
+    sizes = keep(keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"))
+    count = sizes.count()
+    if not count:
         return spark.createDataFrame([], "a long, b long")
-    members = keep(keys.join(small_side(lead, n), "key").select("key", F.col("node").alias("b"), "a"))
+    members = keep(keys.join(small_side(sizes, count), "key").select("key", "node", "n"))
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    leaders = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("minus"))).alias("lead")).select("key", (-F.col("lead.minus")).alias("a"))
+    members = keep(members.join(small_side(leaders, count), "key").select("key", "a", F.col("node").alias("b"), "n"))
     bodies = bodies_of(members.select(F.col("b").alias("node")).distinct())
-    members = members.where("a <> b")
-    known = compared(members.select("a", "b").distinct(), bodies, verify)
-    passed, missed = [], []
-    for turn in range(1, ROUNDS + 1):
-        told = members.join(known, ["a", "b"])
-        passed.append(told.where("same").select("key", "a", F.col("b").alias("x"), F.col("similarity").alias("sx")))
-        missed.append(told.where(f"NOT same AND similarity >= {1 - 2 * (1 - limit) - SLIM}").select("key", "a", F.col("b").alias("y"), F.col("similarity").alias("sy")))
-        rest = keep(told.where("NOT same").select("key", F.col("b").alias("node")))
-        lead, n = leaders(rest)
-        if not n:
-            break
-        if turn == ROUNDS:
-            left = rest.join(small_side(lead, n), "key").select("key", "node")
-            pairs = left.select("key", F.col("node").alias("a")).join(left.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
-            known = known.union(compared(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), bodies, verify))
-            break
-        members = keep(rest.join(small_side(lead, n), "key").select("key", F.col("node").alias("b"), "a").where("a <> b"))
-        fresh = members.select("a", "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-        known = known.union(compared(fresh, bodies, verify))
-    links = known.where("same").select("a", "b")
-    apart = missed[0]
-    for more in missed[1:]:
-        apart = apart.union(more)
-    apart = keep(apart.distinct())
-    if apart.limit(1).count():
-        through = passed[0]
-        for more in passed[1:]:
-            through = through.union(more)
-        component = connected_components(links)
-        of = lambda name: component.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
-        apart = apart.join(of("y"), "y", "left").withColumn("cy", F.coalesce("cy", "y")).join(of("a").withColumnRenamed("ca", "cl"), "a", "left").where("cl IS NULL OR cy <> cl")
-        pairs = apart.join(through, ["key", "a"]).where(f"sx <= sy + {1 - limit + SLIM}").join(of("x"), "x", "left").where("cx IS NULL OR cx <> cy")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
-        links = links.union(compared(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), bodies, verify).where("same").select("a", "b"))
-    return links
+    told = compared(members.where("a <> b").select("a", "b").distinct(), bodies, verify)
+    links = told.where("same").select("a", "b")
+    component = keep(connected_components(links))
+    of = component.select(F.col("node").alias("b"), "component")
+    placed = members.where("n > 2").join(told.select("a", "b", "similarity"), ["a", "b"], "left").join(of, "b", "left")
+    placed = placed.select("key", F.col("b").alias("node"), F.coalesce("component", "b").alias("component"), F.coalesce("similarity", F.lit(1.0)).alias("s"))
+    placed = keep(placed)
+    mixed = keep(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"))
+    left = mixed.count()
+    if not left:
+        return links
+    w = Window.partitionBy("key").orderBy("s", "node")
+    placed = keep(placed.join(small_side(mixed, left), "key").withColumn("block", F.floor((F.row_number().over(w) - 1) / BLOCK).cast("int")))
+    blocks = placed.groupBy("key", "block").agg(F.min("s").alias("low"), F.max("s").alias("high"))
+    first, second = blocks.selectExpr("key", "block AS i", "high AS hi"), blocks.selectExpr("key", "block AS j", "low AS lo")
+    tiles = first.join(second, "key").where(f"i = j OR (i < j AND lo - hi <= {1 - limit + SLIM})").select("key", "i", "j")
+    rows = placed.join(tiles.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), ["key", "block"]).join(bodies, "node")
+    rows = rows.select("key", "i", "j", "node", "component", "body").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return links.union(keep(rows.mapInArrow(tile_links(sets_of, confirm, limit), "a long, b long")))

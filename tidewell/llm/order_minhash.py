@@ -148,6 +148,20 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similarity), pa.array(same)], names=["a", "b", "similarity", "same"])
 
 
+def kmer_sets(texts: list[str]) -> list[np.ndarray]:
+    """Sorted distinct k-mer hashes of each text."""
+    h, windows, _, _ = kmers(pa.array(texts, pa.string()))
+    ends = np.cumsum(windows)
+    return [np.unique(h[end - n : end]) for end, n in zip(ends, windows)]
+
+
+def aligned(a: str, b: str) -> bool:
+    """Whether a banded alignment of the words of two texts finds an edit similarity of LIMIT."""
+    _, _, codes, counts = kmers(pa.array([a, b], pa.string()))
+    band = int((1 - LIMIT) * counts.max() + 1e-9)
+    return edit_distance_within(codes[: counts[0]], codes[counts[0] :], band) <= band
+
+
 def with_digest(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("digest"), text.alias("text"))
@@ -164,9 +178,11 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     def bodies_of(some: DataFrame) -> DataFrame:
         some = keep(nodes.select("node", "digest", "first_id").join(some, "node"))
         found = read.join(small_side(some, some.count()), (read.digest == some.digest) & read.doc_id.eqNullSafe(some.first_id))
-        return written(found.select("node", F.col("text").alias("body")).dropDuplicates(["node"]) if rows.count() > rows.select("doc_id", "digest").distinct().count() else found.select("node", F.col("text").alias("body")), "bodies")
+        found = written(found.select("node", F.col("text").alias("body")), "bodies")
+        times = found.groupBy("node").count().where("count > 1").limit(1).count()
+        return found.dropDuplicates(["node"]) if times else found  # rows of equal id and text
 
-    links = keep(links_of(keys, bodies_of, verified, LIMIT))
+    links = keep(links_of(keys, bodies_of, verified, kmer_sets, aligned, LIMIT))
     component = connected_components(links)
     named = nodes.select("digest", "node", "first_id").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = named.groupBy("component").agg(F.min("first_id").alias("class_id"))
