@@ -37,6 +37,22 @@ def test_classifier_and_copies(spark):
     assert counts == {i: r["copies"] for i, r in rates.items() if r["copies"]}
 
 
+def test_copies_keep_totals_at_low_rates(spark):
+    """A source of low quality that holds nearly half of the tokens, at a rate of about 0.06."""
+    low = "id % 20 < 9"
+    p = {"clean": f"CASE WHEN {low} THEN 0.01D WHEN id % 20 < 10 THEN 0.02D ELSE 0.98D END", "low": f"CASE WHEN {low} THEN 0.98D ELSE 0.01D END"}
+    p["toxic"] = f"1 - ({p['clean']}) - ({p['low']})"
+    members = spark.range(40000).selectExpr("id AS __id", "xxhash64(id) AS __doc", "cast(100 + id % 7 AS double) AS n", *[f"{e} AS p_{d}" for d, e in p.items()])
+    rated, target, reached = sm.fitted_rates(members)
+    got = rated.withColumn("copies", sm.copies_column())
+    rate = got.where(low.replace("id", "__id")).selectExpr("avg(rate) AS r").first()["r"]
+    assert 0.02 < rate < 0.15
+    sums = got.selectExpr(*[f"sum(copies * n * p_{d}) AS {d}" for d in sm.DOMAINS]).first()
+    for d in sm.DOMAINS:
+        assert abs(sums[d] - reached[d]) < 0.05 * reached[d]
+        assert abs(sums[d] - target[d]) < 0.1 * target[d]
+
+
 def test_odd_rows(spark, odd_documents, no_documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     none = spark.createDataFrame([], labels.schema)

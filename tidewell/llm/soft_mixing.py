@@ -13,7 +13,7 @@ Tokens are words here (runs between white space), one more for each text. The cl
 a few character shares, fitted on a bounded sample of labelled rows (convolution.SAMPLE_ROWS a class of each label).
 
 Nulls: a null or empty text has one token and the probabilities of no words. Without labelled rows all rates are 1. Repeated rows have
-equal rates, but their copies are drawn apart only by their id. An empty table gives no rows. Further columns are untouched; names
+equal rates, but their copies are drawn apart only by their id and text. An empty table gives no rows. Further columns are untouched; names
 beginning with `__` are reserved.
 """
 
@@ -40,8 +40,6 @@ EPOCHS = 8
 STEPS, CLOSE = 40, 1e-3
 #: Weight of staying near 1 against meeting the totals.
 NEAR = 1e-3
-#: Rates this near to a whole number are taken as that number of copies.
-WHOLE = 0.15
 
 
 class Features:
@@ -185,10 +183,10 @@ def memberships(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def copies_column() -> Column:
-    """Whole copies: the rate's whole part, and one more with the probability of the rest, decided by a hash of the id."""
-    draw = F.pmod(F.xxhash64("__id", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
-    near = F.floor(F.col("rate") + 0.5)
-    return F.when(F.abs(F.col("rate") - near) <= WHOLE, near).otherwise(F.floor(F.col("rate")) + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
+    """Whole copies: the rate's whole part, and one more with the probability of the rest, decided by a hash of the id and text; so a document's
+    expected copies are its rate, and domain totals keep to the fit."""
+    draw = F.pmod(F.xxhash64("__id", "__doc", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
+    return (F.floor(F.col("rate")) + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
 
 
 def document_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
