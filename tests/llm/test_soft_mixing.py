@@ -53,6 +53,20 @@ def test_copies_keep_totals_at_low_rates(spark):
         assert abs(sums[d] - target[d]) < 0.1 * target[d]
 
 
+def test_shares_equal_weights_whatever_is_scarce(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, i, float(rng.integers(5, 900)), *map(float, rng.dirichlet([40, 1, 1] if i % 50 > 1 else [1, 12, 1] if i % 50 else [1, 1, 12]))) for i in range(1500)]
+    members = spark.createDataFrame(rows, "__id long, __doc long, n double, p_clean double, p_low double, p_toxic double").repartition(2).cache()
+    for weights in (sm.WEIGHTS, {"clean": 0.4, "low": 0.3, "toxic": 0.3}, {"clean": 0.94, "low": 0.03, "toxic": 0.03}):
+        rated, target, _ = sm.fitted_rates(members, weights)
+        got = rated.collect()
+        totals = {d: sum(r["n"] * r[f"p_{d}"] * r["rate"] for r in got) for d in sm.DOMAINS}
+        assert all(r["rate"] >= 0 for r in got)
+        for d in sm.DOMAINS:
+            assert abs(totals[d] / sum(totals.values()) - weights[d]) < 0.003 * weights[d]
+            assert abs(totals[d] - target[d]) <= 0.002 * target[d]
+
+
 def test_odd_rows(spark, odd_documents, no_documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     none = spark.createDataFrame([], labels.schema)

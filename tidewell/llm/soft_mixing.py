@@ -3,11 +3,12 @@
 A classifier fitted on the labelled table gives each document a probability of each domain (clean, low quality, toxic). The expected
 tokens of a domain are the sum over documents of rate x tokens x probability. Rates, none negative, are fitted by projected-gradient
 least squares: they bring the expected domain totals to their targets and stay as near 1 as that allows. Each step is one aggregation
-over all documents: a document's rate follows from its probabilities and the short history of steps, so a step sends a few numbers to the
+over all documents: a document's rate follows from its probabilities and one number a domain, so a step sends a few numbers to the
 tasks and a few back, and no rate is stored.
 
-The targets: weights say the wished proportions of the domains. The first domain keeps all its expected tokens; another gets its
-weight's proportion of that, but never more than it has, so a mixture repeats no document to fill a domain.
+The targets: weights say the proportions of the domains. The first domain keeps all its expected tokens, and the others get their proportions
+of that; where one has less, its documents get rates above 1, that is, copies. Weights that no rates can meet (a domain in no text, or
+memberships too mixed) come as near as they can, with a warning of targets and totals.
 
 Tokens are words here (runs between white space), one more for each text. The classifier is a softmax regression in numpy over hashed words and
 a few character shares, fitted on a bounded sample of labelled rows (convolution.SAMPLE_ROWS a class of each label).
@@ -19,6 +20,7 @@ beginning with `__` are reserved.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +39,12 @@ WEIGHTS = {"clean": 0.90, "low": 0.05, "toxic": 0.05}
 FEATURES = 1 << 18
 SHARES = 8
 EPOCHS = 8
-STEPS, CLOSE = 40, 1e-3
+#: Steps at most, of which the fit takes a few, and the miss of a domain's target, as a share of it, that is close enough.
+STEPS, CLOSE = 200, 1e-3
 #: Weight of staying near 1 against meeting the totals.
-NEAR = 1e-3
+NEAR = 1e-6
+#: A domain with less than this share of all tokens is in no text.
+ABSENT = 1e-9
 
 
 class Features:
@@ -134,44 +139,73 @@ def domain_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.nda
     return [texts[i] for i in order], codes[order], (weights / weights.mean())[order] if len(weights) else weights
 
 
-def replay(history: list[list[float]], pull: float):
-    def replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def raised(pull: np.ndarray):
+    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = np.stack([batch.column(batch.schema.get_field_index(f"p_{d}")).to_numpy() for d in DOMAINS], axis=1)
-            rate = np.ones(len(p))
-            for step in history:
-                rate = np.maximum(0, rate - p @ np.array(step) - pull * (rate - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*batch.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.maximum(0, 1 + p @ pull))], names=[*batch.schema.names, "rate"])
 
-    return replayed
+    return rated
+
+
+def targets(supply: dict[str, float], weights: dict[str, float], n: float) -> dict[str, float]:
+    """Totals in the proportions of the weights, at which the first domain of any weight keeps its own. A domain that no text has (less than ABSENT
+    of all tokens) can't be had by any rates; it keeps what it has, and the others share the whole."""
+    there = [d for d in DOMAINS if weights[d] > 0 and supply[d] > ABSENT * n]
+    if not there:
+        return dict(supply)
+    whole = supply[there[0]] / weights[there[0]]
+    return {d: weights[d] * whole if d in there or weights[d] <= 0 else supply[d] for d in DOMAINS}
 
 
 def fitted_rates(members: DataFrame, weights: dict[str, float] = WEIGHTS) -> tuple[DataFrame, dict[str, float], dict[str, float]]:
     """members with rate, the targets and the totals reached. `members` is read once a step.
 
-    The loss is sum over domains of (total / target scale - target)^2 / 2 plus NEAR / 2 times the token-weighted mean of (rate - 1)^2; a step is
-    preconditioned by a document's tokens, so all documents of equal probabilities move alike."""
+    The loss is the token-weighted sum of (rate - 1)^2 / 2 plus sum over domains of (total - target)^2 / (2 NEAR scale), the scale being the greater of target and supply. At its least, a rate is
+    max(0, 1 + p . pull), with one number of `pull` a domain; gradient steps on these are scaled by the Gram matrix of the documents whose rate is
+    not 0, and halved until the loss of the dual falls. Steps end when every total is within CLOSE of its target, or at the least loss."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
-    first = members.agg(*[total(F.col("n") * F.col(f"p_{d}")).alias(d) for d in DOMAINS], *[total(F.col("n") * F.col(f"p_{d}") * F.col(f"p_{e}")).alias(f"{d}_{e}") for d in DOMAINS for e in DOMAINS], total("n").alias("n")).first()
-    supply, n = {d: first[d] for d in DOMAINS}, max(first["n"], 1.0)
-    lead = DOMAINS[0]
-    target = {d: supply[d] if d == lead else min(supply[d], weights[d] / weights[lead] * supply[lead]) for d in DOMAINS}
-    scale = np.array([1 / max(supply[d] / n, 1e-6) for d in DOMAINS])  # relative to what a domain has
-    gram = np.array([[first[f"{d}_{e}"] / n for e in DOMAINS] for d in DOMAINS])
-    root = np.sqrt(scale)
-    greatest = float(np.linalg.eigvalsh(root[:, None] * gram * root[None]).max(initial=0)) + NEAR
-    step, history, reached = 1 / greatest, [], dict(supply)
     schema = members.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", rate double"
+    pairs = [(i, j) for i in range(len(DOMAINS)) for j in range(i, len(DOMAINS))]
+    p = lambda i: F.col(f"p_{DOMAINS[i]}")
+    mass = F.col("n") * F.col("rate")
+
+    def summed(rated: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
+        up = F.when(F.col("rate") > 0, F.col("n")).otherwise(0.0)
+        r = rated.agg(total("n"), total(mass * F.col("rate")), *[total(mass * p(i)) for i in range(len(DOMAINS))], *[total(up * p(i) * p(j)) for i, j in pairs]).first()
+        gram = np.zeros((len(DOMAINS), len(DOMAINS)))
+        for (i, j), v in zip(pairs, r[2 + len(DOMAINS) :]):
+            gram[i, j] = gram[j, i] = v
+        return np.array(r[2 : 2 + len(DOMAINS)]), gram, r[1], r[0]
+
+    pull = np.zeros(len(DOMAINS))
     rated = members.withColumn("rate", F.lit(1.0))
+    reached, gram, square, n = summed(rated)
+    target = targets(dict(zip(DOMAINS, reached.tolist())), weights, n)
+    wish = np.array([target[d] for d in DOMAINS])
+    soft = NEAR * np.maximum(np.maximum(wish, reached), ABSENT * max(n, 1.0))
+    loss = lambda square, pull: square / 2 - wish @ pull + soft @ pull**2 / 2
+    least = loss(square, pull)
     for _ in range(STEPS):
-        off = np.array([(reached[d] - target[d]) / n for d in DOMAINS])
-        if np.abs(off * n).max() <= CLOSE * max(1.0, sum(target.values())):
+        if (np.abs(reached - wish) <= CLOSE * np.maximum(wish, ABSENT * n)).all():
+            break
+        slope = reached - wish + soft * pull
+        move = -np.linalg.solve(gram + np.diag(soft), slope)
+        if -slope @ move <= 1e-12 * max(n, 1.0):
+            break
+        size = 1.0
+        while size > 1e-6:
+            to = pull + size * move
+            tried = members.mapInArrow(raised(to), schema)
+            sums = summed(tried)
+            if loss(sums[2], to) <= least + 1e-4 * size * (slope @ move) + 1e-12 * abs(least):
+                break
+            size /= 2
+        else:
             break
-        history.append((step * scale * off).tolist())
-        rated = members.mapInArrow(replay(list(history), step * NEAR), schema)
-        sums = rated.agg(*[total(F.col("n") * F.col(f"p_{d}") * F.col("rate")).alias(d) for d in DOMAINS]).first()
-        reached = {d: sums[d] for d in DOMAINS}
-    return rated, target, reached
+        pull, rated, (reached, gram, square, _) = to, tried, sums
+        least = loss(square, pull)
+    return rated, target, dict(zip(DOMAINS, reached.tolist()))
 
 
 def memberships(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -191,7 +225,11 @@ def copies_column() -> Column:
 
 def document_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """doc_id, __doc, n_tokens, the domain probabilities, rate and copies of each row."""
-    rated, _, _ = fitted_rates(memberships(docs, labels), weights)
+    rated, target, reached = fitted_rates(memberships(docs, labels), weights)
+    whole = sum(weights.values())
+    missed = {d: (target[d], reached[d]) for d in DOMAINS if abs(reached[d] - target[d]) > 2 * CLOSE * target[d] or weights[d] > 0 and abs(reached[d] / max(sum(reached.values()), 1e-9) - weights[d] / whole) > 2 * CLOSE * weights[d] / whole}
+    if missed and sum(reached.values()) > 0:
+        warnings.warn(f"no rates meet the weights {weights}; targets and totals reached: {missed}", stacklevel=2)
     return rated.withColumn("copies", copies_column()).select(F.col("__id").alias("doc_id"), "__doc", F.col("n").cast("long").alias("n_tokens"), *[f"p_{d}" for d in DOMAINS], "rate", "copies")
 
 
