@@ -71,6 +71,19 @@ def test_base_score_and_model(spark):
     assert sum(better) > 0
 
 
+def test_production_rounds_part_states_of_a_dozen_rows(spark, monkeypatch):
+    """A dozen rows of which none is in the first shares of a hash of the ids."""
+    ids = [r["id"] for r in spark.range(200).where("pmod(xxhash64(id, 'share'), 32) >= 4").limit(12).collect()]
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 7} and" for k in range(1, 30))) for i in ids], "doc_id long, text string")
+    models, reads, scorer, counted = [], [], hmm.scorer, hmm.next_model
+    monkeypatch.setattr(hmm, "scorer", lambda m: models.append(m) or scorer(m))
+    monkeypatch.setattr(hmm, "next_model", lambda m, v, coded, share: reads.append(share) or counted(m, v, coded, share))
+    assert hmm.score_texts(docs).count() == 12
+    assert reads and set(reads) == {32}
+    b = models[0].b
+    assert np.abs(b - b[:, :1]).max() > 1e-3
+
+
 def test_odd_rows(odd_documents, no_documents):
     out = hmm.score_texts(odd_documents, rounds=(32,)).collect()
     assert len(out) == 12 and all(np.isfinite(r["score"]) and r["score"] < 0 for r in out)

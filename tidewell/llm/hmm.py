@@ -5,7 +5,7 @@ The hidden Markov model has STATES states over the CLASSES most frequent trainin
 not; within that class a word has its base probability divided by the class's. So the model's tables have a fixed size, while
 counts of all words stay in a distributed table, and the probability of every word is defined.
 
-Training: the first rounds read the texts of a growing hashed share, the last rounds all training texts. Each partition adds up expected
+Training: every round reads all training texts. Each partition adds up expected
 transition and emission counts over its sequences (texts, in segments of SEGMENT tokens; a segment that continues a text starts from the
 continuing-state distribution, which is learnt too), and Spark sums them by word. Emissions are smoothed towards the base. The scores
 are exact: the forward recursion runs over each whole text, without segments.
@@ -30,7 +30,7 @@ from .words import coded_words
 
 STATES, CLASSES, SEGMENT = 16, 60_000, 512
 #: Shares of the training texts (of 32) that each round of Baum-Welch reads.
-ROUNDS = (2, 2, 2, 2, 2, 4, 4, 32, 32)
+ROUNDS = (32,) * 5
 SMOOTH = 4.0
 CODED = "doc_id long, held_out boolean, n_tokens long, ids binary, top_known long, top_score double, rare array<string>, rare_times array<int>, share int"
 
