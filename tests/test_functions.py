@@ -160,3 +160,72 @@ def test_sources(spark, tmp_path):
     assert files.reading_order(blocks).first()["text"] == "head\nleft\nright"
     moves = spark.createDataFrame([("s", 1, "INIT"), ("s", 2, "ASKING"), ("s", 3, "INIT")], "k string, n int, state string")
     assert rows(interview.illegal_moves(moves, "k", "n", "state"), "n", "previous") == [(3, "ASKING")]
+
+
+def test_radar_clamps_before_weighing(spark):
+    from tidewell.functions.scores import radar
+
+    df = spark.createDataFrame([(1, 250, 80, None), (2, -40, 50, 60), (3, None, None, None), (4, 50, 51, 52)], "id int, r int, i int, d int")
+    got = {r["id"]: r for r in df.select("id", *[c.alias(n) for n, c in radar(F.col("r"), F.col("i"), F.col("d")).items()]).collect()}
+    assert (got[1]["resume"], got[1]["potential"], got[1]["skills"]) == (100, 86, 86)  # (25 * 100 + 55 * 80) / 80 = 86.25
+    assert (got[2]["potential"], got[2]["skills"]) == (40, 35)  # 39.5 is rounded up
+    assert (got[3]["potential"], got[3]["skills"], got[3]["demeanor"]) == (0, 0, 0) and got[4]["potential"] == 51
+
+
+def test_merged_paragraphs():
+    from tidewell.operators.documents import cleaned_text, merged_lines
+
+    assert merged_lines(["well-", "known", "words."]) == ["well-known words."]
+    assert merged_lines(["Java 是一种面向对象", "编程语言，它支持", "x", "", "垃圾回收机制。"]) == ["Java 是一种面向对象编程语言，它支持x", "垃圾回收机制。"]
+    assert merged_lines(["It ends.", "It goes on"]) == ["It ends. It goes on"]
+    assert merged_lines(["- one", "- two", "plain", "text", "> quoted", "more"]) == ["- one", "- two", "plain text", "> quoted", "more"]
+    assert cleaned_text("# Big title\ncontent") == "## Big title\ncontent"
+    assert cleaned_text("```\na  b\n```\none\npage 3 of 9\n……\n\nkept") == "```\na  b\n```\none\nkept"
+
+
+def test_boilerplate_kinds(spark):
+    from tidewell.functions.text import strip_boilerplate
+
+    lines = ["body", "版权归某公司所有", "本文档为内部资料", "公司名称：某某", "部门logo", "Copyright 2020", "第 3 页", "body 2"]
+    df = spark.createDataFrame([("\n".join(lines),)], "t string")
+    assert df.select(strip_boilerplate(F.col("t"))).first()[0] == "body\nbody 2"
+
+
+def test_proper_names(spark):
+    df = spark.createDataFrame([("Elisabeth überDieschie Ärztehaus mayor Hamburger2 Dresdener",)], "t string")
+    from tidewell.functions.text import proper_names
+
+    assert df.select(proper_names(F.col("t"))).first()[0] == ["Elisabeth", "Ärztehaus", "Dresdener"]
+
+
+@pytest.mark.parametrize("above", [True, False])
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_threshold_scan_equals_rows(spark, above, inclusive):
+    import operator
+
+    from tidewell.operators.metrics import threshold_scan
+
+    rows_ = [(s / 10, s % 3 == 0) for s in range(11)] + [(None, True), (None, False)]
+    got = {r["t"]: (r["tp"], r["fp"], r["fn"]) for r in threshold_scan(spark.createDataFrame(rows_, "score double, positive boolean"), [0.5, 0.2, 0.9], above, inclusive).collect()}
+    passes = {(True, True): operator.ge, (True, False): operator.gt, (False, True): operator.le, (False, False): operator.lt}[above, inclusive]
+    for t in (0.5, 0.2, 0.9):
+        hit = [s is not None and passes(s, t) for s, _ in rows_]
+        assert got[t] == (sum(h and p for h, (_, p) in zip(hit, rows_)), sum(h and not p for h, (_, p) in zip(hit, rows_)), sum(not h and p for h, (_, p) in zip(hit, rows_)))
+
+
+def test_similar_pairs_by_tiles(spark):
+    import numpy as np
+
+    from tidewell.operators.retrieval import similar_pairs
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    got = {(r["id"], r["other_id"]) for r in similar_pairs(df, 0.7, tile=16).collect()}
+    assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if x[i] @ x[j] >= 0.7} and got
+
+
+def test_greedy_matches_take_the_best_score(spark):
+    pairs = spark.createDataFrame([(1, 1, 1, 0.5), (1, 1, 2, 0.9), (1, 2, 2, 0.8), (1, 2, 1, 0.1)], "sample long, expected long, got long, score double")
+    assert sorted(rows(metrics.greedy_matches(pairs), "expected", "got")) == [(1, 2), (2, 1)]

@@ -1,4 +1,4 @@
-"""Every query of the registry against its SQL, over the smallest tables."""
+"""Every query of the registry against its SQL, over the tables that the comparison of the driver uses."""
 
 import math
 
@@ -7,7 +7,7 @@ import pytest
 
 from tidewell import registry
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -26,16 +26,18 @@ def ten_scale(scores: Sequence[Column]) -> list[Column]:
     return [clamped(F.when(small, s * 10).otherwise(s)) for s in scores]
 
 
-def weighted(parts: Sequence[tuple[float, Column]]) -> Column:
-    """Weighted mean over the parts that are not null, rounded half up; 0 if all are null."""
-    weight = sum((F.when(c.isNotNull(), F.lit(w)).otherwise(0.0) for w, c in parts), F.lit(0.0))
-    total = sum((F.when(c.isNotNull(), F.lit(w) * c).otherwise(0.0) for w, c in parts), F.lit(0.0))
-    return F.when(weight > 0, half_up(total / weight)).otherwise(F.lit(0))
+def weighted(parts: Sequence[tuple[int, Column]]) -> Column:
+    """Weighted mean of scores from 0 to 100 over the parts that are not null, rounded half up; 0 if all are null.
 
+    Scores are clamped before they are weighed; weights are whole numbers, so that halves are exact."""
+    weight = sum((F.when(c.isNotNull(), w).otherwise(0) for w, c in parts), F.lit(0))
+    total = sum((w * clamped(c) for w, c in parts), F.lit(0))
+    return F.when(weight > 0, F.floor(F.try_divide(2 * total + weight, 2 * weight))).otherwise(F.lit(0)).cast("long")
 
-#: Weights of the radar's two compound dimensions.
-POTENTIAL = (0.25, 0.55, 0.20)
-SKILLS = (0.30, 0.70)
+
+#: Weights of the radar's two compound dimensions, in hundredths.
+POTENTIAL = (25, 55, 20)
+SKILLS = (30, 70)
 
 
 def radar(resume: Column, interview: Column, demeanor: Column) -> dict[str, Column]:

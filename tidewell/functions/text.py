@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Marks of page furniture (numbers of pages), boilerplate lines, and characters that carry meaning.
+#: Marks of page furniture (numbers of pages), boilerplate lines (page numbers, rights, disclaimers, internal notices, names and logos),
+#: and characters that carry meaning.
 PAGE_FURNITURE = r"(?i)^(?:第\s*\d+\s*页|page\s*\d+(?:\s*(?:of|/)\s*\d+)?|-{3,}\s*page\s*\d+(?:\s*(?:of|/)\s*\d+)?[\s-]*|页码[:：]\s*\d+|\d{1,4})\s*$"
-BOILERPLATE = r"(?i)^(?:第\s*\d+\s*页|page\s*\d+(?:\s*(?:of|/)\s*\d+)?|(?:版权所有|Copyright|©|All rights reserved)[^。；]*|免责声明[^。；]*)\s*[。；]?\s*$"
+BOILERPLATE = r"(?i)^(?:第\s*\d+\s*页|page\s*\d+(?:\s*(?:of|/)\s*\d+)?|(?:版权所有|版权归[^。；]*所有|Copyright|©|All rights reserved)[^。；]*|免责声明[^。；]*|本文档[^。；]*(?:内部|机密|仅供)[^。；]*|(?:公司|组织|部门)[^。；]*(?:名称|logo)[^。；]*)\s*[。；]?\s*$"
 MEANINGFUL = r"[一-鿿A-Za-z0-9]"
 TITLE_SEPARATOR = " > "
 
@@ -19,6 +20,15 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
+#: SQL of `proper_names`, for a column {0}.
+PROPER_NAMES_SQL = r"list_filter(regexp_split_to_array({0}, '[^\p{{L}}\p{{N}}]+'), lambda x: regexp_matches(x, '^\p{{Lu}}\p{{Ll}}{{7,}}$'))"
+
+
+def proper_names(text: Column) -> Column:
+    """Capitalised words of eight letters or more, which stand for entities; word borders are all but letters and digits of any script."""
+    return F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda x: x.rlike(r"^\p{Lu}\p{Ll}{7,}$"))
+
+
 def cjk_bigrams(text: Column) -> Column:
     """Pairs of neighbouring CJK characters, where no dictionary segments them."""
     return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"([一-鿿]+)"), F.lit(1)), lambda run: F.when(F.length(run) < 2, F.array(run)).otherwise(F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2))))))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import MEANINGFUL, PAGE_FURNITURE
+
 #: Sizes of chunks in characters, and the places to cut at, best first.
 LEAST, PARENT, CHILD, OVERLAP = 50, 4000, 300, 50
 CUTS = ("\n\n", "\n", "。", ".", " ", "")
@@ -111,9 +113,9 @@ def nfkc(text: Column) -> Column:
     return F.pandas_udf(_nfkc, "string")(text)
 
 
-#: Lines that open a block of their own, and marks that end a sentence.
-BLOCK_START = re.compile(r"\s{0,3}(#{1,6}|>|[-*+]\s|\d+[.)]\s|(-{3,}|\*{3,}|_{3,})\s*$)")
-SENTENCE_END = "。！？；.!?;:"
+#: Lines that are blocks of their own, and the characters without spaces between them.
+BLOCK_START = re.compile(r"\s{0,3}(#{1,6}(?:\s|\S)|>\s?|[-*+]\s|\d+[.)]\s|(-{3,}|\*{3,}|_{3,})\s*$|```|~~~)|\s*\|.*\|\s*$|\$\$|\s*\\begin\{[^}]*\}")
+CJK = re.compile("[\u4e00-\u9fff\u3400-\u4dbf]")
 KEPT = re.compile(r"`[^`\n]+`|\$[^$\n]+\$|https?://[^\s<>\"'，。；）)\]]+")
 
 
@@ -153,26 +155,23 @@ def normalised_around(text: str) -> str:
 
 
 def merged_lines(lines: list[str]) -> list[str]:
-    """Lines of a paragraph joined: without a space after a hyphen or between CJK characters, else with one."""
+    """Paragraphs, each joined to one line. Blank lines end a paragraph, and a line that is a block of its own stands alone. Lines are joined
+    without a space after a hyphen, which stays, and where either side is CJK; else with one."""
     out: list[str] = []
-    open_paragraph = False
+    joins = False  # whether the next line may go on with the last
     for line in lines:
         clean = line.strip()
-        if not clean:
-            out.append("")
-            open_paragraph = False
-        elif open_paragraph and not BLOCK_START.match(line):
-            last = out[-1]
-            cjk = re.search(r"[㐀-鿿]$", last) and re.match(r"[㐀-鿿]", clean)
-            out[-1] = last[:-1] + clean if last.endswith("-") and clean[:1].islower() else last + clean if cjk else f"{last} {clean}"
-            open_paragraph = clean[-1] not in SENTENCE_END
-        else:
+        block = bool(BLOCK_START.match(clean))
+        if clean and joins and not block:
+            bare = out[-1].endswith(("-", "－")) or CJK.search(out[-1][-1:] + clean[:1])
+            out[-1] += clean if bare else f" {clean}"
+        elif clean:
             out.append(clean)
-            open_paragraph = not re.match(r"#{1,6}\s", clean) and clean[-1] not in SENTENCE_END
+        joins = bool(clean) and not block
     return out
 
 
-FURNITURE = re.compile(r"(?i)(?:第\s*\d+\s*页|page\s*\d+(?:\s*(?:of|/)\s*\d+)?|-{3,}\s*page\s*\d+(?:\s*(?:of|/)\s*\d+)?[\s-]*|页码[:：]\s*\d+|\d{1,4})\s*$")
+FURNITURE = re.compile(PAGE_FURNITURE)
 
 
 def cleaned_text(text: str | None) -> str | None:
@@ -184,12 +183,13 @@ def cleaned_text(text: str | None) -> str | None:
         if kind in ("code", "math"):
             out += lines
             continue
-        lines = [normalised_around(line) for line in lines if not FURNITURE.match(line.strip())]
+        lines = ["" if FURNITURE.match(line.strip()) else normalised_around(line) for line in lines]
         if kind == "table":
-            out += [line.strip() for line in lines]
+            out += [line.strip() for line in lines if line.strip()]
             continue
-        lines = [line for line in lines if not line.strip() or re.search(r"[一-鿿A-Za-z0-9]", line)]
         for line in merged_lines(lines):
+            if not re.search(MEANINGFUL, line):
+                continue
             heading = re.match(r"#(\s+\S.*)$", line)
             line = f"##{heading[1]}" if heading else line
             if line.startswith("#") and out and out[-1]:
@@ -216,7 +216,7 @@ def normalised(text: Column, most: int | None = None) -> Column:
 
 
 def listing(docs: DataFrame, title: str, id_column: str, page: int = 1, size: int = 10) -> DataFrame:
-    """A page of titles with their first id and row count, in order of title."""
+    """A page of titles with their first id and row count, in order of their first id."""
     grouped = docs.groupBy(title).agg(F.min(id_column).alias("id"), F.count(id_column).alias("chunk_count"))
     return grouped.orderBy("id").offset((page - 1) * size).limit(size)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,10 +38,18 @@ def kappa(rows: DataFrame) -> DataFrame:
     return total.crossJoin(chance).select(F.coalesce("total", F.lit(0)).alias("n"), po.alias("observed"), pe.alias("expected"), F.coalesce(F.when(pe < 1, (po - pe) / (1 - pe)), F.lit(0.0)).alias("kappa"))  # one row each
 
 
-def threshold_scan(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """For each threshold t the counts and metrics of `score < t` as prediction of `positive`; a null score predicts no."""
-    hit = F.coalesce(F.col("score") < F.col("t"), F.lit(False))
-    by = rows.crossJoin(F.broadcast(thresholds)).groupBy("t").agg(F.count_if(hit & F.col("positive")).alias("tp"), F.count_if(hit & ~F.col("positive")).alias("fp"), F.count_if(~hit & F.col("positive")).alias("fn"))
+def threshold_scan(rows: DataFrame, thresholds: Sequence[float], above: bool = False, inclusive: bool = False) -> DataFrame:
+    """For each threshold t the counts and metrics of `score < t` (or > with above, with = if inclusive) as prediction of `positive`; a null score
+    predicts no. Each row is counted once, by the number of thresholds it passes; the scan sums those few counts."""
+    grid = sorted(set(thresholds), reverse=not above)  # a row passes the first ones, or none
+    hit = lambda t: {(True, True): F.col("score") >= t, (True, False): F.col("score") > t, (False, True): F.col("score") <= t, (False, False): F.col("score") < t}[above, inclusive]
+    passed = sum((F.when(hit(F.lit(float(t))), 1).otherwise(0) for t in grid), F.lit(0))
+    cells = rows.groupBy(passed.alias("passed"), F.col("positive").alias("yes")).agg(F.count("*").alias("n"))
+    ts = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(t)).alias("t")) for k, t in enumerate(grid, 1)])).alias("x")
+    by = cells.select("*", ts).select("passed", "yes", "n", "x.*")
+    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    predicted = F.col("passed") >= F.col("k")
+    by = by.groupBy("t").agg(count(predicted & F.col("yes")).alias("tp"), count(predicted & ~F.col("yes")).alias("fp"), count(~predicted & F.col("yes")).alias("fn"))
     p, r, f = prf(F.col("tp"), F.col("fp"), F.col("fn"))
     return by.select("t", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f.alias("f1"))
 
@@ -67,12 +77,12 @@ def ndcg(graded: DataFrame, k: int) -> DataFrame:
 
 
 def greedy_matches(pairs: DataFrame) -> DataFrame:
-    """Per sample, pairs (sample, expected, got, score) matched one to one: in order of expected, each takes its first free match."""
+    """Per sample, pairs (sample, expected, got, score) matched one to one: in order of expected, each takes its free match of the highest score, the first on ties."""
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         taken, out = set(), []
         for expected, own in pdf.sort_values(["expected", "got"]).groupby("expected", sort=True):
-            free = [g for g in own["got"] if g not in taken]
+            free = [g for g in own.sort_values(["score", "got"], ascending=[False, True])["got"] if g not in taken]
             if free:
                 taken.add(free[0])
                 out.append((pdf["sample"].iloc[0], expected, free[0]))

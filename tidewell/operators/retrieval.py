@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..functions.vector import dot
 from ..session import small
 from .fusion import DIGITS, best
 
+#: Queries that may be broadcast to all vectors.
+MOST_QUERIES = 10_000
 #: Published constants of the BM25 formula.
 K1, B = 1.2, 0.75
 
@@ -20,29 +24,78 @@ def postings(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def bm25(queries: DataFrame, index: DataFrame, k: int | None = None, match_all: bool = False) -> DataFrame:
-    """qid, id, score for queries (qid, text) over an index; match_all asks for every term of the query.
-
-    The statistics are aggregates of the index; documents meet queries on terms only. `index` is read three times."""
+    """qid, id, score for queries (qid, text) over a stored index (id, term, tf); match_all asks for every term of the query."""
+    asked = terms_of(queries)
     lengths = index.groupBy("id").agg(F.sum("tf").alias("length"))
+    hits = index.join(small(asked.select("term").distinct()), "term", "left_semi")
+    return scored(hits, lengths, asked, k, match_all)
+
+
+def bm25_of_texts(queries: DataFrame, texts: DataFrame, k: int | None = None, match_all: bool = False) -> DataFrame:
+    """As bm25, over texts (id, text) without an index, in one pass: terms that no query asks for are counted together, by text, before
+    the shuffle, which then holds a row for each text and asked term; lengths, frequencies and hits all read that one exchange."""
+    asked = terms_of(queries)
+    wanted = asked.select("term", F.col("term").alias("own")).distinct()
+    words = texts.select("id", F.explode(tokens(F.col("text"))).alias("term"))
+    counts = words.join(small(wanted), "term", "left").groupBy("id", F.col("own").alias("term")).agg(F.count("*").alias("tf"))
+    lengths = counts.groupBy("id").agg(F.sum("tf").alias("length"))
+    return scored(counts.where(F.col("term").isNotNull()), lengths, asked, k, match_all)
+
+
+def terms_of(queries: DataFrame) -> DataFrame:
+    return queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+
+
+def scored(hits: DataFrame, lengths: DataFrame, asked: DataFrame, k: int | None, match_all: bool) -> DataFrame:
+    """BM25 of hits (id, term, tf) for asked (qid, term); lengths (id, length) are of all texts."""
     totals = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    asked = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    frequency = index.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    hits = index.join(small(asked), "term").join(small(frequency), "term").join(lengths, "id").crossJoin(F.broadcast(totals))  # one row of totals
+    frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
+    found = hits.join(lengths, "id").join(small(asked.join(frequency, "term")), "term").crossJoin(F.broadcast(totals))  # one row of totals
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = hits.groupBy("qid", "id").agg(F.round(F.sum(idf * weight), DIGITS).alias("score"), F.count("*").alias("matched"))
+    out = found.groupBy("qid", "id").agg(F.round(F.sum(idf * weight), DIGITS).alias("score"), F.count("*").alias("matched"))
     if match_all:
         wanted = asked.groupBy("qid").agg(F.count("*").alias("wanted"))
-        scored = scored.join(small(wanted), "qid").where("matched = wanted").drop("wanted")
-    scored = scored.drop("matched")
-    return scored if k is None else best(scored, k)
+        out = out.join(small(wanted), "qid").where("matched = wanted").drop("wanted")
+    out = out.drop("matched")
+    return out if k is None else best(out, k)
+
+
+#: Vectors of a block of `similar_pairs`.
+TILE = 2048
+
+
+def similar_pairs(vectors: DataFrame, least: float, tile: int = TILE) -> DataFrame:
+    """id, other_id, score of all pairs id < other_id of vectors (id, embedding) with an inner product of `least` or more.
+
+    Vectors are dealt to blocks by a hash, and every two blocks meet in one task as matrices, so only pairs found become rows; a task holds two blocks."""
+    n = max(1, -(-vectors.count() // tile))
+    dealt = vectors.where(F.col("embedding").isNotNull()).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tiles = dealt.withColumn("other", other).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", F.col("embedding").cast("array<double>").alias("v"))
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        a, b = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "other_id": [], "score": []})
+        product = np.round(np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T, DIGITS)
+        x, y = a["id"].to_numpy(), b["id"].to_numpy()
+        r, c = np.nonzero(product >= least)
+        keep = (x[r] < y[c]) if i == j else np.ones(len(r), bool)
+        r, c = r[keep], c[keep]
+        return pd.DataFrame({"id": np.minimum(x[r], y[c]), "other_id": np.maximum(x[r], y[c]), "score": product[r, c]})
+
+    return tiles.groupBy("i", "j").applyInPandas(products, "id long, other_id long, score double")
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int | None = None, least: float | None = None) -> DataFrame:
     """qid, id, score: inner products of queries (qid, q) with vectors (id, embedding), the k best and none below `least`.
 
-    Queries are few and are broadcast after a check of their number; many go through the block search of the training-data operators."""
-    scored = vectors.crossJoin(small(queries, 10_000)).select("qid", "id", F.round(dot(F.col("q"), F.col("embedding")), DIGITS).alias("score"))
+    Queries are few and are broadcast; more than MOST_QUERIES are refused, as they would make a product of two large tables."""
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries; use similar_pairs, or ask in parts")
+    scored = vectors.crossJoin(F.broadcast(queries)).select("qid", "id", F.round(dot(F.col("q"), F.col("embedding")), DIGITS).alias("score"))
     if least is not None:
         scored = scored.where(F.col("score") >= least)
     return scored if k is None else best(scored, k)

@@ -38,9 +38,11 @@ def weak_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT user_id, max(CASE WHEN event_type = 'view' THEN CAST(round_even(value, 0) AS INT) END) AS resume, max(CASE WHEN event_type = 'click' THEN CAST(round_even(value, 0) AS INT) END) AS interview, max(CASE WHEN event_type = 'error' AND value > 100 THEN CAST(round_even(value, 0) AS INT) % 100 END) AS demeanor FROM events GROUP BY user_id)
-SELECT user_id, greatest(0, least(100, coalesce(resume, 0))) AS resume, greatest(0, least(100, coalesce(interview, 0))) AS interview, greatest(0, least(100, coalesce(demeanor, 0))) AS demeanor,
-CASE WHEN resume IS NULL AND interview IS NULL AND demeanor IS NULL THEN 0 ELSE CAST(floor((0.25 * coalesce(resume, 0) + 0.55 * coalesce(interview, 0) + 0.2 * coalesce(demeanor, 0)) / (CASE WHEN resume IS NULL THEN 0.0 ELSE 0.25 END + CASE WHEN interview IS NULL THEN 0.0 ELSE 0.55 END + CASE WHEN demeanor IS NULL THEN 0.0 ELSE 0.2 END) + 0.5) AS BIGINT) END AS potential,
-CASE WHEN resume IS NULL AND interview IS NULL THEN 0 ELSE CAST(floor((0.3 * coalesce(resume, 0) + 0.7 * coalesce(interview, 0)) / (CASE WHEN resume IS NULL THEN 0.0 ELSE 0.3 END + CASE WHEN interview IS NULL THEN 0.0 ELSE 0.7 END) + 0.5) AS BIGINT) END AS skills FROM s""")
+SELECT user_id, coalesce(r, 0) AS resume, coalesce(i, 0) AS interview, coalesce(d, 0) AS demeanor,
+coalesce(CAST(floor((2 * (25 * coalesce(r, 0) + 55 * coalesce(i, 0) + 20 * coalesce(d, 0)) + w) / nullif(2 * w, 0)) AS BIGINT), 0) AS potential,
+coalesce(CAST(floor((2 * (30 * coalesce(r, 0) + 70 * coalesce(i, 0)) + v) / nullif(2 * v, 0)) AS BIGINT), 0) AS skills
+FROM (SELECT *, CASE WHEN r IS NULL THEN 0 ELSE 25 END + CASE WHEN i IS NULL THEN 0 ELSE 55 END + CASE WHEN d IS NULL THEN 0 ELSE 20 END AS w, CASE WHEN r IS NULL THEN 0 ELSE 30 END + CASE WHEN i IS NULL THEN 0 ELSE 70 END AS v
+      FROM (SELECT user_id, CASE WHEN resume IS NOT NULL THEN greatest(0, least(100, resume)) END AS r, CASE WHEN interview IS NOT NULL THEN greatest(0, least(100, interview)) END AS i, CASE WHEN demeanor IS NOT NULL THEN greatest(0, least(100, demeanor)) END AS d FROM s))""")
 def radar(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.rint("value").cast("int")
     kind = F.col("event_type")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.vector import dot
 from ..operators import metrics
 from ..registry import query
-from ..session import table
+from ..session import small, table
 
 P_SQL = "p AS (SELECT l.doc_id, lang, quality AS label, CAST(length(text) - length(translate(text, '#*$%&|!', '')) < 20 AS INT) AS prediction, (length(text) - length(translate(text, '#*$%&|!', ''))) / length(text) AS score FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
 
@@ -44,11 +44,7 @@ m AS (SELECT CAST(t AS DOUBLE) AS t, tp, fp, fn, coalesce(tp / nullif(tp + fp, 0
 
 
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = predicted(spark, sf_dir).withColumn("score", -F.col("score"))
-    grid = spark.range(1, 20).select((-F.col("id") / F.lit(100.0)).alias("t"))
-    # a share of at least t is a negated share of at most -t: the scan's strict comparison takes the next number above
-    grid = grid.withColumn("t", F.col("t") + 1e-15)
-    return metrics.threshold_scan(rows, grid).withColumn("t", F.round(-F.col("t"), 2))
+    return metrics.threshold_scan(predicted(spark, sf_dir), [i / 100 for i in range(1, 20)], above=True, inclusive=True)
 
 
 @query(f"WITH {P_SQL}, {SCAN_SQL} SELECT t, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM m")
@@ -70,7 +66,7 @@ def label_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """qid (a label, asked by its first vector), item, grade, rank."""
     e = table(spark, sf_dir, "embeddings")
     asked = e.groupBy(F.col("label").alias("qid")).agg(F.min_by("embedding", "vec_id").alias("q"), F.min("vec_id").alias("own"))
-    scored = e.crossJoin(F.broadcast(asked)).where("vec_id <> own").select("qid", F.col("vec_id").alias("item"), (F.col("label") == F.col("qid")).cast("int").alias("grade"), F.round(dot(F.col("q"), F.col("embedding")), 9).alias("score"))  # a row a label
+    scored = e.crossJoin(small(asked)).where("vec_id <> own").select("qid", F.col("vec_id").alias("item"), (F.col("label") == F.col("qid")).cast("int").alias("grade"), F.round(dot(F.col("q"), F.col("embedding")), 9).alias("score"))  # a row a label
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "item"))).where(F.col("rank") <= k)
 
 

@@ -46,12 +46,11 @@ def stored_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.safe_filename(F.col("url")).alias("name"), F.substring(F.sha2("html", 256), 1, 16).alias("stored"))
 
 
-NAMES_SQL = r"regexp_extract_all({0}, '\b\p{{Lu}}\p{{Ll}}{{7,}}\b')"
-NAMES = r"(\b\p{Lu}\p{Ll}{7,}\b)"
+NAMES_SQL = T.PROPER_NAMES_SQL
 
 
 def names(column: str = "text") -> F.Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(column, F.lit(NAMES), F.lit(1))))
+    return F.array_sort(F.array_distinct(T.proper_names(F.col(column))))
 
 
 @query(f"""WITH m AS (SELECT conv_id, turn, list_sort(list_distinct({NAMES_SQL.format("text")})) AS l FROM conversations), x AS (SELECT conv_id, turn, unnest(l) AS name FROM m)

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
-from ..functions.vector import dot
+from ..functions.text import PROPER_NAMES_SQL, proper_names, tokens
 from ..operators import fusion, retrieval
 from ..registry import query
 from ..session import small, table
@@ -24,17 +23,15 @@ KNN_SQL = """
 knn AS (SELECT b.item_id AS qid, e.vec_id AS id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS score
         FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id CROSS JOIN embeddings e)"""
 TOP = "row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)"
-GRAPH_SQL = """
-ent AS (SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(text, '\\b\\p{Lu}\\p{Ll}{7,}\\b'))) AS name FROM documents),
-qent AS (SELECT item_id AS qid, unnest(list_distinct(regexp_extract_all(text, '\\b\\p{Lu}\\p{Ll}{7,}\\b'))) AS name FROM benchmark),
+GRAPH_SQL = f"""
+ent AS (SELECT doc_id AS id, unnest(list_distinct({PROPER_NAMES_SQL.format("text")})) AS name FROM documents),
+qent AS (SELECT item_id AS qid, unnest(list_distinct({PROPER_NAMES_SQL.format("text")})) AS name FROM benchmark),
 graph AS (SELECT qid, id, CAST(count(DISTINCT name) AS DOUBLE) AS score FROM ent JOIN qent USING (name) GROUP BY qid, id)"""
 CHANNELS_SQL = f"""{BM25_SQL}, {KNN_SQL}, {GRAPH_SQL},
 c AS (SELECT 'fts' AS channel, qid, id, score FROM hit QUALIFY {TOP} <= 50 UNION ALL SELECT 'vector', qid, id, score FROM knn QUALIFY {TOP} <= 50
       UNION ALL SELECT 'graph', qid, id, score FROM graph QUALIFY {TOP} <= 50),
 nrm AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi, row_number() OVER (PARTITION BY qid, channel ORDER BY score DESC, id) AS rnk FROM c WINDOW w AS (PARTITION BY qid, channel)),
 s AS (SELECT *, CASE WHEN hi - lo < 1e-9 THEN 1.0 ELSE (score - lo) / (hi - lo) END AS normalised FROM nrm)"""
-#: Upper-case words of eight letters or more stand for entities.
-ENTITY = r"\b\p{Lu}\p{Ll}{7,}\b"
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,17 +39,17 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fts_hits(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return retrieval.bm25(benchmark_queries(spark, sf_dir), retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", "text"), **options)
+    return retrieval.bm25_of_texts(benchmark_queries(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), **options)
 
 
 def vector_hits(spark: SparkSession, sf_dir: str, k: int | None) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    asked = e.join(F.broadcast(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))), "vec_id").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    asked = e.join(small(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))), "vec_id").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
     return retrieval.nearest(asked, e.select(F.col("vec_id").alias("id"), "embedding"), k)
 
 
 def entities(df: DataFrame, name: str) -> DataFrame:
-    return df.select(F.col(name), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({ENTITY})"), F.lit(1)))).alias("name"))
+    return df.select(F.col(name), F.explode(F.array_distinct(proper_names(F.col("text")))).alias("name"))
 
 
 def graph_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,11 +163,22 @@ def sufficiency_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.withColumn("top_cosine", F.round("top_cosine", 6))
 
 
-@query("""SELECT a.label, a.vec_id AS id, b.vec_id AS other_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
-FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) >= 0.95""")
+PAIRS_SQL = """SELECT a.vec_id AS id, b.vec_id AS other_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) >= {0}"""
+
+
+@query(PAIRS_SQL.format(0.95))
 def knn_threshold_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Semantic duplicates: vectors of one label with a cosine of 0.95 or more."""
-    e = table(spark, sf_dir, "embeddings")
-    a, b = (e.select("label", F.col("vec_id").alias(n), F.col("embedding").alias(f"e_{n}")) for n in ("id", "other_id"))
-    pairs = a.join(b, "label").where("id < other_id").withColumn("score", F.round(dot(F.col("e_id"), F.col("e_other_id")), 9)).where("score >= 0.95")
-    return pairs.select("label", "id", "other_id", F.round("score", 6).alias("score"))
+    """Semantic duplicates: vectors with an inner product of 0.95 or more."""
+    return rounded_pairs(spark, sf_dir, 0.95)
+
+
+@query(PAIRS_SQL.format(0.4))
+def knn_related_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Related vectors: an inner product of 0.4 or more."""
+    return rounded_pairs(spark, sf_dir, 0.4)
+
+
+def rounded_pairs(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return retrieval.similar_pairs(e, least).select("id", "other_id", F.round("score", 6).alias("score"))
