@@ -182,3 +182,98 @@ def numbered_lines(items: Column) -> Column:
     """`1. text` lines of the items that are not blank."""
     kept = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
     return F.array_join(F.transform(kept, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
+
+
+def turn_digest(question: Column, answer: Column, chars: int = 1000) -> Column:
+    """A hash of a question's number and the beginning of its answer."""
+    return F.sha2(F.concat_ws("|", F.coalesce(question, F.lit("")), F.substring(F.coalesce(answer, F.lit("")), 1, chars)), 256)
+
+
+def crawl_filename(url: Column, chars: int = 50) -> Column:
+    """The name of a crawled page: the last part of its path without the query, `page` where there is none."""
+    base = F.regexp_replace(F.substring_index(url, "?", 1), "/+$", "")
+    segment = F.substring_index(base, "/", -1)
+    return F.concat(F.lit("crawl_"), F.substring(F.when(segment == "", "page").otherwise(segment), 1, chars), F.lit(".txt"))
+
+
+#: Words that name nothing, marks between words, and particles of speech.
+STOP_WORDS = (
+    "的 了 是 在 和 有 不 这 我 你 他 她 它 们 那 就 都 也 还 但 而 如果 因为 所以 虽然 或者 什么 怎么 为什么 如何 哪些 哪个 可以 可能 需要 应该 进行 通过 使用 一个 一些 这个 那个 一下 一起 已经 不是 非常 比较 "
+    "the a an is are was were be been being have has had do does did will would could should may might shall can to of in for on with at by from as into about that "
+    "this these those it its not no nor or and but if then else when up out so than"
+).split()
+DELIMITERS = r"[\s，。、；：？！,.:;?!]+"
+PARTICLES = ("哦", "呢", "呀", "啦", "请问", "那个", "嘛", "吧")
+
+
+def candidate_entities(query: Column, most: int = 5) -> Column:
+    """The first words of a query of two characters or more that are no stop words."""
+    stops = F.array(*[F.lit(w) for w in STOP_WORDS])
+    return F.slice(F.filter(F.split(query, DELIMITERS), lambda w: (F.length(w) > 1) & ~F.array_contains(stops, F.lower(w))), 1, most)
+
+
+def without_particles(query: Column) -> Column:
+    out = F.trim(query)
+    for p in PARTICLES:
+        out = F.replace(out, F.lit(p), F.lit(""))
+    return F.trim(out)
+
+
+def bare_fact(text: Column) -> Column:
+    """A fact in lower case without spaces and common punctuation."""
+    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s，。！？、；：\"''（）()【】《》~～]+", ""))
+
+
+def facts_match(predicted: Column, golden: Column, least: float = 0.6) -> Column:
+    """Whether one bare fact holds the other, or their characters overlap: common distinct characters over the longer length."""
+    a, b = bare_fact(predicted), bare_fact(golden)
+    common = F.size(F.array_intersect(F.split(a, ""), F.split(b, "")))
+    share = common / F.greatest(F.length(a), F.length(b), F.lit(1))
+    return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a) | (share >= least))
+
+
+def topic(question: Column, chars: int = 30, missing: str = "未知主题") -> Column:
+    """The beginning of a question, its white space squeezed."""
+    squeezed = F.regexp_replace(F.trim(F.coalesce(question, F.lit(""))), r"\s+", " ")
+    return F.when(squeezed == "", missing).otherwise(F.substring(squeezed, 1, chars))
+
+
+def learning_note(topic_: Column, question: Column, score: Column, total: Column, feedback: Column, session: Column) -> Column:
+    """A note on a weak answer; unknown parts are empty, an unknown total is a question mark."""
+    text = lambda c, missing="": F.coalesce(c.cast("string"), F.lit(missing))
+    lines = (
+        F.concat(F.lit("【待学笔记】"), text(topic_)), F.concat(F.lit("面试问题: "), text(question)), F.concat(F.lit("本题得分: "), text(score), F.lit("/"), text(total, "?")),
+        F.concat(F.lit("面试反馈: "), text(feedback)), F.concat(F.lit("来源会话: "), text(session)),
+    )
+    return F.concat_ws("\n", *lines)
+
+
+def search_address(topic_: Column, template: str) -> Column:
+    """A search address: {query} of the template is the topic, encoded, a space as %20."""
+    before, after = template.split("{query}")
+    return F.concat(F.lit(before), F.replace(F.url_encode(topic_), F.lit("+"), F.lit("%20")), F.lit(after))
+
+
+def sanitised_context(text: Column, chars: int = 2000) -> Column:
+    """Line ends as line feeds, no control characters but tab and line feed, blank lines squeezed, cut."""
+    out = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\r", "\n")
+    out = F.regexp_replace(F.regexp_replace(out, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), r"\n{3,}", "\n\n")
+    return F.substring(F.regexp_replace(out, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), 1, chars)
+
+
+def sentences_with(text: Column, keywords: Column) -> Column:
+    """Sentences, each with its closing mark, that hold a keyword of an array."""
+    sentences = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[。！？!?])"), lambda s: F.trim(s)), lambda s: s != "")
+    words = F.filter(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: F.coalesce(k, F.lit("")) != "")
+    return F.filter(sentences, lambda s: F.exists(words, lambda k: F.contains(s, k)))
+
+
+def image_of_value(area: Column, ocr: Column, judged: Column, least_area: float = 0.05, least_ocr: float = 0.3, least_judged: float = 0.3) -> Column:
+    """Whether an image covers enough of its page, or its text or content scores enough; unknown scores are 0."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return (zero(area) >= least_area) | (zero(ocr) >= least_ocr) | (zero(judged) >= least_judged)
+
+
+def rewritten_with_context(follow_up: Column, terms: Column) -> Column:
+    """A follow-up question with the first known term of the question before, if any."""
+    return F.when(F.size(F.coalesce(terms, F.array().cast("array<string>"))) > 0, F.concat_ws(" ", follow_up, F.get(terms, 0))).otherwise(follow_up)

@@ -73,3 +73,82 @@ def merged_notes(rows: DataFrame, keys: list[str], text: str, order: str) -> Dat
     firsts = rows.groupBy(*keys, text).agg(F.min(order).alias("first_at"), F.max(order).alias("last_at"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("first_at", text))), lambda x: x[text])
     return firsts.groupBy(*keys).agg(F.array_join(parts, "\n").alias("content"), F.count("*").alias("n_contexts"), F.max("last_at").alias("last_at"))
+
+
+def expanded(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """content, score, title, created_at of child hits (qid, content, parent_id, title, abs_cosine, hybrid_score, created_at) by qid: a child stands for its
+    parent (id, content, title, created_at, superseded); superseded parents and empty contents go, each content stays once with its best score."""
+    p = parents.select(F.col("id").alias("parent_id"), F.col("content").alias("p_content"), F.col("title").alias("p_title"), F.col("created_at").alias("p_created_at"), F.coalesce("superseded", F.lit(False)).alias("gone"))
+    joined = children.join(p, "parent_id", "left").where(~F.coalesce("gone", F.lit(False)))
+    known = F.col("gone").isNotNull()
+    score = F.round(F.coalesce("abs_cosine", "hybrid_score", F.lit(0.0)), 4)
+    rows = joined.select("qid", F.when(known, F.col("p_content")).otherwise(F.col("content")).alias("content"), score.alias("score"), F.when(known, F.col("p_title")).otherwise(F.col("title")).alias("title"), F.when(known, F.col("p_created_at")).otherwise(F.col("created_at")).alias("created_at"))
+    best = F.max_by(F.struct("title", "created_at"), F.struct("score", "title")).alias("b")
+    return rows.where(F.coalesce("content", F.lit("")) != "").groupBy("qid", "content").agg(F.max("score").alias("score"), best).select("qid", "content", "score", "b.title", "b.created_at")
+
+
+def merged_duplicates(found: DataFrame) -> DataFrame:
+    """What becomes of new items that match a stored one (id, content, superseded, mentions, new_content, verdict, layer): status and the stored row's new values.
+
+    A superseded row takes nothing (status added); a contradiction supersedes it and the item is added; else the item is appended, unless the row holds it already,
+    and in the short layer the row counts one more mention."""
+    gone = F.coalesce("superseded", F.lit(False))
+    against = F.coalesce(F.col("verdict") == "contradiction", F.lit(False))
+    updates = ~gone & ~against
+    held = F.contains("content", "new_content")
+    short = F.col("layer") == "short"
+    return found.select(
+        "id", F.when(updates, "updated").otherwise("added").alias("status"), (gone | against).alias("superseded"),
+        F.when(updates & ~held, F.concat_ws("\n", "content", "new_content")).otherwise(F.col("content")).alias("content"),
+        F.when(updates & short, F.coalesce("mentions", F.lit(0)) + 1).otherwise(F.col("mentions")).alias("mentions"),
+    )
+
+
+def refreshed(items: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    """Items (id, mentions, last_at) with one more mention and the time for those among ids (id)."""
+    hit = ids.select("id").distinct().withColumn("__hit", F.lit(True))
+    on = F.col("__hit").isNotNull()
+    own = [c for c in items.columns if c not in ("mentions", "last_at")]
+    return items.join(hit, "id", "left").select(*own, F.when(on, F.coalesce("mentions", F.lit(0)) + 1).otherwise(F.col("mentions")).alias("mentions"), F.when(on, now).otherwise(F.col("last_at")).alias("last_at"))
+
+
+def short_duplicates(new: DataFrame, stored: DataFrame, least: float = 0.85) -> DataFrame:
+    """The best match of each new item among hits (id, stored_id, score, superseded) that are not superseded and similar enough; by the lower id on ties."""
+    fit = new.join(stored.where(~F.coalesce("superseded", F.lit(False))).select("stored_id"), "stored_id").where(F.col("score") >= least)
+    return fit.groupBy("id").agg(F.max(F.struct("score", (-F.col("stored_id")).alias("minus"))).alias("b")).select("id", (-F.col("b.minus")).alias("stored_id"), F.col("b.score").alias("score"))
+
+
+def recalled(memories: DataFrame, now: Column, k: int = 5, floor: float = 0.4) -> DataFrame:
+    """The long-term memories (qid, content, score, recalled_at) that answer a query: those above the floor, weakened the longer ago they were recalled, as many as the
+    mean score before that allows."""
+    fit = memories.where(F.col("score") >= floor)
+    mean = fit.groupBy("qid").agg(F.avg("score").alias("mean"))
+    cold = F.coalesce(cold_factor(age_days(F.col("recalled_at"), now)), F.lit(1.0))
+    w = Window.partitionBy("qid").orderBy(F.desc("final"), "content")
+    ranked = fit.join(mean, "qid").withColumn("final", F.round(F.col("score") * cold, 4)).withColumn("rank", F.row_number().over(w))
+    return ranked.where(F.col("rank") <= F.least(F.lit(k), dynamic_k(F.col("mean")))).select("qid", "content", F.col("final").alias("score"), "rank")
+
+
+def recalled_short(memories: DataFrame, now: Column, k: int = 5, floor: float = 0.4) -> DataFrame:
+    """The short-term memories (qid, content, score, kind, mentions, last_at, created_at): as `recalled`, but decayed by age and type and raised by mentions;
+    none older than MOST_DAYS; without any time the score stays."""
+    at = F.coalesce("last_at", "created_at")
+    final = F.when(at.isNull(), F.round("score", 4)).otherwise(decayed(F.col("score"), age_days(at, now), F.col("kind"), F.col("mentions")))
+    fit = memories.where(F.col("score") >= floor).withColumn("final", final).where(F.col("final").isNotNull())
+    mean = fit.groupBy("qid").agg(F.avg("score").alias("mean"))
+    w = Window.partitionBy("qid").orderBy(F.desc("final"), "content")
+    ranked = fit.join(mean, "qid").withColumn("rank", F.row_number().over(w))
+    return ranked.where(F.col("rank") <= F.least(F.lit(k), dynamic_k(F.col("mean")))).select("qid", "content", F.col("final").alias("score"), "rank")
+
+
+#: Types of facts, and the importance from which one is kept.
+KINDS, IMPORTANCE = ("preference", "event", "fact"), 0.6
+
+
+def kept_facts(facts: DataFrame, least: float = IMPORTANCE) -> DataFrame:
+    """Facts (content, importance, kind) with content and enough importance; an unknown type is a fact."""
+    kind = F.lower(F.trim(F.coalesce("kind", F.lit(""))))
+    importance = F.coalesce(F.col("importance").try_cast("double"), F.lit(0.0))
+    content = F.trim(F.coalesce("content", F.lit("")))
+    out = facts.withColumn("content", content).withColumn("importance", importance).withColumn("kind", F.when(kind.isin(*KINDS), kind).otherwise("fact"))
+    return out.where((F.col("content") != "") & (F.col("importance") >= least)).withColumn("importance", F.round("importance", 3))

@@ -89,3 +89,64 @@ def greedy_matches(pairs: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["sample", "expected", "got"])
 
     return pairs.groupBy("sample").applyInPandas(match, "sample long, expected long, got long")
+
+
+def evaluated_and_skipped(questions: DataFrame, golden: str = "golden") -> DataFrame:
+    """How many questions have golden documents (an array), and how many are skipped."""
+    has = F.size(F.coalesce(F.col(golden), F.array().cast("array<string>"))) > 0
+    return questions.agg(F.count_if(has).alias("evaluated"), F.count_if(~has).alias("skipped"))
+
+
+def ablation(scores: DataFrame, base: str, full: str, value: str = "value") -> DataFrame:
+    """metric, the mean of either mode (metric, mode, value) and the gain of the second over the first."""
+    wide = scores.groupBy("metric").pivot("mode", [base, full]).agg(F.avg(value))
+    return wide.select("metric", F.round(base, 6).alias("base"), F.round(full, 6).alias("full"), F.round(F.col(full) - F.col(base), 6).alias("gain"))
+
+
+def overridden(raw: Column, confidence: Column, confirmed: Column, threshold: float, target: str = "knowledge") -> Column:
+    """The final intent: the target where another was given with less confidence than the threshold and the check confirmed it."""
+    return F.when((raw != target) & F.coalesce(confidence < threshold, F.lit(False)) & F.coalesce(confirmed, F.lit(False)), target).otherwise(raw)
+
+
+def override_scan(records: DataFrame, thresholds: Sequence[float], target: str = "knowledge") -> DataFrame:
+    """The scan of the trigger and the final accuracy at each threshold, of records (label, raw, confidence, confirmed)."""
+    samples = records.select(F.when(F.col("raw") != target, F.col("confidence")).alias("score"), ((F.col("label") == target) & (F.col("raw") != target)).alias("positive"))
+    right = [F.round(F.avg((overridden(F.col("raw"), F.col("confidence"), F.col("confirmed"), t, target) == F.col("label")).cast("int")), 4).alias(f"a{k}") for k, t in enumerate(thresholds)]
+    accuracy = records.agg(*right).select(F.explode(F.array(*[F.struct(F.lit(float(t)).alias("t"), F.col(f"a{k}").alias("final_accuracy")) for k, t in enumerate(thresholds)])).alias("x")).select("x.*")
+    return threshold_scan(samples, thresholds).join(accuracy, "t")
+
+
+def gate_scan(records: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """The scan of a gate that takes low scores (top_cosine) for insufficient (sufficient)."""
+    return threshold_scan(records.select(F.col("top_cosine").alias("score"), (~F.col("sufficient")).alias("positive")), thresholds)
+
+
+def variant_metrics(rows: DataFrame, *by: str) -> DataFrame:
+    """accuracy, recall of the false class and kappa of booleans (label, prediction); kappa is 0 for a single class or fewer than two rows."""
+    both = lambda a, b: F.count_if((F.col("label") == a) & (F.col("prediction") == b))
+    c = rows.groupBy(*by).agg(both(True, True).alias("tp"), both(False, False).alias("tn"), both(False, True).alias("fp"), both(True, False).alias("fn"))
+    tp, tn, fp, fn = (F.col(x) for x in ("tp", "tn", "fp", "fn"))
+    n = tp + tn + fp + fn
+    po, pe = safe_ratio(tp + tn, n), safe_ratio((tp + fn) * (tp + fp) + (tn + fp) * (tn + fn), n * n)
+    kappa_ = F.when((n >= 2) & (tp + fn > 0) & (tn + fp > 0) & (pe < 1), (po - pe) / (1 - pe)).otherwise(0.0)
+    return c.select(*by, F.round(po, 4).alias("accuracy"), F.round(safe_ratio(tn, tn + fp), 4).alias("negative_recall"), F.round(kappa_, 4).alias("kappa"))
+
+
+def binary_metrics(rows: DataFrame, *by: str, threshold: float = 0.5) -> DataFrame:
+    """accuracy, precision, recall and f1 of scores (score, positive) at a threshold."""
+    hit, yes = F.col("score") >= threshold, F.col("positive")
+    c = rows.groupBy(*by).agg(F.count_if(hit & yes).alias("tp"), F.count_if(hit & ~yes).alias("fp"), F.count_if(~hit & yes).alias("fn"), F.count_if(~hit & ~yes).alias("tn"))
+    p, r, f = prf(F.col("tp"), F.col("fp"), F.col("fn"))
+    accuracy = safe_ratio(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"))
+    return c.select(*by, *[F.round(x, 4).alias(name) for name, x in (("accuracy", accuracy), ("precision", p), ("recall", r), ("f1", f))])
+
+
+def judge_means(scores: DataFrame, *by: str) -> DataFrame:
+    """Mean faithfulness and relevancy of the answers that were judged, and how many were."""
+    return scores.groupBy(*by).agg(*[F.round(F.avg(c), 4).alias(c) for c in ("faithfulness", "relevancy")], F.count("faithfulness").alias("n_judged"))
+
+
+def subset_means(scores: DataFrame, groups: DataFrame, key: str, group: str, value: str) -> DataFrame:
+    """Mean and number of values by the group that a map (key, group) gives their key; keys without one are `unknown`."""
+    joined = scores.join(groups.select(key, group), key, "left").withColumn(group, F.coalesce(F.col(group).cast("string"), F.lit("unknown")))
+    return joined.groupBy(group).agg(F.round(F.avg(value), 6).alias("mean"), F.count(value).alias("n"))

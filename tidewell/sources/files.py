@@ -1,8 +1,12 @@
-"""Files: formats by name and magic bytes, text of unknown encoding, delimited tables as Markdown, JSON and tab-separated sets."""
+"""Files: formats by name and magic bytes, text of unknown encoding, office files and delimited tables as Markdown, JSON and tab-separated sets."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import io
+import re
+import zipfile
+from collections.abc import Callable, Iterator, Sequence
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,3 +105,91 @@ def reading_order(blocks: DataFrame, middle: str = "middle") -> DataFrame:
     zone = F.when((F.col("x0") < F.col(middle)) & (F.col("x1") > F.col(middle)), 0).when(F.col("x1") <= F.col(middle), 1).otherwise(2)
     ordered = F.array_sort(F.collect_list(F.struct(zone.alias("zone"), "y0", "x0", "text")))
     return blocks.groupBy("page").agg(F.array_join(F.transform(ordered, lambda b: b["text"]), "\n").alias("text"))
+
+
+def zipped_xml(content: bytes, names: Callable[[str], bool]) -> dict[str, ElementTree.Element]:
+    """The parsed members of an office file that are asked for; none if it is no such file."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            return {n: ElementTree.fromstring(archive.read(n)) for n in archive.namelist() if names(n)}
+    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError):
+        return {}
+
+
+def rows_as_markdown(rows: Sequence[Sequence[str]]) -> list[str]:
+    """Lines of a table: all rows as wide as the widest, a rule after the first."""
+    width = max(map(len, rows), default=0)
+    lines = [f"| {' | '.join([*r, *[''] * (width - len(r))])} |" for r in rows]
+    return [*lines[:1], f"| {' | '.join(['---'] * width)} |", *lines[1:]] if lines else []
+
+
+def docx_markdown(content: bytes) -> str:
+    """Paragraphs (headings by their level) and tables of a document in order."""
+    body = zipped_xml(content, lambda n: n == "word/document.xml").get("word/document.xml")
+    if body is None:
+        return ""
+    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    plain = lambda node: "".join(t.text or "" for t in node.iter(f"{w}t")).strip()
+    blocks: list[str] = []
+    for node in body.find(f"{w}body") or []:
+        if node.tag == f"{w}p" and (text := plain(node)):
+            style = node.find(f"{w}pPr/{w}pStyle")
+            level = re.fullmatch(r"(?i)heading\s*(\d)", style.get(f"{w}val", "")) if style is not None else None
+            blocks.append(f"{'#' * min(6, int(level[1]))} {text}" if level else text)
+        elif node.tag == f"{w}tbl":
+            rows = [[plain(cell).replace("\n", " ") for cell in row.findall(f"{w}tc")] for row in node.findall(f"{w}tr")]
+            blocks.append("\n".join(rows_as_markdown([r for r in rows if any(r)])))
+    return "\n\n".join(b for b in blocks if b)
+
+
+def column_number(cell: str) -> int:
+    """0 for A1, 26 for AA7."""
+    n = 0
+    for c in re.match(r"[A-Z]*", cell)[0]:
+        n = 26 * n + ord(c) - 64
+    return n - 1
+
+
+def xlsx_markdown(content: bytes) -> str:
+    """Each sheet as a heading and a table of its rows that are not empty."""
+    parts = zipped_xml(content, lambda n: n in ("xl/workbook.xml", "xl/sharedStrings.xml") or n.startswith("xl/worksheets/sheet"))
+    if "xl/workbook.xml" not in parts:
+        return ""
+    m = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    text = lambda node: "".join(t.text or "" for t in node.iter(f"{m}t"))
+    shared = [text(s) for s in parts["xl/sharedStrings.xml"]] if "xl/sharedStrings.xml" in parts else []
+    names = [s.get("name", "") for s in parts["xl/workbook.xml"].iter(f"{m}sheet")]
+    sheets = sorted((n for n in parts if n.startswith("xl/worksheets/")), key=lambda n: int(re.sub(r"\D", "", n.rpartition("/")[2]) or 0))
+    out = []
+    for name, sheet in zip(names, sheets):
+        rows = []
+        for row in parts[sheet].iter(f"{m}row"):
+            cells: list[str] = []
+            for cell in row.findall(f"{m}c"):
+                at = column_number(cell.get("r", "")) if cell.get("r") else len(cells)
+                value = cell.find(f"{m}v")
+                raw = text(cell) if cell.get("t") == "inlineStr" else (value.text or "") if value is not None else ""
+                cells += [""] * (at + 1 - len(cells))
+                cells[at] = (shared[int(raw)] if cell.get("t") == "s" and raw else raw).strip()
+            if any(cells):
+                rows.append(cells)
+        out.append("\n".join([f"## {name}", *rows_as_markdown(rows)]))
+    return "\n\n".join(out)
+
+
+#: Readers of formats whose bytes are no text.
+READERS = {"docx": docx_markdown, "xlsx": xlsx_markdown}
+
+
+def _read(kinds: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for kind, content in kinds:
+        yield pd.Series([READERS[k](c) if k in READERS and c is not None else None for k, c in zip(kind, content)])
+
+
+def parsed_documents(files: DataFrame) -> DataFrame:
+    """path, format, text of files (path, content): office files by their XML, text formats decoded; other formats have no text."""
+    kind = detected_format(F.col("content"), F.col("path"))
+    told = files.withColumn("format", kind)
+    office = F.pandas_udf(_read, "string")("format", "content")
+    text = F.when(F.col("format").isin(*READERS), office).when(F.col("format").isin("csv", "markdown", "text", "html"), decoded(F.col("content")))
+    return told.select("path", "format", text.alias("text"))
