@@ -57,3 +57,54 @@ def test_odd_rows(odd_documents, no_documents):
     assert by[1][0]["n_dropped"] == 0 and [r["text"] for r in by[2]] == ["", ""] and by[2][0]["n_dropped"] == 2
     assert by[6][0]["n_dropped"] == 0 and by[9][0]["n_dropped"] >= 1
     assert fl.drop_lines(no_documents).count() == 0
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    """Of equal rows one keeps its lines; columns named n_lines and n_dropped come through the stage unchanged."""
+    line = "The quick brown fox jumps over the lazy dog near the quiet old farm"
+    rows = [(5, f"{line}\n\nalone {'x' * 30}", 70, 80)] * 3 + [(6, line, 71, 81), (7, line + "s", 72, 82)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines long, n_dropped long")
+    out = sorted((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in fl.drop_lines_only(df).collect())
+    assert out == [(5, "", 70, 80), (5, "", 70, 80), (5, rows[0][1], 70, 80), (6, "", 71, 81), (7, "", 72, 82)]
+    told = sorted((r["doc_id"], r["n_lines"], r["n_dropped"]) for r in fl.drop_lines(df).collect())
+    assert told == [(5, 2, 0), (5, 2, 2), (5, 2, 2), (6, 1, 1), (7, 1, 1)]
+
+
+def test_recall_of_fuzzy_pairs(spark):
+    """Of pairs of lines at a similarity of 0.8 or more nine in ten at least are found; of equal lines all; of others none."""
+    rng = random.Random(2)
+    rows, alike, other = [], 0, 0
+    for k in range(400):
+        words = [f"{rng.randrange(10**6):06d}" for _ in range(14)]
+        changed = list(words)
+        for j in rng.sample(range(14), rng.randrange(4)):
+            changed[j] = f"{rng.randrange(10**6):06d}"
+        a, b = fl.shingles(" ".join(words)), fl.shingles(" ".join(changed))
+        same = len(a & b) >= 0.8 * len(a | b)
+        alike, other = alike + same, other + (not same)
+        rows += [(2 * k, " ".join(words), same, words == changed), (2 * k + 1, " ".join(changed), same, words == changed)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, same boolean, equal boolean")
+    second = fl.drop_lines(df).where("doc_id % 2 = 1").collect()
+    assert alike > 100 and other > 50
+    assert all(r["n_dropped"] == 1 for r in second if r["equal"]) and not any(r["n_dropped"] for r in second if not r["same"])
+    assert sum(r["n_dropped"] for r in second if r["same"]) >= 0.98 * alike
+
+
+def test_large_buckets_are_compared_in_tiles(spark, monkeypatch):
+    """With tiles far smaller than a bucket the kept lines are those of whole tiles."""
+    from tidewell.llm import linking
+
+    rng = random.Random(9)
+    base = [f"{rng.randrange(10**4):04d}" for _ in range(25)]
+    rows = []
+    for k in range(90):
+        own = list(base)
+        for j in rng.sample(range(25), rng.randrange(1, 4)):
+            own[j] = f"{rng.randrange(10**4):04d}"
+        rows.append((k, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted((r["doc_id"], r["text"]) for r in fl.drop_lines(df).collect())
+    monkeypatch.setattr(linking, "BLOCK", 8)
+    assert sorted((r["doc_id"], r["text"]) for r in fl.drop_lines(df).collect()) == whole
+    want = brute(rows)
+    assert sum(t != want[i] for i, t in whole) <= 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,41 +13,69 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task holds at a time; longer documents are processed one by one.
 SLICE_BYTES = 16 << 20
-#: Rows up to which a table of a few short columns is broadcast; beyond, the same join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes in memory up to which a table is broadcast; beyond, the same join shuffles.
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where it is unset (local tests), a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; only a local session may do without, with a temporary one."""
     context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = context.getCheckpointDir() or tempfile.mkdtemp(prefix="tidewell-")
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tidewell-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(base)
     return base
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage by a compressed Parquet table in the shared folder."""
-    path = new_path(df.sparkSession, name)
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """The rows of df, written as Parquet at path and read again: lineage ends there, and lost executors cost no recomputation."""
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint where the counted rows allow it; else the join shuffles."""
-    return F.broadcast(df) if rows <= limit else df
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage by a compressed Parquet table in the shared folder."""
+    return stored(df, new_path(df.sparkSession, name))
+
+
+class Scratch:
+    """Tables of one run below one folder of the shared folder, each deleted once nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder, self.paths, self.n = spark, new_path(spark, name), {}, 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        table = stored(df, path := f"{self.folder}/{self.n}")
+        self.paths[id(table)] = table, path  # the table is held, so its id stays its own
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that were put; others are left alone."""
+        for table in tables:
+            if found := self.paths.pop(id(table), None):
+                delete(self.spark, found[1])
+
+    def drop_all(self) -> None:
+        self.paths.clear()
+        delete(self.spark, self.folder)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def small_side(df: DataFrame, size: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint where the counted bytes allow it; else the join shuffles."""
+    return F.broadcast(df) if size <= limit else df
 
 
 def bucket_of(doc_id: Column | str, n: int) -> Column:

@@ -6,7 +6,8 @@ either histogram from its language's reference exceeds the limit. Documents with
 method, as short histograms are noise.
 
 Nulls: a null text is empty, and fails the base rules for its few words; a null language is a language of its own. A language without
-a list of common words takes the first words of all lists; one without a document fit for reference rejects none. Repeated rows each
+a list of common words takes the first words of all lists; one without a document fit for reference rejects none. Very long texts are judged
+whole, within one row. Ties: a distance equal to its limit passes; of two middle values the lower is the median. Repeated rows each
 give a row, an empty table none. Columns besides doc_id, text and lang play no part.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, small_side, written
+from .common import small_side, written
 
 #: Common words of four languages.
 COMMON_WORDS = {
@@ -29,6 +30,8 @@ OTHER_WORDS = sorted({w for words in COMMON_WORDS.values() for w in words[:4]})
 CLASSES = [r"\p{Ll}+", r"[\x20\x09-\x0D]+", r"\p{Lu}+", r"\p{Nd}+", r"[.,;:'\"()?-]+", r"\p{L}+"]
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
+#: Bytes of a row in a broadcast table: of the references of a language, of a key.
+REFERENCE_BYTES, KEY_BYTES = 2048, 64
 
 MIN_WORDS = 30
 #: Distances beyond limit + slack / sqrt(n_words) reject: short histograms are noisier.
@@ -135,8 +138,8 @@ def judged(docs: DataFrame, min_words: int = MIN_WORDS, class_limit: float = CLA
     fit = df.where(~F.col("base_failed") & (F.col("n_words") >= min_words))
     size = max(len(w) for w in [*COMMON_WORDS.values(), OTHER_WORDS]) + 1
     references = fit.groupBy("lang").agg(shares(middle("classes", len(CLASSES) + 1)).alias("class_reference"), shares(F.filter(middle("common", size), lambda v: v.isNotNull())).alias("word_reference"))
-    references = keep(references)
-    df = df.join(small_side(references, references.count()), "lang", "left")
+    references = written(references, "references")
+    df = df.join(small_side(references, references.count() * REFERENCE_BYTES), "lang", "left")
     df = df.withColumn("class_distance", js_distance(F.col("classes"), F.col("class_reference"))).withColumn("word_distance", js_distance(F.col("common"), F.col("word_reference")))
     noise = 1 / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     strange = (F.col("n_words") >= min_words) & ((F.col("class_distance") > class_limit + CLASS_SLACK * noise) | (F.col("word_distance") > word_limit + WORD_SLACK * noise))
@@ -145,6 +148,6 @@ def judged(docs: DataFrame, min_words: int = MIN_WORDS, class_limit: float = CLA
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with their columns. Rejected rows' keys are broadcast up to a size, joined by a shuffle beyond."""
-    gone = keep(judged(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__i"), F.col("digest").alias("__d")).distinct())
+    gone = written(judged(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__i"), F.col("digest").alias("__d")).distinct(), "gone")
     digest = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    return docs.join(small_side(gone, gone.count()), (digest == F.col("__d")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__i")), "left_anti")
+    return docs.join(small_side(gone, gone.count() * KEY_BYTES), (digest == F.col("__d")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__i")), "left_anti")

@@ -1,66 +1,67 @@
 """Line deduplication by MinHash: one line of each group of near-equal lines stays, the others go from their documents.
 
-Lines are parts between line feeds; those without a word (blank ones) always stay. Lines equal to an earlier one (in order of doc_id,
-document hash and place) go first, by a hash of the line. Of each remaining line, PERMUTATIONS least hashes of its shingles of SHINGLE
+Lines are parts between line feeds; those without a word (blank ones) always stay. Rows are numbered and written once, and a line is known by
+its row's number and its place. Lines equal to an earlier one (in order of doc_id, row number and place) go first, by a 128-bit hash of the line.
+Of each remaining line, PERMUTATIONS least hashes of its shingles of SHINGLE
 characters form a signature; BANDS bands of ROWS make bucket keys, by which lines of Jaccard similarity LIMIT meet with a probability
 of 0.998 and more similar ones almost surely. Candidates are compared exactly (linking.py) and joined by distributed union-find; the first line of each
 component stays.
 
 Texts move only where they must: keys and ids are shuffled, and only lines with a candidate are read again for the comparison.
-Tables of lines to drop are broadcast up to a size, and joined by a shuffle beyond.
+Tables of lines to drop are broadcast up to a size in bytes, and joined by a shuffle beyond.
 
-Nulls: a null text stays null and has no lines. A null id sorts first. Rows of equal id and text are one document, and are
-treated alike. Lines shorter than a shingle are padded. A document whose lines all go becomes an empty text, and stays. An empty table gives no
-rows. Further columns are untouched; names beginning with `__` are reserved.
+Nulls: a null text stays null and has no lines. A null id sorts first. Repeated rows are rows of their own: the first keeps its lines, the
+others lose them. Ties: of equal ids the lower row number is first. Lines shorter than a shingle are padded; very long lines and texts are processed
+whole. A document whose lines all go becomes an empty text, and stays. An empty table gives no
+rows. Further columns are untouched, also ones named n_lines or n_dropped in `drop_lines_only`; names beginning with `__` are reserved.
 """
-
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import gathered
-from .common import keep, slices, small_side, texts_of, written
-from .components import connected_components
+from .common import Scratch, slices, small_side, texts_of, written
 from .divergence import bound
-from .linking import links_of
+from .linking import jaccard, linked_components
 from .order_minhash import mixed
 
 SHINGLE, BANDS, ROWS, LIMIT = 8, 12, 4, 0.8
 HAS_WORD = r"[^\x20\x09-\x0D]"
-#: Dropped places up to which the table of documents to change is broadcast.
-BROADCAST_PLACES = 4_000_000
+#: Shingles of a step of the signatures, and bytes of the texts sliced before, small enough for the cache of one core.
+STEP, SLICE = 1 << 15, 256 << 10
+#: Bytes of a row with an array in a broadcast table, without its elements, and of a row of numbers.
+ROW_BYTES, NUMBER_BYTES = 64, 40
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """__id, __doc (hash of id and text) and __text of each row."""
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("__doc"), text.alias("__text"))
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with the number __row."""
+    return docs.withColumn("__row", F.monotonically_increasing_id())
 
 
-def exact_drops(docs: DataFrame) -> DataFrame:
-    """(__id, __doc, place) of lines equal to an earlier line."""
-    lines = keyed(docs)
-    lines = lines.select("__id", "__doc", F.posexplode(F.split("__text", "\n")).alias("place", "line")).where(F.col("line").rlike(HAS_WORD))
-    lines = written(lines.select("__id", "__doc", "place", F.unhex(F.md5("line")).alias("digest")), "lines")
-    firsts = keep(lines.groupBy("digest").agg(F.min(F.struct("__id", "__doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))
-    return lines.join(small_side(firsts, firsts.count()), "digest").where(F.struct("__id", "__doc", "place") != F.col("first")).select("__id", "__doc", "place")
+def exact_drops(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(__row, __drop) of lines equal to an earlier line: the row and an array of places."""
+    lines = rows.select(F.col("doc_id").cast("long").alias("id"), F.col("__row"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("place", "line")).where(F.col("line").rlike(HAS_WORD))
+    lines = scratch.put(lines.select("id", "__row", "place", F.unhex(F.md5("line")).alias("digest")))
+    firsts = scratch.put(lines.groupBy("digest").agg(F.min(F.struct("id", "__row", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))
+    later = lines.join(small_side(firsts, firsts.count() * 3 * NUMBER_BYTES), "digest").where(F.struct("id", "__row", "place") != F.col("first"))
+    drops = scratch.put(by_row(later))
+    scratch.drop(lines, firsts)
+    return drops
 
 
-def by_document(places: DataFrame) -> DataFrame:
-    return places.groupBy("__id", "__doc").agg(F.collect_set("place").alias("__drop"))
+def by_row(places: DataFrame) -> DataFrame:
+    return places.groupBy("__row").agg(F.collect_list("place").alias("__drop"))
 
 
 def with_drops(rows: DataFrame, drops: DataFrame) -> DataFrame:
-    """Rows with their document's array of dropped places, null for none."""
+    """Rows with their array of dropped places, null for none."""
     size = drops.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("__drop")), F.lit(0)).alias("places")).first()
-    drops = drops.select(F.col("__id").alias("__i"), F.col("__doc").alias("__d"), "__drop")
-    side = drops if size["places"] > BROADCAST_PLACES else small_side(drops, size["n"])
-    return rows.join(side, (F.col("__doc") == F.col("__d")) & F.col("__id").eqNullSafe(F.col("__i")), "left").drop("__i", "__d")
+    return rows.join(small_side(drops, size["n"] * ROW_BYTES + size["places"] * 4), "__row", "left")
 
 
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,9 +91,9 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rng = np.random.default_rng(17)
     factors, shifts = (rng.integers(2**32, size=BANDS * ROWS, dtype=np.uint64).astype(np.uint32) for _ in range(2))
     factors |= np.uint32(1)
-    for batch in slices(batches, "__text", 2 << 20):
+    for batch in slices(batches, "text", SLICE):
         which, places, lines = [], [], []
-        for i, (text, drop) in enumerate(zip(texts_of(batch, "__text").to_pylist(), batch.column(3).to_pylist())):
+        for i, (text, drop) in enumerate(zip(texts_of(batch).to_pylist(), batch.column(3).to_pylist())):
             gone = set(drop or ())
             for place, line in enumerate(text.split("\n")):
                 if place not in gone and line.strip(" \t\n\x0b\x0c\r"):
@@ -103,15 +104,26 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         h, windows = shingle_hashes(lines)
         h = (h >> np.uint64(32)).astype(np.uint32)
-        at = np.cumsum(windows) - windows
-        least = np.stack([np.minimum.reduceat(h * f + s, at) for f, s in zip(factors, shifts)], axis=1).astype(np.uint64)
+        ends = np.cumsum(windows)
+        least = np.empty((len(lines), BANDS * ROWS), np.uint64)
+        first = 0
+        while first < len(lines):
+            begin = ends[first] - windows[first]
+            last = max(first + 1, int(np.searchsorted(ends, begin + STEP, side="right")))
+            own, at = h[begin : ends[last - 1]], ends[first:last] - windows[first:last] - begin
+            buffer = np.empty_like(own)
+            for k, (f, s) in enumerate(zip(factors, shifts)):
+                np.multiply(own, f, out=buffer)
+                np.add(buffer, s, out=buffer)
+                least[first:last, k] = np.minimum.reduceat(buffer, at)
+            first = last
         keys = np.zeros((len(lines), BANDS), np.uint64)
         for j in range(ROWS):
             keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + least[:, j::ROWS] + np.uint64(1))
         keys = mixed(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
         rows = pa.array(np.array(which))
         lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.array(places, np.int32)), lists], names=["__id", "__doc", "place", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.array(places, np.int32)), lists], names=["id", "__row", "place", "keys"])
 
 
 def shingles(line: str) -> set[str]:
@@ -128,42 +140,59 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             other = shingles(b)
             common = len(own & other)
             similarity[k] = common / (len(own) + len(other) - common)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similarity), pa.array(similarity >= LIMIT)], names=["a", "b", "similarity", "same"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similarity), pa.array(similarity >= LIMIT), batch.column(4)], names=["a", "b", "similarity", "same", "size"])
 
 
-def fuzzy_drops(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """(__id, __doc, place) of lines near-equal to an earlier one, among those not dropped yet (dropped: by document)."""
-    rows = with_drops(keyed(docs), dropped).select("__id", "__doc", "__text", "__drop")
-    lines = rows.mapInArrow(signatures, "__id long, __doc long, place int, keys array<long>")
-    lines = written(lines.withColumn("node", F.xxhash64("__id", "__doc", "place")), "signatures")
+def fuzzy_drops(rows: DataFrame, exact: DataFrame, scratch: Scratch) -> DataFrame:
+    """(__row, place) of lines near-equal to an earlier one, among those that `exact` does not drop."""
+    texts = rows.select(F.col("doc_id").cast("long").alias("id"), "__row", F.col("text").cast("string").alias("text"))
+    lines = with_drops(texts, exact).select("id", "__row", "text", "__drop").mapInArrow(signatures, "id long, __row long, place int, keys array<long>")
+    lines = scratch.put(lines.withColumn("node", F.monotonically_increasing_id()))
 
     def bodies_of(some: DataFrame) -> DataFrame:
-        wanted = keep(lines.select("__id", "__doc", "place", "node").join(small_side(some, some.count()), "node").dropDuplicates(["node"]))
-        wanted = wanted.groupBy(F.col("__id").alias("__i"), F.col("__doc").alias("__d")).agg(F.collect_list(F.struct("place", "node")).alias("wanted"))
-        texts = keyed(docs)
-        found = texts.join(small_side(wanted, wanted.count()), (texts["__doc"] == F.col("__d")) & texts["__id"].eqNullSafe(F.col("__i")))
-        found = found.select(F.split("__text", "\n").alias("lines"), F.explode("wanted").alias("w")).select(F.col("w.node").alias("node"), F.get("lines", F.col("w.place")).alias("body"))
-        return written(found, "bodies").dropDuplicates(["node"])
-
-    links = keep(links_of(lines.select("node", F.explode("keys").alias("key")), bodies_of, verified, shingle_sets, lambda a, b: True, LIMIT))
-    component = keep(connected_components(links))
-    members = keep(lines.select("__id", "__doc", "place", "node").join(small_side(component, component.count()), "node"))
-    firsts = members.groupBy("component").agg(F.min(F.struct("__id", "__doc", "place")).alias("first"))
-    return members.join(firsts, "component").where(F.struct("__id", "__doc", "place") != F.col("first")).select("__id", "__doc", "place")
+        some = scratch.put(some)
+        wanted = lines.select("__row", "place", "node").join(small_side(some, some.count() * NUMBER_BYTES), "node")
+        wanted = scratch.put(wanted.groupBy("__row").agg(F.collect_list(F.struct("place", "node")).alias("wanted")))
+        size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("wanted")), F.lit(0)).alias("lines")).first()
+        found = texts.select("__row", "text").join(small_side(wanted, size["n"] * ROW_BYTES + size["lines"] * NUMBER_BYTES), "__row")
+        found = found.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
+        return scratch.put(found.select(F.col("w.node").alias("node"), F.get("lines", F.col("w.place")).alias("body")))
+
+    keys = lines.select("node", F.explode("keys").alias("key"))
+    component = linked_components(keys, bodies_of, verified, shingle_sets, lambda a, b: True, jaccard, LIMIT, scratch)
+    members = scratch.put(lines.select("id", "__row", "place", "node").join(small_side(component, component.count() * NUMBER_BYTES), "node"))
+    firsts = members.groupBy("component").agg(F.min(F.struct("id", "__row", "place")).alias("first"))
+    return members.join(firsts, "component").where(F.struct("id", "__row", "place") != F.col("first")).select("__row", "place")
+
+
+def dropped(docs: DataFrame) -> DataFrame:
+    """docs with __drop, the places of the lines that go, null for none, and __lines, the number of lines with a word. The table is written before, and read from there."""
+    scratch = Scratch(docs.sparkSession, "lines")
+    rows = written(numbered(docs), "rows")
+    exact = exact_drops(rows, scratch)
+    fuzzy = fuzzy_drops(rows, exact, scratch)
+    drops = written(by_row(exact.select("__row", F.explode("__drop").alias("place")).union(fuzzy)), "drops")
+    scratch.drop_all()
+    lines = F.split(F.col("text").cast("string"), "\n")
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.filter(lines, lambda x: x.rlike(HAS_WORD))))
+    return with_drops(rows, drops).withColumn("__lines", n_lines.cast("long"))
+
+
+def left_text() -> Column:
+    """The text without the lines of __drop."""
+    text = F.col("text").cast("string")
+    staying = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__drop")), lambda i: F.get(x, i))
+    return F.when(F.col("__drop").isNull(), text).otherwise(F.array_join(bound(F.split(text, "\n"), staying), "\n"))
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
-    """The columns of docs with repeated lines taken out of text, then n_lines (with a word, before) and n_dropped."""
-    exact = written(by_document(exact_drops(docs)), "exact")
-    fuzzy = fuzzy_drops(docs, exact)
-    places = exact.select("__id", "__doc", F.explode("__drop").alias("place")).union(fuzzy)
-    drops = written(by_document(places), "drops")
-    text = F.col("text").cast("string")
-    rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__doc", F.xxhash64(F.col("doc_id").cast("long"), text))
-    rows = with_drops(rows, drops)
-    lines = F.split(text, "\n")
-    staying = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__drop")), lambda i: F.get(x, i))
-    left = F.when(F.col("__drop").isNull(), text).otherwise(F.array_join(bound(lines, staying), "\n"))
-    n_lines = F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(HAS_WORD))), F.lit(0))
-    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(n_lines)
-    return rows.select(*[left.alias("text") if c == "text" else F.col(c) for c in docs.columns], n_lines.cast("long").alias("n_lines"), F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("long").alias("n_dropped"))
+    """The columns of docs but n_lines and n_dropped with repeated lines taken out of text, then n_lines (with a word, before) and n_dropped."""
+    rows = dropped(docs)
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    n_dropped = F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("long")
+    return rows.select(*[left_text().alias("text") if c == "text" else F.col(c) for c in own], F.col("__lines").alias("n_lines"), n_dropped.alias("n_dropped"))
+
+
+def drop_lines_only(docs: DataFrame) -> DataFrame:
+    """The columns of docs, whatever their names, with repeated lines taken out of text."""
+    return dropped(docs).select(*[left_text().alias("text") if c == "text" else F.col(c) for c in docs.columns])

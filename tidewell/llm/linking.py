@@ -1,13 +1,16 @@
 """Links between near-equal items from shared keys, without a row for each pair of a bucket.
 
-Items with a common key form a bucket. A bucket's leader is its member with most company (the sum of the sizes of its buckets), which in a family of
-copies is near the middle; every other member is compared with it exactly, so a bucket of n copies costs n comparisons. The
-links found are joined to components. Buckets whose members are all in one component are done.
-
-The members of the other buckets are compared in full, in tiles: sorted by their similarity to the leader and cut into blocks of BLOCK, blocks
-whose similarities differ by more than 1 - limit cannot hold a matching pair (the distance is a metric), the other pairs of blocks are tiles. A
-tile counts common elements by a product of small matrices and gives only the links that join components. So no link is
-lost, no task holds more than two blocks, and rows grow with members times blocks, not with pairs.
+Items with a common key form a bucket; of buckets with the same members one stays. A bucket's leader is its member with most company (the
+sum of the sizes of its buckets), which in a family of copies is near the middle; every other member is compared with it exactly, so a bucket
+of n copies costs n comparisons. The links found are joined to components. Buckets whose members are all in one component are done.
+
+The members of the other buckets are compared in full, one of at most BLOCK members and BLOCK_BYTES bytes at once. In larger ones, those of the bucket's
+largest component are not compared among themselves. Similarities must come
+from a metric (1 - similarity), so members whose similarities to the leader differ by more than 1 - limit cannot match: members are dealt by
+that similarity into bins of BIN, and a bin by hashes into blocks of about BLOCK members or BLOCK_BYTES bytes. Two blocks whose bins may match are a tile.
+A tile counts common elements by a product of small matrices and gives only the links that join components. So no link is lost, no task
+holds more than a few blocks, and a block, not a member, is the row that meets others. A block is found by counting and hashing alone; no bucket is
+ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -19,23 +22,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, small_side
+from .common import Scratch, small_side
 from .components import connected_components
 
-BLOCK = 1024
+BLOCK, BLOCK_BYTES, BIN = 1024, 8 << 20, 0.04
+#: Tiles, of two blocks each, that a Python task holds at a time.
+TILES = 8
 #: Columns of the incidence matrix that are multiplied at a time.
 COLUMNS = 4096
 #: Elements in this many sets of a tile or more count as frequent.
 OFTEN = 16
 SLIM = 1e-9
+#: Bytes of a row of two numbers in a broadcast table.
+PAIR_BYTES = 40
 
 
 def compared(pairs: DataFrame, bodies: DataFrame, verify: Callable) -> DataFrame:
-    """(a, b, similarity, same) of pairs; `bodies` has node and body, `verify` maps Arrow batches of a, b, body_a, body_b."""
+    """(a, b, similarity, same, size of b's body) of pairs; `bodies` has node and body, `verify` maps Arrow batches of a, b, body_a, body_b, size."""
     left = bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b"))
     right = bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a"))
-    joined = pairs.join(left, "b").join(right, "a").select("a", "b", "body_a", "body_b")
-    return keep(joined.mapInArrow(verify, "a long, b long, similarity double, same boolean"))
+    joined = pairs.join(left, "b").join(right, "a").select("a", "b", "body_a", "body_b", F.octet_length("body_b").cast("long").alias("size"))
+    return joined.mapInArrow(verify, "a long, b long, similarity double, same boolean, size long")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -64,8 +71,18 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return np.triu(out, 1)
 
 
-def joining_links(nodes: list[int], components: list[int], texts: list[str], sets_of: Callable, confirm: Callable, limit: float) -> list[tuple[int, int]]:
-    """Links between members of different components, as many as join them."""
+def jaccard(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Common elements over all elements of two sets."""
+    return common / np.maximum(a + b - common, 1)
+
+
+def of_larger(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Common elements over those of the larger set; 1 minus this is a metric too."""
+    return common / np.maximum(np.maximum(a, b), 1)
+
+
+def joining_links(components: list[int], texts: list[str], sets_of: Callable, confirm: Callable, measure: Callable, limit: float) -> list[tuple[int, int]]:
+    """Pairs of components with members that match, as many as join them, the likest first."""
     parent = {c: c for c in components}
 
     def root(c: int) -> int:
@@ -76,72 +93,97 @@ def joining_links(nodes: list[int], components: list[int], texts: list[str], set
 
     sets = sets_of(texts)
     sizes = np.array([len(s) for s in sets])
-    common = common_counts(sets)
-    union = sizes[:, None] + sizes[None] - common
+    similarity = measure(common_counts(sets), sizes[:, None], sizes[None])
     own = np.array(components)
-    a, b = np.nonzero((common > 0) & (common >= limit * union - SLIM) & (own[:, None] != own[None]))
+    a, b = np.nonzero(np.triu(similarity >= limit - SLIM, 1) & (own[:, None] != own[None]))
+    order = np.argsort(-similarity[a, b], kind="stable")
     links = []
-    for i, j in zip(a.tolist(), b.tolist()):
+    for i, j in zip(a[order].tolist(), b[order].tolist()):
         if root(components[i]) != root(components[j]) and confirm(texts[i], texts[j]):
             parent[root(components[i])] = root(components[j])
-            links.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+            links.append((components[i], components[j]))
     return links
 
 
-def tile_links(sets_of: Callable, confirm: Callable, limit: float) -> Callable:
-    """Over rows (key, i, j, node, component, body) sorted by tile."""
+def tile_links(sets_of: Callable, confirm: Callable, measure: Callable, limit: float) -> Callable:
+    """Over tiles, rows of the members (component, body) of one block, and of another, or null for a block with itself."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, nodes, components, texts = None, [], [], []
-
-        def out() -> pa.RecordBatch:
-            links = joining_links(nodes, components, texts, sets_of, confirm, limit) if len(set(components)) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
-
         for batch in batches:
-            for key, i, j, node, component, body in zip(*[c.to_pylist() for c in batch.columns]):
-                if (key, i, j) != tile:
-                    if nodes:
-                        yield out()
-                    tile, nodes, components, texts = (key, i, j), [], [], []
-                nodes.append(node)
-                components.append(component)
-                texts.append(body or "")
-        if nodes:
-            yield out()
+            links: list[tuple[int, int]] = []
+            for one, other in zip(batch.column(0), batch.column(1)):
+                members = one.as_py() + (other.as_py() or [])
+                components = [m["component"] for m in members]
+                if len(set(components)) > 1:
+                    links += joining_links(components, [m["body"] or "" for m in members], sets_of, confirm, measure, limit)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
     return found
 
 
-def links_of(keys: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], verify: Callable, sets_of: Callable, confirm: Callable, limit: float) -> DataFrame:
-    """(a, b) of matching nodes, enough to join all that match. `keys` has key and node, read twice; bodies_of(nodes) gives node and body of the
-    nodes that share a key; verify compares pairs (Arrow), sets_of gives sorted elements of texts, confirm decides on two texts of enough similarity."""
-    spark = keys.sparkSession
-    sizes = keep(keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"))
-    count = sizes.count()
-    if not count:
-        return spark.createDataFrame([], "a long, b long")
-    members = keep(keys.join(small_side(sizes, count), "key").select("key", "node", "n"))
-    company = members.groupBy("node").agg(F.sum("n").alias("company"))
-    leaders = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("minus"))).alias("lead")).select("key", (-F.col("lead.minus")).alias("a"))
-    members = keep(members.join(small_side(leaders, count), "key").select("key", "a", F.col("node").alias("b"), "n"))
-    bodies = bodies_of(members.select(F.col("b").alias("node")).distinct())
-    told = compared(members.where("a <> b").select("a", "b").distinct(), bodies, verify)
+def shared_keys(keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, node, n) of the keys that two or more nodes have, one key for each set of nodes; n is their number. `keys` is read twice."""
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = scratch.put(keys.join(sizes, "key").select("key", "node", "n"))  # sizes grow with the input: a shuffle, whatever their number
+    marks = members.groupBy("key", "n").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    marks = scratch.put(marks.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"))
+    out = scratch.put(members.join(small_side(marks, marks.count() * PAIR_BYTES), "key"))
+    scratch.drop(members, marks)
+    return out
+
+
+def in_small_batches(scratch: Scratch, tiles: DataFrame, found: Callable) -> DataFrame:
+    """The links of tiles, of which a Python task holds TILES at a time."""
+    conf, key = scratch.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(TILES))
+    try:
+        return scratch.put(tiles.mapInArrow(found, "a long, b long"))
+    finally:
+        conf.set(key, before)
+
+
+def linked_components(
+    keys: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], verify: Callable, sets_of: Callable, confirm: Callable, measure: Callable, limit: float, scratch: Scratch
+) -> DataFrame:
+    """(node, component) of the nodes that match others; the component is its least node. `keys` has key and node, read twice; bodies_of(nodes) gives node and body of the
+    nodes that share a key; verify compares pairs (Arrow) and tells their similarity by `measure`; sets_of gives sorted elements of texts, confirm decides on two
+    texts whose elements are alike enough."""
+    members = shared_keys(keys, scratch)
+    company = members.withColumn("company", F.sum("n").over(Window.partitionBy("node")))  # a node has as many rows as keys
+    leaders = scratch.put(company.groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("minus"))).alias("lead")).select("key", (-F.col("lead.minus")).alias("a")))
+    led = scratch.put(members.join(small_side(leaders, leaders.count() * PAIR_BYTES), "key").select("key", "a", F.col("node").alias("b"), "n"))
+    scratch.drop(members, leaders)
+    bodies = bodies_of(led.select(F.col("b").alias("node")).distinct())
+    told = scratch.put(compared(led.where("a <> b").select("a", "b").distinct(), bodies, verify))
     links = told.where("same").select("a", "b")
-    component = keep(connected_components(links))
-    of = component.select(F.col("node").alias("b"), "component")
-    placed = members.where("n > 2").join(told.select("a", "b", "similarity"), ["a", "b"], "left").join(of, "b", "left")
-    placed = placed.select("key", F.col("b").alias("node"), F.coalesce("component", "b").alias("component"), F.coalesce("similarity", F.lit(1.0)).alias("s"))
-    placed = keep(placed)
-    mixed = keep(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"))
-    left = mixed.count()
-    if not left:
-        return links
-    w = Window.partitionBy("key").orderBy("s", "node")
-    placed = keep(placed.join(small_side(mixed, left), "key").withColumn("block", F.floor((F.row_number().over(w) - 1) / BLOCK).cast("int")))
-    blocks = placed.groupBy("key", "block").agg(F.min("s").alias("low"), F.max("s").alias("high"))
-    first, second = blocks.selectExpr("key", "block AS i", "high AS hi"), blocks.selectExpr("key", "block AS j", "low AS lo")
-    tiles = first.join(second, "key").where(f"i = j OR (i < j AND lo - hi <= {1 - limit + SLIM})").select("key", "i", "j")
-    rows = placed.join(tiles.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), ["key", "block"]).join(bodies, "node")
-    rows = rows.select("key", "i", "j", "node", "component", "body").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return links.union(keep(rows.mapInArrow(tile_links(sets_of, confirm, limit), "a long, b long")))
+    component = connected_components(links, scratch)
+    placed = led.where("n > 2").join(told.drop("same"), ["a", "b"], "left").join(component.withColumnRenamed("node", "b"), "b", "left")
+    placed = scratch.put(placed.select("key", F.col("b").alias("node"), F.coalesce("component", "b").alias("component"), F.floor(F.coalesce("similarity", F.lit(1.0)) / BIN).alias("bin"), F.coalesce("size", F.lit(0)).alias("size")))
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    parts = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    slight = (F.col("n") <= BLOCK) & (F.col("size") <= BLOCK_BYTES)
+    mixed = scratch.put(parts.where("parts > 1").select("key", F.col("most.component").alias("main"), slight.alias("slight")))
+    scratch.drop(led)
+    if left := mixed.count():
+        placed = placed.join(small_side(mixed, left * PAIR_BYTES), "key").withColumn("kind", F.when(~F.col("slight") & (F.col("component") == F.col("main")), 1).otherwise(0))
+        placed = placed.withColumn("bin", F.when(F.col("slight"), 0).otherwise(F.col("bin")))
+        counts = placed.groupBy("key", "bin", "kind").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).alias("blocks"))
+        counts = scratch.put(counts)
+        number = lambda sub: ((F.col("bin") * 2 + F.col("kind")) * F.lit(1 << 32) + sub)
+        blocks = counts.select("key", "bin", "kind", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("sub")).select("key", "bin", "kind", number(F.col("sub")).alias("block"))
+        first, second = (blocks.select("key", F.col("bin").alias(f"bin_{c}"), F.col("kind").alias(f"kind_{c}"), F.col("block").alias(c)) for c in "ij")
+        near = (F.abs(F.col("bin_i") - F.col("bin_j")) - 1) * BIN <= 1 - limit + SLIM
+        tiles = first.join(second, "key").where((F.col("i") <= F.col("j")) & (F.col("kind_i") + F.col("kind_j") < 2) & near).select("key", "i", "j")
+        sub = F.pmod(F.xxhash64("node"), F.col("blocks"))
+        dealt = placed.join(counts, ["key", "bin", "kind"]).select("key", "node", "component", number(sub).alias("block")).join(bodies, "node")
+        packed = scratch.put(dealt.groupBy("key", "block").agg(F.collect_list(F.struct("component", "body")).alias("members")))  # about BLOCK members at most
+        one, other = (packed.select("key", F.col("block").alias(c), F.col("members").alias(f"members_{c}")) for c in "ij")
+        whole = tiles.where("i = j").join(one, ["key", "i"]).select("members_i", F.lit(None).cast(packed.schema["members"].dataType).alias("members_j"))
+        pairs = tiles.where("i < j").join(one, ["key", "i"]).join(other, ["key", "j"]).select("members_i", "members_j")
+        links = in_small_batches(scratch, whole.union(pairs), tile_links(sets_of, confirm, measure, limit))
+        joined = connected_components(links, scratch)
+        alone = joined.select("node").join(component, "node", "left_anti").select("node", F.col("node").alias("component"))
+        onward = joined.select(F.col("node").alias("component"), F.col("component").alias("on"))
+        component = scratch.put(component.unionByName(alone).join(onward, "component", "left").select("node", F.coalesce("on", "component").alias("component")))
+    return component

@@ -13,7 +13,7 @@ memberships too mixed) come as near as they can, with a warning of targets and t
 Tokens are words here (runs between white space), one more for each text. The classifier is a softmax regression in numpy over hashed words and
 a few character shares, fitted on a bounded sample of labelled rows (convolution.SAMPLE_ROWS a class of each label).
 
-Nulls: a null or empty text has one token and the probabilities of no words. Without labelled rows all rates are 1. Repeated rows have
+Nulls: a null or empty text has one token and the probabilities of no words. Very long texts are read whole. Ties: a document with both labels bad is toxic. Without labelled rows all rates are 1. Repeated rows have
 equal rates, but their copies are drawn apart only by their id and text. An empty table gives no rows. Further columns are untouched; names
 beginning with `__` are reserved.
 """
@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, slices, small_side, texts_of, written
+from .common import slices, small_side, texts_of, written
 from .convolution import Adam, labelled_sample
 from .words import buffers, coded_words, hash_words
 
@@ -39,6 +39,8 @@ WEIGHTS = {"clean": 0.90, "low": 0.05, "toxic": 0.05}
 FEATURES = 1 << 18
 SHARES = 8
 EPOCHS = 8
+#: Bytes of a row in the broadcast table of copies.
+KEY_BYTES = 64
 #: Steps at most, of which the fit takes a few, and the miss of a domain's target, as a share of it, that is close enough.
 STEPS, CLOSE = 200, 1e-3
 #: Weight of staying near 1 against meeting the totals.
@@ -235,8 +237,8 @@ def document_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float]
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """The rows of docs, each as often as its copies say."""
-    rates = keep(document_rates(docs, labels, weights).select(F.col("doc_id").alias("__i"), F.col("__doc").alias("__d"), F.col("copies").alias("__copies")).where("__copies <> 1").distinct())
+    rates = written(document_rates(docs, labels, weights).select(F.col("doc_id").alias("__i"), F.col("__doc").alias("__d"), F.col("copies").alias("__copies")).where("__copies <> 1").distinct(), "rates")
     rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__doc", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    joined = rows.join(small_side(rates, rates.count()), (F.col("__doc") == F.col("__d")) & F.col("__id").eqNullSafe(F.col("__i")), "left")
+    joined = rows.join(small_side(rates, rates.count() * KEY_BYTES), (F.col("__doc") == F.col("__d")) & F.col("__id").eqNullSafe(F.col("__i")), "left")
     once = joined.withColumn("__copies", F.coalesce("__copies", F.lit(1).cast("long"))).where("__copies > 0")
     return once.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
