@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import keep, slices, texts_of
+from .common import slices, texts_of, written
 
 END_ID = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int"
@@ -123,23 +123,19 @@ def places(plan: list[tuple[int, dict[int, int]]]) -> list[tuple[int, list[int],
 def packed(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """Each piece with sequence_id and offset; `pieces` has a length and the task that made the row, and is read twice."""
     spark = pieces.sparkSession
-    counted = pieces.groupBy("length", "task").count().collect()
-    by_length: dict[int, int] = {}
-    bases = []
-    for r in sorted(counted, key=lambda r: (r["length"], r["task"])):
-        bases.append((r["length"], r["task"], by_length.get(r["length"], 0)))
-        by_length[r["length"]] = by_length.get(r["length"], 0) + r["count"]
-    plan = bin_plan(by_length, capacity)
-    runs = spark.createDataFrame(places(plan), "length long, firsts array<long>, sequences array<long>, shares array<long>, offsets array<long>")
-    base = spark.createDataFrame(bases, "length long, task int, base long")
+    counted = written(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "counts")
+    by_length = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
+    runs = spark.createDataFrame(places(bin_plan(by_length, capacity)), "length long, firsts array<long>, sequences array<long>, shares array<long>, offsets array<long>")
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    base = counted.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     columns = [c for c in pieces.columns if c != "task"]
     ranked = pieces.withColumn("local", F.row_number().over(Window.partitionBy("task", "length").orderBy("doc_id", "piece")) - 1)
-    ranked = ranked.join(base, ["length", "task"]).withColumn("rank", F.col("base") + F.col("local"))
-    placed = ranked.join(F.broadcast(runs), "length")
+    ranked = ranked.join(base, ["task", "length"]).withColumn("rank", F.col("base") + F.col("local"))
+    placed = ranked.join(F.broadcast(runs), "length")  # a row a length, with the runs of its bins: the plan's size, whatever the input's
     return placed.withColumn("run", F.expr("array_position(transform(firsts, x -> x <= rank), false)")).withColumn("run", F.when(F.col("run") == 0, F.size("firsts")).otherwise(F.col("run") - 1).cast("int")).selectExpr(
         *columns, "element_at(sequences, run) + (rank - element_at(firsts, run)) div element_at(shares, run) AS sequence_id", "element_at(offsets, run) + length * ((rank - element_at(firsts, run)) % element_at(shares, run)) AS offset"
     )
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = END_ID) -> DataFrame:
-    return packed(keep(pieces_of(docs, tokenizer_path, capacity, end_id)), capacity)
+    return packed(written(pieces_of(docs, tokenizer_path, capacity, end_id), "pieces"), capacity)
