@@ -37,3 +37,11 @@ def test_whole_table_with_odd_rows(spark):
     got = [tuple(r) for r in tb.top_k(df).orderBy("query_id", "rank").collect()]
     assert got == brute(rows, 20)
     assert tb.top_k(df.where("vec_id < 0")).count() == 0
+
+
+def test_repeated_ids(spark):
+    """Of repeated query ids the least vector asks, once; every repeated candidate counts."""
+    rows = [(20, [0.5, 0.5]), (20, [0.25, 1.0]), (20, [0.25, 1.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.5, 0.5]), (3, [-1.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in tb.top_k(df).orderBy("rank").collect()]
+    assert got == [(20, 1, 1, 4096), (20, 2, 2, 2560), (20, 3, 1, 1024), (20, 4, 3, -5120)]

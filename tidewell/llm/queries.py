@@ -27,8 +27,8 @@ def ship(spark: SparkSession) -> None:
     near = {Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]}
     if root in near or getattr(spark.sparkContext, "_tidewell_shipped", False):
         return
-    with tempfile.TemporaryDirectory() as folder:
-        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/tidewell", "zip", root, "tidewell"))
+    folder = tempfile.mkdtemp()  # of the driver, which serves the file to executors as long as it runs
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/tidewell", "zip", root, "tidewell"))
     spark.sparkContext._tidewell_shipped = True
 
 
@@ -110,8 +110,9 @@ ORACLES = {
     "op1_block_pruning": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT vec_id, min(v) AS v FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id),
 s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(d.v AS DOUBLE[])) AS BIGINT) AS score
-      FROM v q JOIN v d ON d.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+      FROM q JOIN v d ON d.vec_id <> q.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """,

@@ -71,7 +71,7 @@ def nearest(c: np.ndarray):
         for batch in batches:
             x = matrix(batch.column(1), c.shape[1])
             near = (x @ c.T - 0.5 * (c * c).sum(axis=1)).argmax(axis=1) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], names=["vec_id", "v", "c"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], names=["vec_id", "v", "asks", "c"])
 
     return assigned
 
@@ -104,6 +104,8 @@ class Best:
 
 def searched(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, docs: np.ndarray, ids: np.ndarray, k: int, block: int = BLOCK) -> tuple[Best, int]:
     """The k best documents of each query that may still enter its list, and how many blocks were scored for a query."""
+    if not len(docs) or not len(queries):
+        return Best(len(queries), k, floor), 0
     starts = np.arange(0, len(docs), block)
     greatest, least = np.maximum.reduceat(docs, starts), np.minimum.reduceat(docs, starts)
     bounds = products(np.maximum(queries, 0), greatest) + products(np.minimum(queries, 0), least)
@@ -136,28 +138,29 @@ SUPERS = "part int, ids binary, docs binary, dims int, query_ids binary, queries
 
 
 def packer(dims: int, k: int):
-    """Superblocks of a sorted partition, each with its own queries and their k-th scores within it."""
+    """Superblocks of a sorted partition, each with the queries that stand among its rows and their k-th scores within it."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, ids, rows, held = TaskContext.get().partitionId(), [], [], 0
+        part, ids, rows, asking, held = TaskContext.get().partitionId(), [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            own, x = np.concatenate(ids), np.concatenate(rows)
-            asks = np.flatnonzero(own % EVERY == 0)
-            floor = np.full(len(asks), np.iinfo(np.int64).min)
-            best, _ = searched(x[asks], own[asks], floor, x, own, k)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([a.tobytes()], pa.binary()) for a in (own, x)], pa.array([dims], pa.int32()), *[pa.array([a.tobytes()], pa.binary()) for a in (own[asks], x[asks], best.floor)]], names=[c.split()[0] for c in SUPERS.split(", ")])
+            own, x, asks = np.concatenate(ids), np.concatenate(rows), np.concatenate(asking)
+            query_ids, queries, own, x = own[asks], x[asks], own[~asks], x[~asks]
+            floor = np.full(len(query_ids), np.iinfo(np.int64).min)
+            best, _ = searched(queries, query_ids, floor, x, own, k)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([a.tobytes()], pa.binary()) for a in (own, x)], pa.array([dims], pa.int32()), *[pa.array([a.tobytes()], pa.binary()) for a in (query_ids, queries, best.floor)]], names=[c.split()[0] for c in SUPERS.split(", ")])
 
         for batch in batches:
-            own, x = batch.column(0).to_numpy(), matrix(batch.column(1), dims)
+            own, x, asks = batch.column(0).to_numpy(), matrix(batch.column(1), dims), batch.column(2).to_numpy(zero_copy_only=False)
             while len(own):
                 take = min(SUPER - held, len(own))
                 ids.append(own[:take])
                 rows.append(x[:take])
-                own, x, held = own[take:], x[take:], held + take
+                asking.append(asks[:take])
+                own, x, asks, held = own[take:], x[take:], asks[take:], held + take
                 if held == SUPER:
                     yield out()
-                    ids, rows, held = [], [], 0
+                    ids, rows, asking, held = [], [], [], 0
         if held:
             yield out()
 
@@ -181,7 +184,9 @@ def top_k(vectors: DataFrame, k: int = K) -> DataFrame:
     spark = vectors.sparkSession
     v = integers(vectors)
     dims = max(1, v.agg(F.max(F.size("v")).alias("d")).first()["d"] or 1)
-    ordered = v.mapInArrow(nearest(centroids(v, dims)), "vec_id long, v array<long>, c int").repartitionByRange("c", "vec_id").sortWithinPartitions("c", "vec_id")
+    queries = v.where(F.col("vec_id") % EVERY == 0).groupBy("vec_id").agg(F.min("v").alias("v"))  # of repeated ids the least vector
+    rows = v.withColumn("asks", F.lit(False)).unionByName(queries.withColumn("asks", F.lit(True)))
+    ordered = rows.mapInArrow(nearest(centroids(v, dims)), "vec_id long, v array<long>, asks boolean, c int").repartitionByRange("c", "vec_id").sortWithinPartitions("c", "vec_id")
     supers = written(ordered.mapInArrow(packer(dims, k), SUPERS), "supers")
     parts = (supers.agg(F.max("part").alias("p")).first()["p"] or 0) + 1
     chunks = supers.where(F.octet_length("query_ids") > 0).select("query_ids", "queries", "floors", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
