@@ -59,7 +59,7 @@ def test_base_score_and_model(spark):
             count.update(tokens(t))
             count[None] += 1
     n, v = sum(count.values()), len(count)
-    got = {r["doc_id"]: r for r in hmm.score_texts(docs, classes=500, rounds=(8, 8, 32)).collect()}
+    got = {r["doc_id"]: r for r in hmm.score_texts(docs, classes=500, rounds=3).collect()}
     better = []
     for i, t in rows:
         own = [*tokens(t), None]
@@ -72,20 +72,20 @@ def test_base_score_and_model(spark):
 
 
 def test_production_rounds_part_states_of_a_dozen_rows(spark, monkeypatch):
-    """A dozen rows of which none is in the first shares of a hash of the ids."""
-    ids = [r["id"] for r in spark.range(200).where("pmod(xxhash64(id, 'share'), 32) >= 4").limit(12).collect()]
+    """Every round reads all training texts, and the states of a dozen rows differ."""
+    ids = list(range(12))
     docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 7} and" for k in range(1, 30))) for i in ids], "doc_id long, text string")
     models, reads, scorer, counted = [], [], hmm.scorer, hmm.next_model
     monkeypatch.setattr(hmm, "scorer", lambda m: models.append(m) or scorer(m))
-    monkeypatch.setattr(hmm, "next_model", lambda m, v, coded, share: reads.append(share) or counted(m, v, coded, share))
+    monkeypatch.setattr(hmm, "next_model", lambda m, v, training: reads.append(training.count()) or counted(m, v, training))
     assert hmm.score_texts(docs).count() == 12
-    assert reads and set(reads) == {32}
+    assert reads == [sum(part(i) != 1 for i in ids)] * hmm.ROUNDS
     b = models[0].b
     assert np.abs(b - b[:, :1]).max() > 1e-3
 
 
 def test_odd_rows(odd_documents, no_documents):
-    out = hmm.score_texts(odd_documents, rounds=(32,)).collect()
+    out = hmm.score_texts(odd_documents, rounds=1).collect()
     assert len(out) == 12 and all(np.isfinite(r["score"]) and r["score"] < 0 for r in out)
     assert {r["n_tokens"] for r in out if r["doc_id"] in (3, 4, 5, 7)} == {1}
-    assert hmm.score_texts(no_documents, rounds=(32,)).count() == 0
+    assert hmm.score_texts(no_documents, rounds=1).count() == 0

@@ -25,14 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import gathered
-from .common import bucket_of, keep, slices, small_side, texts_of, written
+from .common import bucket_of, slices, texts_of, written
 from .words import coded_words
 
 STATES, CLASSES, SEGMENT = 16, 60_000, 512
-#: Shares of the training texts (of 32) that each round of Baum-Welch reads.
-ROUNDS = (32,) * 5
+#: Rounds of Baum-Welch.
+ROUNDS = 9
+#: Partitions of the texts whose expected counts one task of a round adds up before they are shuffled.
+GATHER = 8
 SMOOTH = 4.0
-CODED = "doc_id long, held_out boolean, n_tokens long, ids binary, top_known long, top_score double, rare array<string>, rare_times array<int>, share int"
+CODED = "doc_id long, held_out boolean, n_tokens long, ids binary, top_known long, top_score double, rare array<string>, rare_times array<int>"
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -74,7 +76,7 @@ def encoder(v: Vocabulary):
             ends = np.cumsum(counts + 1)
             out[gathered(ends - counts - 1, counts)] = np.where(top, ids, v.other)
             binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.concatenate([[0], 2 * ends]).astype(np.int32)), pa.py_buffer(out)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts + 1), binary, pa.array(np.bincount(text[top], minlength=n) + (v.ends > 0)), pa.array(score), rare, rare_times, batch.column(3)], names=[c.split()[0] for c in CODED.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts + 1), binary, pa.array(np.bincount(text[top], minlength=n) + (v.ends > 0)), pa.array(score), rare, rare_times], names=[c.split()[0] for c in CODED.split(", ")])
 
     return encoded
 
@@ -158,15 +160,14 @@ def counter(m: Model, v: Vocabulary):
         seen = np.flatnonzero(emit.any(axis=1))
         words = np.concatenate([seen, -1 - np.arange(STATES), [-100, -101]]).astype(np.int64)
         values = np.concatenate([emit[seen], moves, start[None], continued[None]])
-        yield pa.RecordBatch.from_arrays([pa.array(words), *[pa.array(values[:, k]) for k in range(STATES)]], names=["word", *[f"s{k}" for k in range(STATES)]])
+        yield pa.RecordBatch.from_arrays([pa.array(words), *[pa.array(values[:, k].astype(np.float32)) for k in range(STATES)]], names=["word", *[f"s{k}" for k in range(STATES)]])
 
     return counted
 
 
-def next_model(m: Model, v: Vocabulary, coded: DataFrame, share: int) -> Model:
-    """One round of Baum-Welch over the training texts of `share` parts of 32."""
-    read = coded.where(~F.col("held_out") & (F.col("share") < share)).select("ids")
-    rows = read.mapInArrow(counter(m, v), "word long, " + ", ".join(f"s{k} double" for k in range(STATES)))
+def next_model(m: Model, v: Vocabulary, training: DataFrame) -> Model:
+    """One round of Baum-Welch over the training texts."""
+    rows = training.mapInArrow(counter(m, v), "word long, " + ", ".join(f"s{k} float" for k in range(STATES)))
     summed = rows.groupBy("word").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES)])
     got = np.array([list(r) for r in summed.collect()]).reshape(-1, STATES + 1)  # a row a word of the bounded vocabulary
     words, values = got[:, 0].astype(int), got[:, 1:]
@@ -216,20 +217,22 @@ def scorer(m: Model):
     return scored
 
 
-def score_texts(docs: DataFrame, classes: int = CLASSES, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
+def score_texts(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     counts = written(word_counts(docs), "words")
     ends = docs.where(bucket_of("doc_id", 5) != 1).count()
     all_words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = [(r["word"], r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(classes).collect()]
     v = Vocabulary([w for w, _ in top], np.array([c for _, c in top], np.float64), ends, all_words["n"] + ends, all_words["v"] + (ends > 0))
-    share = F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(32)).cast("int")
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (bucket_of("doc_id", 5) == 1).alias("held_out"), F.col("text").cast("string").alias("text"), share.alias("share"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (bucket_of("doc_id", 5) == 1).alias("held_out"), F.col("text").cast("string").alias("text"))
     coded = read.mapInArrow(encoder(v), CODED).withColumn("row", F.monotonically_increasing_id())
     coded = written(coded, "coded")
     m = first_model(v)
-    for share in rounds:
-        m = next_model(m, v, coded, share)
+    training = coded.where(~F.col("held_out")).select("ids")
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, training.rdd.getNumPartitions() // GATHER)
+    training = training.coalesce(tasks)
+    for _ in range(rounds):
+        m = next_model(m, v, training)
     rare = coded.select("row", F.explode(F.arrays_zip("rare", "rare_times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.rare_times").alias("times"))
     scarce = counts.where(F.col("c") <= (int(top[-1][1]) if top else 0))  # words of the classes never come up in `rare`
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / v.below)
