@@ -6,31 +6,37 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the labelled sample: rows of each class, and characters of a text that may enter it.
+#: Bounds of the labelled sample: rows of each class, and characters of their texts together, which few very long texts can reach.
 SAMPLE_ROWS = 1500
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS = 12_000_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, labels and sampling weights of at most `rows` training rows of each class, those of the least hashed ids.
+    """Texts, labels and sampling weights of the training rows of each class with the least hashed ids, whatever their length: at most `rows`, or as
+    many as have `chars` characters together, one at least.
 
-    Only ids and the drawn rows' texts move: ids are drawn first, from all labelled training rows with a short enough text."""
+    Only ids, lengths and the drawn rows' texts move: ids are drawn first, from all labelled training rows."""
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & learn)
     ids = ids.groupBy("doc_id").agg(F.max("y").alias("y"))
-    fit = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= chars).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(ids, "doc_id")
+    lengths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("size"))
+    fit = lengths.groupBy("doc_id").agg(F.sum("size").alias("size")).join(ids, "doc_id")  # repeated rows of an id are all taken
     chosen, kept, totals = [], {}, {r["y"]: r["n"] for r in fit.groupBy("y").agg(F.count("*").alias("n")).collect()}
     for y in sorted(totals):
-        got = [r["doc_id"] for r in fit.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id").collect()]
-        kept |= dict.fromkeys(got, y)
-        chosen += got
+        held = 0
+        for r in fit.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "size").collect():
+            held += r["size"]
+            if held > chars and kept and y in kept.values():
+                break
+            kept[r["doc_id"]] = y
+            chosen.append(r["doc_id"])
     if not chosen:
         return [], np.zeros(0), np.zeros(0)
     drawn = docs.where(F.col("doc_id").isin(chosen)).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = sorted({(r["doc_id"], r["text"]) for r in drawn.collect()}, key=lambda r: (hash_order(r[0]), r[1]))
+    found = sorted({(r["doc_id"], r["text"]) for r in drawn.distinct().collect()}, key=lambda r: (hash_order(r[0]), r[1]))
     y = np.array([kept[i] for i, _ in found], np.float64)
     share = {c: totals[c] / max(1, int((y == c).sum())) for c in totals}
     weight = np.array([share[int(c)] for c in y])
-    return [t for _, t in found], y, weight / weight.mean()
+    return [t for t, _ in found], y, weight / weight.mean()
 
 
 def hash_order(i: int) -> int:
