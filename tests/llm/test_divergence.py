@@ -44,3 +44,51 @@ def test_js_distance(spark):
 
     row = spark.range(1).select(dv.js_distance(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))).alias("a"), dv.js_distance(F.array(F.lit(0.3), F.lit(0.7)), F.array(F.lit(0.3), F.lit(0.7))).alias("b")).first()
     assert abs(row["a"] - 1) < 1e-9 and row["b"] < 1e-6
+
+
+def brute_histograms(text, lang):
+    """Counts of character classes and of common words, in plain Python."""
+    import regex
+
+    text = text or ""
+    rest, classes = text, []
+    for pattern in dv.CLASSES:
+        less = regex.sub(pattern, "", rest)
+        classes.append(len(rest) - len(less))
+        rest = less
+    words = regex.findall(r"\p{L}+", text.lower())
+    common = dv.COMMON_WORDS.get(lang or "", dv.OTHER_WORDS)
+    counts = [words.count(w) for w in common]
+    return [*classes, len(rest)], [*counts, len(words) - sum(counts)]
+
+
+def brute_distance(p, q):
+    import math
+
+    middle = [(a + b) / 2 for a, b in zip(p, q)]
+    kl = lambda x: sum(a * math.log2(a / m) for a, m in zip(x, middle) if a > 0)
+    return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+
+def test_verdict_equals_brute_force(spark, documents):
+    share = lambda c: [x / sum(c) if sum(c) else 0.0 for x in c]
+    rows = {r["doc_id"]: r for r in documents.collect()}
+    base = {i: brute(r["text"]) for i, r in rows.items()}
+    histograms = {i: tuple(map(share, brute_histograms(r["text"], r["lang"]))) for i, r in rows.items()}
+    references = {}
+    for lang in {r["lang"] or "" for r in rows.values()}:
+        fit = [i for i, r in rows.items() if (r["lang"] or "") == lang and not base[i][-1] and base[i][0] >= dv.MIN_WORDS]
+        if fit:
+            references[lang] = [share([sorted(histograms[i][k][j] for i in fit)[-(-len(fit) // 2) - 1] for j in range(len(histograms[fit[0]][k]))]) for k in (0, 1)]
+    told = 0
+    for r in dv.judged(documents).collect():
+        i, n = r["doc_id"], base[r["doc_id"]][0]
+        if (reference := references.get(rows[i]["lang"] or "")) is None:
+            assert r["kept"] == (not base[i][-1])
+            continue
+        a, b = (brute_distance(histograms[i][k], reference[k]) for k in (0, 1))
+        assert abs(r["class_distance"] - a) < 1e-6 and abs(r["word_distance"] - b) < 1e-6
+        strange = n >= dv.MIN_WORDS and (a > dv.CLASS_LIMIT + dv.CLASS_SLACK / max(n, 1) ** 0.5 or b > dv.WORD_LIMIT + dv.WORD_SLACK / max(n, 1) ** 0.5)
+        assert r["kept"] == (not base[i][-1] and not strange)
+        told += strange
+    assert told > 0

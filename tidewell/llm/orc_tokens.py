@@ -6,7 +6,8 @@ reader asks Spark's ORC source with a filter on doc_id, and stripes or row group
 filter, a file is split by stripes over tasks.
 
 Nulls: a null text is an empty document, which holds the end id alone; a null id sorts first. Repeated rows are written each time; rows
-of one id are ordered by a hash of their text, and such ties may fall in neighbouring files. An empty table gives no rows. Only
+of one id are ordered by a hash of their text, and such ties may fall in neighbouring files. Very long texts are encoded whole, one at a
+time, as one row. An empty table gives no rows. Only
 doc_id and text are read; further columns play no part.
 """
 
