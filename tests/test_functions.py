@@ -229,3 +229,36 @@ def test_similar_pairs_by_tiles(spark):
 def test_greedy_matches_take_the_best_score(spark):
     pairs = spark.createDataFrame([(1, 1, 1, 0.5), (1, 1, 2, 0.9), (1, 2, 2, 0.8), (1, 2, 1, 0.1)], "sample long, expected long, got long, score double")
     assert sorted(rows(metrics.greedy_matches(pairs), "expected", "got")) == [(1, 2), (2, 1)]
+
+
+def timed(spark, events):
+    df = spark.createDataFrame([(k, i, float(t), *rest) for k, i, t, *rest in events], "key long, event_id long, t double" + (", failed boolean" if len(events[0]) > 3 else ""))
+    return df.withColumn("ts", F.timestamp_micros((F.col("t") * 1_000_000).cast("long")))
+
+
+def test_token_bucket_fills_again(spark):
+    calls = timed(spark, [(1, i, t) for i, t in enumerate([0, 0, 0, 0.5, 1.0, 1.2, 9, 9, 9])] + [(2, 100, 0), (None, 200, 1), (None, 201, 1)])
+    got = {r["event_id"]: r["accepted"] for r in stateful.token_bucket(calls, capacity=2, per_second=1).collect()}
+    assert [got[i] for i in range(9)] == [True, True, False, False, True, False, True, True, False] and got[100] and got[200] and got[201]
+
+
+def test_breaker_opens_half_opens_and_closes(spark):
+    fails = [True, True, False, False, False, False, True, False, False, False]
+    times = [0, 1, 2, 3, 12, 13, 14, 30, 31, 32]
+    calls = timed(spark, [(1, i, t, f) for i, (t, f) in enumerate(zip(times, fails))])
+    got = {r["event_id"]: (r["state"], r["allowed"]) for r in stateful.circuit_breaker(calls, window=2, rate=50, wait=10, probes=2).collect()}
+    assert got[0] == got[1] == ("closed", True) and got[2] == got[3] == ("open", False)
+    assert got[4] == got[5] == ("half_open", True) and got[6] == got[7] == ("closed", True) and got[8] == ("open", False)
+
+
+def test_folds_do_not_depend_on_batches(spark):
+    calls = timed(spark, [(i % 3, i, (i * 7919 % 1000) / 10) for i in range(300)])
+    keep = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    e = calls.withColumn("priority", (F.col("event_id") % 4).cast("int"))
+    whole = sorted(map(tuple, stateful.debounced(e, 0.3, 1.0).collect())), sorted(map(tuple, stateful.rate_limited(calls, 3, 5.0).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert whole == (sorted(map(tuple, stateful.debounced(e, 0.3, 1.0).collect())), sorted(map(tuple, stateful.rate_limited(calls, 3, 5.0).collect())))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", keep)
+    assert sum(r[2] for r in whole[0]) == 300

@@ -113,6 +113,19 @@ def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where("n = 10 AND rate >= 0.5").groupBy("user_id").agg(F.count("*").alias("n_open"))
 
 
+@query()
+def token_bucket_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets of three tokens that fill again with one in six hours."""
+    return stateful.token_bucket(events(spark, sf_dir).select(F.col("user_id").alias("key"), "event_id", "ts"), 3.0, 1 / (6 * 3600.0))
+
+
+@query()
+def breaker_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breakers over the last five calls, open for a day, half open for two calls."""
+    e = events(spark, sf_dir).select(F.col("user_id").alias("key"), "event_id", "ts", (F.col("event_type") == "error").alias("failed"))
+    return stateful.circuit_breaker(e, window=5, rate=40, wait=86_400.0, probes=2)
+
+
 @query()
 def label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A balanced logistic regression of the embeddings' labels, fitted on four fifths and asked for the rest."""

@@ -6,9 +6,11 @@ micro-batches with applyInPandasWithState.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -28,15 +30,84 @@ def accept(times: list[float], recent: list[float], most: int, seconds: float) -
 LIMITED = "key long, event_id long, accepted boolean"
 
 
+def folded(events: DataFrame, columns: list[str], start: Callable[[], Any], step: Callable[[Any, dict], tuple[Any, list[tuple]]], schema: str, finish: Callable[[Any], list[tuple]] | None = None) -> DataFrame:
+    """A fold over the events (key, event_id, ts, columns) of each key in order of time and id.
+
+    Keys are hashed to partitions and sorted there, and the state goes from one Arrow batch to the next; so a task holds a batch and one state,
+    however many events a key has. `step` gets the state and an event with t in seconds and gives the new state and finished rows (without the key);
+    `finish` gives those left at a key's end."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+    types = [kinds[c.split()[1]] for c in schema.split(", ")]
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
+    rows = events.select("key", seconds.alias("t"), "event_id", *columns).repartition("key").sortWithinPartitions("key", "t", "event_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, begun = None, None, False
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                if not begun or row["key"] != key:
+                    if begun and finish:
+                        out += [(key, *x) for x in finish(state)]
+                    key, state, begun = row["key"], start(), True
+                state, done = step(state, row)
+                out += [(key, *x) for x in done]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*out), types)], names=names)
+        if begun and finish and (out := [(key, *x) for x in finish(state)]):
+            yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*out), types)], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def rate_limited(calls: DataFrame, most: int = 20, seconds: float = 60.0) -> DataFrame:
     """key, event_id, accepted of bounded calls (key, event_id, ts)."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        passed, _ = accept((pdf["ts"].astype("int64") / pd.Timedelta(1, "s").as_unit(pdf["ts"].dt.unit).value).tolist(), [], most, seconds)
-        return pd.DataFrame({"key": pdf["key"], "event_id": pdf["event_id"], "accepted": passed})
+    def step(recent: list[float], row: dict) -> tuple[list[float], list[tuple]]:
+        passed, recent = accept([row["t"]], recent, most, seconds)
+        return recent, [(row["event_id"], passed[0])]
+
+    return folded(calls, [], list, step, LIMITED)
+
+
+def token_bucket(calls: DataFrame, capacity: float = 20.0, per_second: float = 20.0) -> DataFrame:
+    """key, event_id, accepted of bounded calls (key, event_id, ts): a call takes a token; a bucket starts full and fills again all the time, up to its capacity."""
+
+    def step(state: tuple[float, float | None], row: dict) -> tuple[tuple[float, float], list[tuple]]:
+        tokens, last = state
+        tokens = min(capacity, tokens + (row["t"] - last) * per_second) if last is not None else tokens
+        passed = tokens >= 1 - 1e-9
+        return (tokens - passed, row["t"]), [(row["event_id"], passed)]
+
+    return folded(calls, [], lambda: (capacity, None), step, LIMITED)
 
-    return calls.groupBy("key").applyInPandas(fold, LIMITED)
+
+#: Calls of the breaker's window, its failure rate in percent, seconds it stays open, calls let through half open.
+WINDOW, FAILURE_RATE, OPEN_SECONDS, PROBES = 50, 50, 30.0, 5
+
+
+def circuit_breaker(calls: DataFrame, window: int = WINDOW, rate: float = FAILURE_RATE, wait: float = OPEN_SECONDS, probes: int = PROBES) -> DataFrame:
+    """key, event_id, state, allowed of calls (key, event_id, ts, failed). Closed: once the last `window` calls are known and the share of failures reaches the rate, it
+    opens. Open: calls are refused until `wait` seconds have passed. Half open: `probes` calls are let through; then it closes if fewer than the rate failed, else it opens again."""
+
+    def step(state: dict, row: dict) -> tuple[dict, list[tuple]]:
+        if state["name"] == "open" and row["t"] - state["since"] >= wait:
+            state = {"name": "half_open", "recent": [], "since": row["t"]}
+        name = state["name"]
+        if name == "open":
+            return state, [(row["event_id"], name, False)]
+        size = window if name == "closed" else probes
+        recent = [*state["recent"], bool(row["failed"])][-size:]
+        after = {"name": name, "recent": recent, "since": state["since"]}
+        if len(recent) == size:
+            if 100 * sum(recent) >= rate * size:
+                after = {"name": "open", "recent": [], "since": row["t"]}
+            elif name == "half_open":
+                after = {"name": "closed", "recent": [], "since": row["t"]}
+        return after, [(row["event_id"], name, True)]
+
+    return folded(calls, ["failed"], lambda: {"name": "closed", "recent": [], "since": 0.0}, step, "key long, event_id long, state string, allowed boolean")
 
 
 def rate_limited_stream(calls: DataFrame, most: int = 20, seconds: float = 60.0, late: str = "10 seconds") -> DataFrame:
@@ -61,23 +132,20 @@ def rate_limited_stream(calls: DataFrame, most: int = 20, seconds: float = 60.0,
 def debounced(events: DataFrame, pause: float = 0.15, longest: float = 0.5) -> DataFrame:
     """key, batch, n, first and last event and the trigger of the highest priority (the later of equals): a batch closes `pause` after its last event or `longest` after its first."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        times = pdf["ts"].astype("int64") / pd.Timedelta(1, "s").as_unit(pdf["ts"].dt.unit).value
-        batches, number, first, last = [], -1, None, None
-        for t in times:
-            if first is None or t > min(last + pause, first + longest):
-                number, first = number + 1, t
-            last = t
-            batches.append(number)
-        pdf = pdf.assign(batch=batches)
-        rows = []
-        for batch, own in pdf.groupby("batch"):
-            lead = own.iloc[(own["priority"] * len(own) + range(len(own))).argmax()]
-            rows.append((pdf["key"].iloc[0], batch, len(own), own["event_id"].iloc[0], own["event_id"].iloc[-1], lead["event_id"]))
-        return pd.DataFrame(rows, columns=["key", "batch", "n", "first_id", "last_id", "lead_id"])
-
-    return events.groupBy("key").applyInPandas(fold, "key long, batch long, n long, first_id long, last_id long, lead_id long")
+    def told(state: dict) -> list[tuple]:
+        return [(state["batch"], state["n"], state["first_id"], state["last_id"], state["lead"][1])] if state["n"] else []
+
+    def step(state: dict, row: dict) -> tuple[dict, list[tuple]]:
+        done = []
+        if not state["n"] or row["t"] > min(state["last"] + pause, state["first"] + longest):
+            done = told(state)
+            state = {"batch": state["batch"] + 1, "n": 0, "first": row["t"], "first_id": row["event_id"], "lead": None}
+        lead = state["lead"]
+        if lead is None or row["priority"] >= lead[0]:
+            lead = (row["priority"], row["event_id"])
+        return state | {"n": state["n"] + 1, "last": row["t"], "last_id": row["event_id"], "lead": lead}, done
+
+    return folded(events, ["priority"], lambda: {"batch": -1, "n": 0}, step, "key long, batch long, n long, first_id long, last_id long, lead_id long", told)
 
 
 def running_scores_stream(turns: DataFrame) -> DataFrame:
