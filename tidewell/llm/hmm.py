@@ -30,7 +30,7 @@ from .words import coded_words
 
 STATES, CLASSES, SEGMENT = 16, 60_000, 512
 #: Rounds of Baum-Welch.
-ROUNDS = 9
+ROUNDS = 6
 #: Partitions of the texts whose expected counts one task of a round adds up before they are shuffled.
 GATHER = 8
 SMOOTH = 4.0
