@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -31,12 +32,16 @@ def brute_classes(rows):
             i = parent[i]
         return i
 
-    sets = [shingles(t) for _, t in rows]
+    words = [shingles(t)[0] for _, t in rows]
+    bags = [Counter(w) for w in words]
     for i in range(len(rows)):
         for j in range(i):
-            (a, x), (b, y) = sets[i], sets[j]
-            same = (rows[i][1] or "") == (rows[j][1] or "")
-            if same or edit_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+            a, b, most = words[i], words[j], int(0.2 * max(len(words[i]), len(words[j])) + 1e-9)
+            if root(i) == root(j):  # joined already
+                continue
+            if max(len(a), len(b)) - sum((bags[i] & bags[j]).values()) > most:  # so many edits at least
+                continue
+            if (rows[i][1] or "") == (rows[j][1] or "") or edit_distance(a, b) <= most:
                 parent[root(i)] = root(j)
     groups = {}
     for i in range(len(rows)):
