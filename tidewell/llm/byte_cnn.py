@@ -95,7 +95,7 @@ def trained(texts: list[str], y: np.ndarray, weight: np.ndarray, seed: int = 11)
     c = Chunked(pa.array(texts, pa.string()))
     rng, adam, rows = np.random.default_rng(seed), Adam(p, 0.01, 0.0005), np.arange(len(y))
     learn = rows[rows % 5 != 0]
-    balance = np.where(y == 1, 0.5 / max(1, (y[learn] == 1).sum()), 0.5 / max(1, (y[learn] == 0).sum()))
+    balance = weight * np.where(y == 1, 0.5 / max(1e-9, weight[learn][y[learn] == 1].sum()), 0.5 / max(1e-9, weight[learn][y[learn] == 0].sum()))
     for epoch in range(EPOCHS):
         adam.rate = 0.012 * (1 - epoch / EPOCHS)
         order = rng.permutation(learn)

@@ -2,41 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the labelled sample: rows of each class, and characters of their texts together, which few very long texts can reach.
+from .common import slices, texts_of
+
+#: Bounds of the labelled sample: rows of each class, and characters of a row. A longer text gives several rows, each a piece of it, which
+#: together weigh as much as one text; so no text can crowd out others, and none is skipped or cut short.
 SAMPLE_ROWS = 1500
-SAMPLE_CHARS = 12_000_000
+PIECE_CHARS = 16_384
+
+
+def pieces_of(chosen: dict[int, list[int]], chars: int):
+    """The chosen pieces of each text; runs in tasks, so that whole long texts stay there."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [(i, k, text[k * chars : (k + 1) * chars]) for i, text in zip(batch.column(0).to_pylist(), texts_of(batch).to_pylist()) for k in chosen[i]]
+            found = [r for r in found if r[2] or r[1] == 0]  # rows of one id may differ in length
+            ids, numbers, texts = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "piece", "text"])
+
+    return cut
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, labels and sampling weights of the training rows of each class with the least hashed ids, whatever their length: at most `rows`, or as
-    many as have `chars` characters together, one at least.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int = SAMPLE_ROWS, chars: int = PIECE_CHARS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts, labels and weights of at most `rows` training rows of each class, those with the least hashes of (doc_id, piece).
 
-    Only ids, lengths and the drawn rows' texts move: ids are drawn first, from all labelled training rows."""
+    A row's weight is its text's share of the class, so a text of many pieces counts once. Pieces are counted and drawn by ids and lengths alone, from all labelled training rows; only the drawn pieces' texts move."""
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & learn)
     ids = ids.groupBy("doc_id").agg(F.max("y").alias("y"))
     lengths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("size"))
-    fit = lengths.groupBy("doc_id").agg(F.sum("size").alias("size")).join(ids, "doc_id")  # repeated rows of an id are all taken
-    chosen, kept, totals = [], {}, {r["y"]: r["n"] for r in fit.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    fit = lengths.groupBy("doc_id").agg(F.max("size").alias("size")).join(ids, "doc_id")
+    fit = fit.withColumn("pieces", F.greatest(F.lit(1), F.ceil(F.col("size") / chars)).cast("long"))
+    piece = fit.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    chosen: dict[int, list[int]] = {}
+    kept, totals = {}, {r["y"]: r["n"] for r in fit.groupBy("y").agg(F.count("*").alias("n")).collect()}
     for y in sorted(totals):
-        held = 0
-        for r in fit.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "size").collect():
-            held += r["size"]
-            if held > chars and kept and y in kept.values():
-                break
-            kept[r["doc_id"]] = y
-            chosen.append(r["doc_id"])
+        for r in piece.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", "piece"), "doc_id", "piece").limit(rows).collect():
+            chosen.setdefault(r["doc_id"], []).append(r["piece"])
+            kept[r["doc_id"]] = (y, r["pieces"])
     if not chosen:
         return [], np.zeros(0), np.zeros(0)
-    drawn = docs.where(F.col("doc_id").isin(chosen)).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = sorted({(r["doc_id"], r["text"]) for r in drawn.distinct().collect()}, key=lambda r: (hash_order(r[0]), r[1]))
-    y = np.array([kept[i] for i, _ in found], np.float64)
-    share = {c: totals[c] / max(1, int((y == c).sum())) for c in totals}
-    weight = np.array([share[int(c)] for c in y])
-    return [t for t, _ in found], y, weight / weight.mean()
+    drawn = docs.where(F.col("doc_id").isin(list(chosen))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    drawn = drawn.mapInArrow(pieces_of(chosen, chars), "doc_id long, piece long, text string")
+    drawn = drawn.groupBy("doc_id", "piece").agg(F.min("text").alias("text"))  # of repeated rows of an id the least text
+    found = sorted(((r["doc_id"], r["piece"], r["text"]) for r in drawn.collect()), key=lambda r: (hash_order(r[0]), *r))
+    y = np.array([kept[i][0] for i, _, _ in found], np.float64)
+    weight = np.array([1 / kept[i][1] for i, _, _ in found])
+    for c in totals:
+        weight[y == c] *= totals[c] / max(1e-9, weight[y == c].sum())
+    return [t for _, _, t in found], y, weight / weight.mean()
 
 
 def hash_order(i: int) -> int:
