@@ -48,7 +48,7 @@ def test_odd_tables(spark, odd_documents, no_documents):
             out = stage(spark, docs, SF)
             assert name == "packing" or out.columns == docs.columns
             n = out.count()
-            assert n == 0 if docs is no_documents else n <= docs.count() + 20
+            assert n <= 4 * docs.count() + (20 if name == "packing" else 0) and (n or docs is no_documents)
     assert corpus_pipeline.near_dedup(spark, odd_documents, SF).where("doc_id = 2").count() == 0
     assert corpus_pipeline.near_dedup(spark, odd_documents, SF).where("doc_id IS NULL").count() == 1
 

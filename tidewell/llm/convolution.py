@@ -33,7 +33,7 @@ def pieces_of(chosen: dict[int, list[int]], chars: int):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int = SAMPLE_ROWS, chars: int = PIECE_CHARS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Texts, labels and weights of at most `rows` training rows of each class, those with the least hashes of (doc_id, piece).
 
-    A row's weight is its text's share of the class, so a text of many pieces counts once. Pieces are counted and drawn by ids and lengths alone, from all labelled training rows; only the drawn pieces' texts move."""
+    Weights of a class add up to its labelled texts, and those of a text's pieces are equal, so a text of many pieces counts once. Pieces are counted and drawn by ids and lengths alone, from all labelled training rows; only the drawn pieces' texts move."""
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & learn)
     ids = ids.groupBy("doc_id").agg(F.max("y").alias("y"))
     lengths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("size"))
@@ -56,7 +56,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     weight = np.array([1 / kept[i][1] for i, _, _ in found])
     for c in totals:
         weight[y == c] *= totals[c] / max(1e-9, weight[y == c].sum())
-    return [t for _, _, t in found], y, weight / weight.mean()
+    return [t for _, _, t in found], y, weight
 
 
 def hash_order(i: int) -> int:

@@ -1,21 +1,25 @@
 """Mixing to target weights with soft memberships.
 
 A classifier fitted on the labelled table gives each document a probability of each domain (clean, low quality, toxic). The expected
-tokens of a domain are the sum over documents of rate x tokens x probability. Rates, none negative, are fitted by projected-gradient
-least squares: they bring the expected domain totals to their targets and stay as near 1 as that allows. Each step is one aggregation
-over all documents: a document's rate follows from its probabilities and one number a domain, so a step sends a few numbers to the
-tasks and a few back, and no rate is stored.
+tokens of a domain are the sum over documents of rate x tokens x probability. Rates between 0 and MAX_RATE are fitted by projected-gradient least
+squares: from 1, each step moves every rate against the gradient of the sum over domains of (total - target)^2 / target (for a target of 0, over
+the domain's own tokens), and back into its bounds. The gradient of a document follows from its probabilities and one number a domain, so a step sends a few numbers to the tasks
+and a few sums back; every REPLAY steps the rates are written and lineage ends.
 
 The targets: weights say the proportions of the domains. The first domain keeps all its expected tokens, and the others get their proportions
-of that; where one has less, its documents get rates above 1, that is, copies. Weights that no rates can meet (a domain in no text, or
-memberships too mixed) come as near as they can, with a warning of targets and totals.
+of that; where one has less, its documents get rates above 1, that is, copies, MAX_RATE at most. Weights that no such rates meet (a domain that is
+too scarce, in no text, or too mixed with others) end at the least squares: the result has targets and totals reached, and a warning names the domains.
+
+A document's copies are the whole part of its rate, and one more for some: along the order of length and hash within each likeliest domain,
+fractions are added up and a copy falls wherever the sum passes a whole number, counted from the beginning that brings the domain's tokens
+nearest to the expected. So the copies' totals keep to the fit's, and no document is dropped or copied but by its rate.
 
 Tokens are words here (runs between white space), one more for each text. The classifier is a softmax regression in numpy over hashed words and
 a few character shares, fitted on a bounded sample of labelled rows (convolution.SAMPLE_ROWS a class of each label).
 
-Nulls: a null or empty text has one token and the probabilities of no words. Very long texts are read whole. Ties: a document with both labels bad is toxic. Without labelled rows all rates are 1. Repeated rows have
-equal rates, but their copies are drawn apart only by their id and text. An empty table gives no rows. Further columns are untouched; names
-beginning with `__` are reserved.
+Nulls: a null or empty text has one token and the probabilities of no words. Very long texts are read whole. Ties: a document with both labels bad is
+toxic; of equal probabilities the first domain is the likeliest. Without labelled rows all rates are 1. Repeated rows (equal id and text) have equal rates and
+copies. An empty table gives no rows. Further columns are untouched; columns whose names begin with `__` are an error in `mixed_documents`.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, small_side, texts_of, written
@@ -41,10 +45,19 @@ SHARES = 8
 EPOCHS = 8
 #: Bytes of a row in the broadcast table of copies.
 KEY_BYTES = 64
-#: Steps at most, of which the fit takes a few, and the miss of a domain's target, as a share of it, that is close enough.
-STEPS, CLOSE = 200, 1e-3
-#: Weight of staying near 1 against meeting the totals.
-NEAR = 1e-6
+#: No document comes more often than this: beyond about four repetitions, copies teach a model little.
+MAX_RATE = 4.0
+#: Steps at most, of which the fit takes a few; the miss of a domain's target, as a share of it, that is close enough; and the gain of a step, as a
+#: share of the loss, under which it is at its least.
+STEPS, CLOSE, STILL = 80, 1e-3, 1e-5
+#: Steps after which the rates are written.
+REPLAY = 12
+#: A step may raise the loss above the last one, but not above the greatest of so many.
+LOOK_BACK = 4
+#: A whole copy in the units that fractions are added up in, as integers.
+UNIT = 1 << 30
+#: Beginnings of the running sum that are tried, for the one whose copies come nearest to the expected tokens.
+BEGINS = 32
 #: A domain with less than this share of all tokens is in no text.
 ABSENT = 1e-9
 
@@ -141,15 +154,6 @@ def domain_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.nda
     return [texts[i] for i in order], codes[order], (weights / weights.mean())[order] if len(weights) else weights
 
 
-def raised(pull: np.ndarray):
-    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = np.stack([batch.column(batch.schema.get_field_index(f"p_{d}")).to_numpy() for d in DOMAINS], axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.maximum(0, 1 + p @ pull))], names=[*batch.schema.names, "rate"])
-
-    return rated
-
-
 def targets(supply: dict[str, float], weights: dict[str, float], n: float) -> dict[str, float]:
     """Totals in the proportions of the weights, at which the first domain of any weight keeps its own. A domain that no text has (less than ABSENT
     of all tokens) can't be had by any rates; it keeps what it has, and the others share the whole."""
@@ -160,54 +164,51 @@ def targets(supply: dict[str, float], weights: dict[str, float], n: float) -> di
     return {d: weights[d] * whole if d in there or weights[d] <= 0 else supply[d] for d in DOMAINS}
 
 
+def stepped(rate: Column, slope: list[float]) -> Column:
+    """A rate after one step: against slope . p, back into 0 to MAX_RATE."""
+    move = sum((F.lit(float(g)) * F.col(f"p_{d}") for d, g in zip(DOMAINS, slope)), F.lit(0.0))
+    return F.least(F.lit(MAX_RATE), F.greatest(F.lit(0.0), rate - move))
+
+
 def fitted_rates(members: DataFrame, weights: dict[str, float] = WEIGHTS) -> tuple[DataFrame, dict[str, float], dict[str, float]]:
     """members with rate, the targets and the totals reached. `members` is read once a step.
 
-    The loss is the token-weighted sum of (rate - 1)^2 / 2 plus sum over domains of (total - target)^2 / (2 NEAR scale), the scale being the greater of target and supply. At its least, a rate is
-    max(0, 1 + p . pull), with one number of `pull` a domain; gradient steps on these are scaled by the Gram matrix of the documents whose rate is
-    not 0, and halved until the loss of the dual falls. Steps end when every total is within CLOSE of its target, or at the least loss."""
+    Projected gradient with spectral step lengths: in the metric of tokens, the length is the last move's square over its change of the gradient, the
+    first one the inverse of the loss's greatest curvature. A step that raises the loss above the last LOOK_BACK losses is taken again, shorter."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
-    schema = members.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", rate double"
-    pairs = [(i, j) for i in range(len(DOMAINS)) for j in range(i, len(DOMAINS))]
     p = lambda i: F.col(f"p_{DOMAINS[i]}")
-    mass = F.col("n") * F.col("rate")
-
-    def summed(rated: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
-        up = F.when(F.col("rate") > 0, F.col("n")).otherwise(0.0)
-        r = rated.agg(total("n"), total(mass * F.col("rate")), *[total(mass * p(i)) for i in range(len(DOMAINS))], *[total(up * p(i) * p(j)) for i, j in pairs]).first()
-        gram = np.zeros((len(DOMAINS), len(DOMAINS)))
-        for (i, j), v in zip(pairs, r[2 + len(DOMAINS) :]):
-            gram[i, j] = gram[j, i] = v
-        return np.array(r[2 : 2 + len(DOMAINS)]), gram, r[1], r[0]
-
-    pull = np.zeros(len(DOMAINS))
-    rated = members.withColumn("rate", F.lit(1.0))
-    reached, gram, square, n = summed(rated)
+    k = range(len(DOMAINS))
+    pairs = [(i, j) for i in k for j in k]
+    first = members.agg(total("n"), *[total(F.col("n") * p(i)) for i in k], *[total(F.col("n") * p(i) * p(j)) for i, j in pairs]).first()
+    n, reached, gram = first[0], np.array(first[1 : 1 + len(DOMAINS)]), np.array(first[1 + len(DOMAINS) :]).reshape(len(DOMAINS), -1)
     target = targets(dict(zip(DOMAINS, reached.tolist())), weights, n)
     wish = np.array([target[d] for d in DOMAINS])
-    soft = NEAR * np.maximum(np.maximum(wish, reached), ABSENT * max(n, 1.0))
-    loss = lambda square, pull: square / 2 - wish @ pull + soft @ pull**2 / 2
-    least = loss(square, pull)
+    scale = np.maximum(np.where(wish > 0, wish, reached), max(ABSENT * n, 1.0))
+    loss = lambda reached: float(((reached - wish) ** 2 / scale).sum() / 2)
+    stood, rate = members.withColumn("rate", F.lit(1.0)), F.col("rate")
+    curvature = np.linalg.eigvalsh(gram / np.sqrt(scale[:, None] * scale[None])).max()
+    length, losses, since, still = 1 / max(curvature, 1e-12), [loss(reached)], 0, 0
     for _ in range(STEPS):
-        if (np.abs(reached - wish) <= CLOSE * np.maximum(wish, ABSENT * n)).all():
-            break
-        slope = reached - wish + soft * pull
-        move = -np.linalg.solve(gram + np.diag(soft), slope)
-        if -slope @ move <= 1e-12 * max(n, 1.0):
+        if (np.abs(reached - wish) <= CLOSE * scale).all():
             break
-        size = 1.0
-        while size > 1e-6:
-            to = pull + size * move
-            tried = members.mapInArrow(raised(to), schema)
-            sums = summed(tried)
-            if loss(sums[2], to) <= least + 1e-4 * size * (slope @ move) + 1e-12 * abs(least):
+        slope = (reached - wish) / scale
+        for _ in range(8):
+            moved = stepped(rate, (length * slope).tolist())
+            sums = stood.agg(*[total(F.col("n") * moved * p(i)) for i in k], total(F.col("n") * (moved - rate) * (moved - rate))).first()
+            there, square = np.array(sums[: len(DOMAINS)]), sums[len(DOMAINS)]
+            if loss(there) <= max(losses[-LOOK_BACK:]):
                 break
-            size /= 2
-        else:
+            length /= 4
+        still = still + 1 if losses[-1] - loss(there) <= STILL * losses[-1] else 0
+        bent = float(((there - reached) ** 2 / scale).sum())
+        length = square / bent if bent > 0 else length
+        rate, reached, since = moved, there, since + 1
+        losses.append(loss(there))
+        if square <= 1e-12 * max(n, 1.0) or still >= LOOK_BACK:
             break
-        pull, rated, (reached, gram, square, _) = to, tried, sums
-        least = loss(square, pull)
-    return rated, target, dict(zip(DOMAINS, reached.tolist()))
+        if since == REPLAY:
+            stood, rate, since = written(stood.withColumn("rate", rate), "rates"), F.col("rate"), 0
+    return stood.withColumn("rate", rate), target, dict(zip(DOMAINS, reached.tolist()))
 
 
 def memberships(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -218,26 +219,55 @@ def memberships(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return written(read.mapInArrow(membership(w, dense), "__id long, __doc long, n double, " + ", ".join(f"p_{d} double" for d in DOMAINS)), "members")
 
 
-def copies_column() -> Column:
-    """Whole copies: the rate's whole part, and one more with the probability of the rest, decided by a hash of the id and text; so a document's
-    expected copies are its rate, and domain totals keep to the fit."""
-    draw = F.pmod(F.xxhash64("__id", "__doc", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
-    return (F.floor(F.col("rate")) + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
+def with_copies(rated: DataFrame) -> DataFrame:
+    """rated, one row for each id and text, with copies, drawn along the order of length and hash within each likeliest domain."""
+    best = F.greatest(*[F.col(f"p_{d}") for d in DOMAINS])
+    domain = F.coalesce(*[F.when(F.col(f"p_{d}") == best, F.lit(i)) for i, d in enumerate(DOMAINS)])
+    units = F.round((F.col("rate") - F.floor("rate")) * UNIT).cast("long")
+    once = rated.dropDuplicates(["__id", "__doc"]).withColumn("__domain", domain).withColumn("__units", units)
+    order = ["__domain", "n", "__doc", "__id"]
+    ordered = written(once.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ordered")
+    parts = ordered.groupBy("__domain", "__part").agg(F.sum("__units").alias("__sum"))  # a row for each task and domain
+    before = Window.partitionBy("__domain").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = written(parts.select("__domain", "__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base")), "bases")
+    own = Window.partitionBy("__domain", "__part").orderBy("n", "__doc", "__id").rowsBetween(Window.unboundedPreceding, 0)
+    joined = ordered.join(small_side(bases, bases.count() * KEY_BYTES), ["__domain", "__part"])
+    upto = F.col("__base") + F.sum("__units").over(own)
+    summed = written(joined.withColumn("__upto", upto), "summed")
+
+    def passed(begin: Column) -> Column:
+        """Whole numbers between the sum before a row and the sum with it, counted from `begin`."""
+        return F.call_function("div", F.col("__upto") + begin, F.lit(UNIT)) - F.call_function("div", F.col("__upto") - F.col("__units") + begin, F.lit(UNIT))
+
+    begins = [k * UNIT // BEGINS for k in range(BEGINS)]
+    miss = [F.abs(F.sum(F.col("n") * (passed(F.lit(b)) - F.col("__units") / UNIT))).alias(str(b)) for b in begins]
+    least = {r["__domain"]: min(begins, key=lambda b: r[str(b)]) for r in summed.groupBy("__domain").agg(*miss).collect()}  # a row a domain
+    begin = F.coalesce(*[F.when(F.col("__domain") == d, F.lit(b)) for d, b in least.items()], F.lit(0))
+    drawn = summed.withColumn("copies", (F.floor("rate") + passed(begin)).cast("long"))
+    return drawn.drop("__domain", "__part", "__base", "__units", "__upto")
 
 
 def document_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """doc_id, __doc, n_tokens, the domain probabilities, rate and copies of each row."""
-    rated, target, reached = fitted_rates(memberships(docs, labels), weights)
-    whole = sum(weights.values())
-    missed = {d: (target[d], reached[d]) for d in DOMAINS if abs(reached[d] - target[d]) > 2 * CLOSE * target[d] or weights[d] > 0 and abs(reached[d] / max(sum(reached.values()), 1e-9) - weights[d] / whole) > 2 * CLOSE * weights[d] / whole}
-    if missed and sum(reached.values()) > 0:
-        warnings.warn(f"no rates meet the weights {weights}; targets and totals reached: {missed}", stacklevel=2)
-    return rated.withColumn("copies", copies_column()).select(F.col("__id").alias("doc_id"), "__doc", F.col("n").cast("long").alias("n_tokens"), *[f"p_{d}" for d in DOMAINS], "rate", "copies")
+    """doc_id, __doc, n_tokens, the domain probabilities, rate and copies of each row; and, in every row alike, each domain's target and the total that
+    the rates reach."""
+    members = memberships(docs, labels)
+    rated, target, reached = fitted_rates(members, weights)
+    missed = {d: (target[d], reached[d]) for d in DOMAINS if abs(reached[d] - target[d]) > 2 * CLOSE * max(target[d], 1.0)}
+    absent = [d for d in DOMAINS if weights[d] > 0 and reached[d] < ABSENT * sum(reached.values())]
+    if sum(reached.values()) > 0 and (missed or absent):
+        warnings.warn(f"no rates up to {MAX_RATE} meet the weights {weights}; targets and totals reached: {missed}; in no text: {absent}", stacklevel=2)
+    drawn = with_copies(rated).select(F.col("__id").alias("__i"), F.col("__doc").alias("__d"), "rate", "copies")
+    rows = members.join(drawn, (F.col("__doc") == F.col("__d")) & F.col("__id").eqNullSafe(F.col("__i")))
+    totals = [F.lit(float(x[d])).alias(f"{name}_{d}") for name, x in (("target", target), ("reached", reached)) for d in DOMAINS]
+    return rows.select(F.col("__id").alias("doc_id"), "__doc", F.col("n").cast("long").alias("n_tokens"), *[f"p_{d}" for d in DOMAINS], "rate", "copies", *totals)
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """The rows of docs, each as often as its copies say."""
-    rates = written(document_rates(docs, labels, weights).select(F.col("doc_id").alias("__i"), F.col("__doc").alias("__d"), F.col("copies").alias("__copies")).where("__copies <> 1").distinct(), "rates")
+    if clash := [c for c in docs.columns if c.startswith("__")]:
+        raise ValueError(f"columns whose names begin with __ are reserved: {clash}")
+    rates = document_rates(docs, labels, weights).select(F.col("doc_id").alias("__i"), F.col("__doc").alias("__d"), F.col("copies").alias("__copies"))
+    rates = written(rates.where("__copies <> 1").distinct(), "rates")
     rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__doc", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     joined = rows.join(small_side(rates, rates.count() * KEY_BYTES), (F.col("__doc") == F.col("__d")) & F.col("__id").eqNullSafe(F.col("__i")), "left")
     once = joined.withColumn("__copies", F.coalesce("__copies", F.lit(1).cast("long"))).where("__copies > 0")
