@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task holds at a time; longer documents are processed one by one.
@@ -78,6 +78,19 @@ def small_side(df: DataFrame, size: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if size <= limit else df
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with a number from 1 for each row in `order`, in column `name`: rows are dealt by ranges, numbered in each task, and raised by the counts of the
+    tasks before, which are a row each."""
+    dealt = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    dealt = written(dealt, "ranges")
+    parts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = written(parts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base")), "bases")
+    own = Window.partitionBy("__part").orderBy(*order)
+    out = dealt.join(small_side(bases, bases.count() * 64), "__part").withColumn(name, (F.col("__base") + F.row_number().over(own)).cast("long"))
+    return out.drop("__part", "__base")
+
+
 def bucket_of(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id gives -1, no bucket."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

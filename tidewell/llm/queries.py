@@ -97,8 +97,27 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_ball_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ball_tree import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_suffix_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resampled
+
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_language_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_bayes import identified
+
+    return identified(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_block_pruning, op2_distribution_divergence, op3_hidden_markov, op4_fuzzy_lines, op5_orc_tokens, op6_minimum_bin_slack, op7_toxicity_cnn, op8_soft_mixing, op9_order_minhash, op10_byte_cnn)}
+    first = (op1_block_pruning, op2_distribution_divergence, op3_hidden_markov, op4_fuzzy_lines, op5_orc_tokens, op6_minimum_bin_slack, op7_toxicity_cnn)
+    return {f.__name__: f for f in (*first, op8_soft_mixing, op9_order_minhash, op10_byte_cnn, op11_ball_tree_negatives, op12_suffix_importance, op13_language_bayes)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -115,5 +134,17 @@ s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(CAST(q.v AS D
       FROM q JOIN v d ON d.vec_id <> q.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+    "op11_ball_tree_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           CAST(list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS DOUBLE[]) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT vec_id, min(v) AS v, arg_min(label, v) AS label FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id),
+s AS (SELECT a.vec_id AS anchor_id, d.vec_id, CAST(list_dot_product(a.v, d.v) AS BIGINT) AS score, a.label = d.label AS same FROM a JOIN v d ON d.vec_id <> a.vec_id),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+      CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
 """,
 }

@@ -21,11 +21,14 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]].copy(), offsets - offsets[0]
 
 
-def coded_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(distinct words, the number of each token's word, tokens of each text); `lower` turns A-Z to a-z first."""
+def coded_words(texts: pa.Array, lower: bool = False, lookup: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, the number of each token's word, tokens of each text); `lower` turns A-Z to a-z first, `lookup` bytes to others,
+    of which those beyond 127 must stay as they are."""
     if not len(texts):
         return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
     data, offsets = buffers(texts)
+    if lookup is not None:
+        data = lookup[data]
     if lower:
         data[(data >= 65) & (data <= 90)] += 32
     data[(data >= 9) & (data <= 13)] = 32
