@@ -148,3 +148,35 @@ n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.sc
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
 """,
 }
+
+
+def importance_sql() -> str:
+    """The oracle of op12; crc32 goes half a byte at a time, as DuckDB has none."""
+    nibbles = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        nibbles.append(f"{c}::BIGINT")
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = rf"list_filter(string_split_regex({lower}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+    return IMPORTANCE.replace("{words}", words).replace("{nibbles}", f"[{', '.join(nibbles)}]")
+
+
+IMPORTANCE = """
+WITH words AS (SELECT 0 AS kind, doc_id AS id, row_number() OVER () AS row, {words} AS w FROM documents
+          UNION ALL SELECT 1, item_id, 0, {words} FROM benchmark),
+grams AS (SELECT kind, id, row, len(w) AS n, unnest(list_concat(w, list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+          list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS g FROM words),
+found AS (SELECT g, count(*) FILTER (WHERE kind = 0) AS s, count(*) FILTER (WHERE kind = 1) AS t FROM grams GROUP BY g),
+coded AS (SELECT g, s, t, hex(encode(g)) AS h FROM found),
+nibbles AS (SELECT g, s, t, list_transform(range(0, len(h)), lambda i: strpos('0123456789ABCDEF', substr(h, CAST(xor(i, 1) AS BIGINT) + 1, 1)) - 1) AS b FROM coded),
+hashed AS (SELECT g, s, t, xor(list_reduce(b, lambda c, x: xor(c >> 4, ({nibbles})[CAST(xor(c, x) & 15 AS INTEGER) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS bucket FROM nibbles),
+counts AS (SELECT bucket, sum(s) AS s, sum(t) AS t FROM hashed GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * ((SELECT sum(s) FROM counts) + 10000) AS DOUBLE) / CAST((s + 1) * ((SELECT sum(t) FROM counts) + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM counts),
+weights AS (SELECT row, sum(gain) AS weight FROM grams JOIN hashed USING (g) JOIN gain USING (bucket) WHERE kind = 0 GROUP BY row),
+scored AS (SELECT id AS doc_id, len(w) AS n, CAST(len(w) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+           CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS noise FROM words LEFT JOIN weights USING (row) WHERE kind = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY weight + noise DESC, doc_id, n_features, weight) AS r, count(*) FILTER (WHERE n >= 20) OVER () AS long_enough FROM scored)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN n >= 20 AND r <= 5 * long_enough // 100 THEN r END AS rank FROM ranked
+"""
+ORACLES["op12_suffix_importance"] = importance_sql()
