@@ -123,3 +123,21 @@ def test_common_counts():
     many = [np.unique(rng.integers(400, size=60)) for _ in range(50)]
     got = common_counts(many)
     assert all(got[i][j] == len(np.intersect1d(many[i], many[j])) for i in range(50) for j in range(i + 1, 50))
+
+
+@pytest.mark.parametrize("similarity, least", [(0.95, 0.99), (0.9, 0.99), (0.85, 0.97), (0.8, 0.9)])
+def test_recall_over_the_range_of_the_limit(similarity, least):
+    """Pairs of 200 words with substitutions at random places: how many share a sketch, so that the alignment sees them."""
+    import pyarrow as pa
+
+    rng = random.Random(int(similarity * 100))
+    a, b = [], []
+    for _ in range(300):
+        words = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        a.append(" ".join(words))
+        for k in rng.sample(range(200), round((1 - similarity) * 200)):
+            words[k] = f"x{rng.randrange(3000)}"
+        b.append(" ".join(words))
+    keys = om.sketches(pa.array(a + b))
+    assert all(om.aligned(x, y) for x, y in zip(a, b))
+    assert (keys[:300] == keys[300:]).any(axis=1).mean() >= least
