@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..functions.vector import dot
-from ..session import small
+from ..session import small, written
 from .fusion import DIGITS, best
 
 #: Queries that may be broadcast to all vectors.
@@ -23,40 +25,44 @@ def postings(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return texts.select(F.col(id_column).alias("id"), F.explode(tokens(F.col(text_column))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
+#: Stands for the text itself among its terms: no term is empty.
+WHOLE = ""
+
+
 def bm25(queries: DataFrame, index: DataFrame, k: int | None = None, match_all: bool = False) -> DataFrame:
-    """qid, id, score for queries (qid, text) over a stored index (id, term, tf); match_all asks for every term of the query."""
+    """qid, id, score for queries (qid, text) over a table of postings (id, term, tf); match_all asks for every term of the query."""
     asked = terms_of(queries)
     lengths = index.groupBy("id").agg(F.sum("tf").alias("length"))
-    hits = index.join(small(asked.select("term").distinct()), "term", "left_semi")
-    return scored(hits, lengths, asked, k, match_all)
+    totals = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    hits = index.join(small(asked.select("term").distinct()), "term", "left_semi").join(lengths, "id")
+    return scored(hits, totals, asked, k, match_all)
 
 
 def bm25_of_texts(queries: DataFrame, texts: DataFrame, k: int | None = None, match_all: bool = False) -> DataFrame:
-    """As bm25, over texts (id, text) without an index, in one pass: terms that no query asks for are counted together, by text, before
-    the shuffle, which then holds a row for each text and asked term; lengths, frequencies and hits all read that one exchange."""
+    """As bm25, over texts (id, text; an id for each) without an index, in one scan: a text's length goes along with its terms, of which those that no query
+    asks for are left out before the shuffle; one more row a text holds the totals. What is left is written, for hits, frequencies and totals to read."""
     asked = terms_of(queries)
-    wanted = asked.select("term", F.col("term").alias("own")).distinct()
-    words = texts.select("id", F.explode(tokens(F.col("text"))).alias("term"))
-    counts = words.join(small(wanted), "term", "left").groupBy("id", F.col("own").alias("term")).agg(F.count("*").alias("tf"))
-    lengths = counts.groupBy("id").agg(F.sum("tf").alias("length"))
-    return scored(counts.where(F.col("term").isNotNull()), lengths, asked, k, match_all)
+    wanted = asked.select("term").union(asked.sparkSession.range(1).select(F.lit(WHOLE))).distinct()
+    words = texts.select("id", tokens(F.col("text")).alias("words")).select("id", F.size("words").alias("length"), F.explode(F.array_append("words", F.lit(WHOLE))).alias("term"))
+    counts = written(words.join(small(wanted, asked), "term", "left_semi").groupBy("id", "length", "term").agg(F.count("*").alias("tf")), "hits")
+    totals = counts.where((F.col("term") == WHOLE) & (F.col("length") > 0)).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    return scored(counts.where(F.col("term") != WHOLE), totals, asked, k, match_all)
 
 
 def terms_of(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
 
 
-def scored(hits: DataFrame, lengths: DataFrame, asked: DataFrame, k: int | None, match_all: bool) -> DataFrame:
-    """BM25 of hits (id, term, tf) for asked (qid, term); lengths (id, length) are of all texts."""
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+def scored(hits: DataFrame, totals: DataFrame, asked: DataFrame, k: int | None, match_all: bool) -> DataFrame:
+    """BM25 of hits (id, length, term, tf) for asked (qid, term); totals (n, mean) has one row, of all texts."""
     frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
-    found = hits.join(lengths, "id").join(small(asked.join(frequency, "term")), "term").crossJoin(F.broadcast(totals))  # one row of totals
+    found = hits.join(small(asked.join(frequency, "term"), asked), "term").crossJoin(F.broadcast(totals))  # one row of totals
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     out = found.groupBy("qid", "id").agg(F.round(F.sum(idf * weight), DIGITS).alias("score"), F.count("*").alias("matched"))
     if match_all:
         wanted = asked.groupBy("qid").agg(F.count("*").alias("wanted"))
-        out = out.join(small(wanted), "qid").where("matched = wanted").drop("wanted")
+        out = out.join(small(wanted, asked), "qid").where("matched = wanted").drop("wanted")
     out = out.drop("matched")
     return out if k is None else best(out, k)
 
@@ -92,13 +98,51 @@ def similar_pairs(vectors: DataFrame, least: float, tile: int = TILE) -> DataFra
 def nearest(queries: DataFrame, vectors: DataFrame, k: int | None = None, least: float | None = None) -> DataFrame:
     """qid, id, score: inner products of queries (qid, q) with vectors (id, embedding), the k best and none below `least`.
 
-    Queries are few and are broadcast; more than MOST_QUERIES are refused, as they would make a product of two large tables."""
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+    Queries are few and go to all tasks as one matrix; more than MOST_QUERIES are refused, as they would make a product of two large tables. A task multiplies a batch of
+    vectors by it and keeps the k best of each query so far, so k rows a query and task meet in the shuffle. Null vectors take no part."""
+    asked = queries.where("qid IS NOT NULL AND q IS NOT NULL").select("qid", F.col("q").cast("array<double>").alias("q")).limit(MOST_QUERIES + 1).toArrow()
+    if asked.num_rows > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} queries; use similar_pairs, or ask in parts")
-    scored = vectors.crossJoin(F.broadcast(queries)).select("qid", "id", F.round(dot(F.col("q"), F.col("embedding")), DIGITS).alias("score"))
-    if least is not None:
-        scored = scored.where(F.col("score") >= least)
-    return scored if k is None else best(scored, k)
+    qids, matrix = asked.column("qid").combine_chunks(), rows_of(asked.column("q").combine_chunks())
+    kind = dict(queries.dtypes)["qid"], dict(vectors.dtypes)["id"]
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            part = multiplied(matrix, batch.column(0), rows_of(batch.column(1)), k, least)
+            if k is None:
+                yield from part.to_batches()
+            else:
+                held = [best_rows(pa.concat_tables([*held, part]), k)]
+        for part in held:
+            yield from part.to_batches()
+
+    def multiplied(matrix: np.ndarray, ids: pa.Array, x: np.ndarray, k: int | None, least: float | None) -> pa.Table:
+        score = np.round(matrix @ x.T, DIGITS)
+        keep = np.ones(score.shape, bool) if least is None else score >= least
+        if k is not None and score.shape[1] > k:
+            keep &= score >= np.partition(score, -k, axis=1)[:, -k, None]
+        q, i = np.nonzero(keep)
+        return pa.table({"qid": qids.take(pa.array(q)), "id": ids.take(pa.array(i)), "score": score[q, i]})
+
+    if not asked.num_rows:
+        return queries.join(vectors, F.lit(False)).select("qid", "id", F.lit(0.0).alias("score"))
+    rows = vectors.where(F.col("embedding").isNotNull()).select("id", F.col("embedding").cast("array<double>"))
+    found = rows.mapInArrow(searched, f"qid {kind[0]}, id {kind[1]}, score double")
+    return found if k is None else best(found, k)
+
+
+def rows_of(lists: pa.Array) -> np.ndarray:
+    """Lists of equal length as rows of a matrix."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
+
+
+def best_rows(hits: pa.Table, k: int) -> pa.Table:
+    """The k best of each query, equal scores by id."""
+    ordered = hits.sort_by([("qid", "ascending"), ("score", "descending"), ("id", "ascending")])
+    codes = ordered.column("qid").combine_chunks().dictionary_encode().indices.to_numpy()
+    return ordered.filter(pa.array(np.arange(len(codes)) - np.searchsorted(codes, codes) < k))
 
 
 def expanded_to_parents(children: DataFrame, parent_of: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of short rows may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 100_000
+#: Bytes, as the optimizer estimates them, up to which a side may be broadcast; beyond it the join shuffles, unless adaptive execution finds it smaller.
+BROADCAST_BYTES = 16 << 20
 
 
 def session(master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -23,6 +27,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if a count, which stops early, finds no more than `rows` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def planned_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a result's size, from the sizes of its files; nothing runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def small(df: DataFrame, of: DataFrame | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint if the estimated bytes are within the limit: of df, or of `of`, where df has no more rows than that and of its kind."""
+    return F.broadcast(df) if planned_bytes(df if of is None else of) <= limit else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application below ``spark.checkpoint.dir``, which driver and executors share; only a local session may do without, with a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tidewell-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/tidewell-{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: what several branches read is worked out once, and lost executors cost no more than reading it."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Delete the application's folder, once nothing reads its tables any more."""
+    delete(spark, shared_folder(spark))
