@@ -83,6 +83,15 @@ class Features:
         distinct = np.bincount(self.row, minlength=n) / np.maximum(1, counts)
         self.shares = np.stack([4 * upto(upper), 8 * upto(symbol), 4 * upto(digit), upto(space), upto(high), distinct * np.minimum(1, counts / 100), np.log1p(sizes) / 10, np.ones(len(starts))], axis=1)
 
+    @classmethod
+    def of_many(cls, texts: list[str], at_once: int = 256) -> Features:
+        """The same, a few texts at a time, so that their words don't stand in memory together."""
+        parts = [cls(pa.array(texts[at : at + at_once], pa.string())) for at in range(0, len(texts), at_once)]
+        out = cls.__new__(cls)
+        out.row = np.concatenate([f.row + at_once * k for k, f in enumerate(parts)])
+        out.column, out.value, out.tokens, out.shares = (np.concatenate([getattr(f, c) for f in parts]) for c in ("column", "value", "tokens", "shares"))
+        return out
+
     def logits(self, w: np.ndarray, dense: np.ndarray) -> np.ndarray:
         out = self.shares @ dense
         for d in range(out.shape[1]):
@@ -100,7 +109,7 @@ def fitted(texts: list[str], domain: np.ndarray, weight: np.ndarray, seed: int =
     if not len(texts):
         dense[-1, 0] = 100  # the constant feature: all is of the first domain
         return w, dense
-    f = Features(pa.array(texts, pa.string()))
+    f = Features.of_many(texts)
     seen = np.bincount(f.column, minlength=FEATURES)
     active = np.unique(f.column[seen[f.column] >= 4])
     place = np.full(FEATURES, -1)
@@ -142,13 +151,10 @@ def membership(w: np.ndarray, dense: np.ndarray):
 
 def domain_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Texts, domains and weights of the bounded labelled sample: toxic before low before clean."""
-    domain = F.when(F.col("toxic") == 1, 1).otherwise(0)
     parts = []
-    for name, rule in (("toxic", domain), ("low", F.when((F.col("toxic") == 0) & (F.col("quality") == 0), 1).when((F.col("toxic") == 0) & (F.col("quality") == 1), 0))):
+    for name, rule in (("toxic", F.when(F.col("toxic") == 1, 1)), ("low", F.when((F.col("toxic") == 0) & (F.col("quality") == 0), 1).when((F.col("toxic") == 0) & (F.col("quality") == 1), 0))):
         texts, y, weight = labelled_sample(docs, labels.select("doc_id", rule.alias("y")), "y", F.lit(True))
-        keep = (y == 1) if name == "toxic" else np.ones(len(y), bool)
-        code = np.where(y == 1, DOMAINS.index(name), DOMAINS.index("clean"))
-        parts.append(([t for t, k in zip(texts, keep) if k], code[keep], weight[keep]))
+        parts.append((texts, np.where(y == 1, DOMAINS.index(name), DOMAINS.index("clean")), weight))
     texts, codes, weights = parts[0][0] + parts[1][0], np.concatenate([p[1] for p in parts]).astype(int), np.concatenate([p[2] for p in parts])
     order = np.random.default_rng(1).permutation(len(texts))
     return [texts[i] for i in order], codes[order], (weights / weights.mean())[order] if len(weights) else weights
