@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import PROPER_NAMES_SQL, proper_names, tokens
-from ..operators import fusion, retrieval
+from ..operators import fusion, inverted_index, retrieval
 from ..registry import query
 from ..session import small, table
 
@@ -119,6 +119,22 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fts_hits(spark, sf_dir, k=10)
 
 
+UPDATED_SQL = BM25_SQL.replace("FROM documents", """FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 2 THEN replace(text, ' a ', ' the benchmark ') ELSE text END AS text
+        FROM documents WHERE doc_id % 7 <> 5)""")
+
+
+@query(f"WITH {UPDATED_SQL}, r AS (SELECT qid, id, score, {TOP} AS rank FROM hit) SELECT * FROM r WHERE rank <= 10")
+def index_search_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents by a stored index, after a first load, an append, a deletion and an update."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    index = inverted_index.scratch_index(spark, buckets=64)
+    index.appended(docs.where("id % 3 <> 0"))
+    index.appended(docs.where("id % 3 = 0"))
+    changed = docs.where("id % 7 = 2").withColumn("text", F.replace("text", F.lit(" a "), F.lit(" the benchmark ")))
+    index.updated(changed, docs.where("id % 7 = 5").select("id"))
+    return index.search(benchmark_queries(spark, sf_dir), 10)
+
+
 @query(f"WITH {BM25_SQL}, want AS (SELECT qid, count(*) AS w FROM asked GROUP BY qid), r AS (SELECT qid, id, score, {TOP} AS rank FROM hit JOIN want USING (qid) WHERE matched = w) SELECT * FROM r WHERE rank <= 10")
 def fts_and_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with every term of the query."""
