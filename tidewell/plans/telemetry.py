@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import jsons
 from ..registry import query
-from ..session import table
+from ..session import new_path, table
 from ..streaming import stateful
+from ..streaming.exactly_once import LedgerSink
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +127,18 @@ def breaker_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.circuit_breaker(e, window=5, rate=40, wait=86_400.0, probes=2)
 
 
+@query("""SELECT event_type, count(*) AS n, sum(event_id) AS id_sum, count(DISTINCT event_id % 4) AS n_batches FROM events WHERE event_id % 8 <> 7 GROUP BY event_type""")
+def replayed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by type, from a sink that got four batches, two of them twice, after one that was cut short."""
+    e = events(spark, sf_dir).where("event_id % 8 <> 7").select("event_id", "event_type")
+    sink = LedgerSink(spark, new_path(spark, "sink"), "event_id long, event_type string")
+    batch = lambda k: e.where(F.col("event_id") % 4 == k)
+    batch(2).where("event_id % 8 = 2").write.parquet(f"{sink.path}/rows/sink_batch=2")  # lost before its line in the ledger
+    for k in (0, 1, 0, 2, 3, 1):
+        sink.write(batch(k), k)
+    return sink.rows().groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("id_sum"), F.countDistinct("sink_batch").alias("n_batches"))
+
+
 @query()
 def label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A balanced logistic regression of the embeddings' labels, fitted on four fifths and asked for the rest."""
