@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small
 from .search import starts_with_any
 
 #: Fixed value: what each matching keyword adds to a source's priority.
@@ -38,3 +39,17 @@ def crawl_summary(results: DataFrame, *by: str) -> DataFrame:
         F.count_if(ok).alias("crawled"), F.count_if(ok & (F.col("review") == "approved")).alias("approved"), F.count_if(ok & (F.coalesce("review", F.lit("")) != "approved")).alias("rejected"),
         F.count_if(ok & F.col("conflict")).alias("conflicts"), F.count_if(F.col("status") == "skipped").alias("skipped"), F.count_if(F.endswith("status", F.lit("error"))).alias("errors"),
     )
+
+
+def ruled(requests: DataFrame, rules: DataFrame) -> DataFrame:
+    """requests (id, uri, ...) with the rule of the longest prefix of their uri and whether any rule skips them, of rules (prefix, rule, skip): rule and prefix are null and
+    skipped is false without a match; of equal prefixes the first rule counts. Blank prefixes are no rules, null uris match none.
+
+    Each uri is cut to the lengths that rules have, and the cuts meet the rules by equality; so rules may be many, and no pair is tried in vain."""
+    named = rules.where(F.trim(F.coalesce("prefix", F.lit(""))) != "").groupBy("prefix").agg(F.min("rule").alias("rule"), F.max(F.coalesce("skip", F.lit(False))).alias("skip"))
+    lengths = named.agg(F.collect_set(F.length("prefix")).alias("__lengths"))  # as many as the longest prefix has characters, at most
+    cuts = requests.select("id", "uri").crossJoin(F.broadcast(lengths))  # one row of lengths
+    cuts = cuts.select("id", F.explode(F.transform(F.filter("__lengths", lambda n: n <= F.length("uri")), lambda n: F.substring("uri", F.lit(1), n))).alias("prefix"))
+    found = cuts.join(small(named), "prefix").groupBy("id").agg(F.max_by(F.struct("prefix", "rule"), F.length("prefix")).alias("__best"), F.max("skip").alias("__skip"))
+    out = requests.join(found, "id", "left")
+    return out.select(*requests.columns, F.col("__best.prefix").alias("prefix"), F.col("__best.rule").alias("rule"), F.coalesce("__skip", F.lit(False)).alias("skipped"))

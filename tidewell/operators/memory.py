@@ -152,3 +152,16 @@ def kept_facts(facts: DataFrame, least: float = IMPORTANCE) -> DataFrame:
     content = F.trim(F.coalesce("content", F.lit("")))
     out = facts.withColumn("content", content).withColumn("importance", importance).withColumn("kind", F.when(kind.isin(*KINDS), kind).otherwise("fact"))
     return out.where((F.col("content") != "") & (F.col("importance") >= least)).withColumn("importance", F.round("importance", 3))
+
+
+#: The types of memories; what is of none is a fact.
+MEMORY_TYPES, DEFAULT_TYPE = ("preference", "fact", "event"), "fact"
+
+
+def memory_type(predicted: Column, said: Column, mode: str = "clf") -> Column:
+    """The type of a memory: by the classifier, where it has one, else by what the model said, else a fact (clf); by what the model said alone (llm); always a fact (none)."""
+    if mode not in ("clf", "llm", "none"):
+        raise ValueError(f"mode {mode!r} is none of clf, llm, none")
+    known = lambda c: F.when(c.isin(*MEMORY_TYPES), c)
+    by_model = known(F.lower(F.trim(said.cast("string"))))
+    return F.coalesce(*([known(predicted)] if mode == "clf" else []), *([by_model] if mode != "none" else []), F.lit(DEFAULT_TYPE))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph
+from ..operators import crawl, entities, graph
 from ..registry import query
 from ..session import table
 
@@ -79,3 +79,40 @@ def entity_one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = talk.groupBy("conv_id").agg(F.collect_set("name").alias("all"))
     edges = talk.join(pairs, "conv_id").select(F.col("name").alias("source"), F.explode("all").alias("target")).where("source <> target").distinct()
     return graph.graph_hits(graph.one_hop(per("benchmark", "item_id", "qid"), edges), per("documents", "doc_id", "id"), 10)
+
+
+ALL_TYPES = [*entities.TYPES, "place", "other"]
+
+
+@query(f"""WITH named AS (SELECT doc_id, unnest(list_distinct({NAMES_SQL.format("text")})) AS n FROM documents),
+e AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lower(n) WHEN 1 THEN n || '.' ELSE n END AS name, ({ALL_TYPES})[length(n) % 13 + 1] AS type,
+      CASE WHEN lower(n) LIKE 'th%' THEN substr(lower(n), 2) ELSE lower(n) END AS key FROM named),
+k AS (SELECT substr(sha256(key || '|' || type), 1, 16) AS entity_id, * FROM e WHERE list_contains({list(entities.TYPES)}, type)),
+s AS (SELECT entity_id, name, count(*) AS n FROM k GROUP BY ALL)
+SELECT entity_id, first(s.name ORDER BY n DESC, s.name) AS name, any_value(type) AS type, any_value(n_docs) AS n_docs, count(*) AS n_names
+FROM s JOIN (SELECT entity_id, any_value(type) AS type, count(DISTINCT doc_id) AS n_docs FROM k GROUP BY entity_id) USING (entity_id) GROUP BY entity_id""")
+def entity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities from answers in JSON, one for each document: spellings and aliases of one key and type united, types that are not allowed left out."""
+    docs = table(spark, sf_dir, "documents")
+    n = lambda x: F.when(F.col("doc_id") % 3 == 0, F.lower(x)).when(F.col("doc_id") % 3 == 1, F.concat(x, F.lit("."))).otherwise(x)
+    kinds = F.array(*[F.lit(k) for k in ALL_TYPES])
+    told = F.transform(F.array_distinct(T.proper_names(F.col("text"))), lambda x: F.struct(n(x).alias("name"), F.get(kinds, F.length(x) % 13).alias("type")))
+    found, _ = entities.answered(docs.select("doc_id", F.to_json(F.struct(told.alias("entities"))).alias("json")))
+    aliases = found.where("lower(name) LIKE 'th%'").select(F.col("name").alias("alias"), F.expr("substr(name, 2)").alias("name")).distinct()
+    return entities.merged(entities.normalised(found, aliases))
+
+
+@query("""WITH host AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/]+/') AS h FROM pages),
+r AS (SELECT h AS prefix, 'host' AS rule, bool_or(page_id % 40 = 0) AS skip FROM host WHERE page_id % 2 = 0 GROUP BY h
+      UNION ALL SELECT url, 'page', page_id % 3 = 0 FROM host WHERE page_id % 5 = 0 UNION ALL SELECT '  ', 'blank', true UNION ALL SELECT 'http', 'any', false),
+d AS (SELECT prefix, min(rule) AS rule, bool_or(skip) AS skip FROM r WHERE trim(prefix) <> '' GROUP BY prefix),
+m AS (SELECT page_id, arg_max(prefix, length(prefix)) AS prefix, arg_max(rule, length(prefix)) AS rule, bool_or(skip) AS skipped FROM pages JOIN d ON starts_with(url, prefix) GROUP BY page_id)
+SELECT page_id AS id, prefix, rule, coalesce(skipped, false) AS skipped FROM pages LEFT JOIN m USING (page_id)""")
+def prefix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule of each page's address: of the page itself, of its host, or of all; a skipped host skips its pages."""
+    pages = table(spark, sf_dir, "pages")
+    host = pages.withColumn("h", F.regexp_extract("url", "^[a-z]+://[^/]+/", 0))
+    rules = host.where("page_id % 2 = 0").groupBy(F.col("h").alias("prefix")).agg(F.lit("host").alias("rule"), F.bool_or(F.col("page_id") % 40 == 0).alias("skip"))
+    rules = rules.unionByName(pages.where("page_id % 5 = 0").select(F.col("url").alias("prefix"), F.lit("page").alias("rule"), (F.col("page_id") % 3 == 0).alias("skip")))
+    rules = rules.unionByName(spark.sql("SELECT prefix, rule, skip FROM VALUES ('  ', 'blank', true), ('http', 'any', false) AS t(prefix, rule, skip)"))
+    return crawl.ruled(pages.select(F.col("page_id").alias("id"), F.col("url").alias("uri")), rules).drop("uri")

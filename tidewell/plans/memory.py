@@ -124,3 +124,14 @@ def priority_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     pending = e.where("event_type = 'purchase' AND value > 60").select("user_id").distinct()
     return e.where(F.col("event_type").isin("error", "signup")).join(small(pending), "user_id", "left_anti").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT *, CASE WHEN value > 60 THEN 'preference' WHEN value > 30 THEN 'task' END AS predicted, CASE event_id % 4 WHEN 0 THEN ' Event ' WHEN 1 THEN 'unknown' WHEN 2 THEN 'fact' END AS said FROM events)
+SELECT event_id, CASE WHEN predicted = 'preference' THEN predicted WHEN event_id % 4 = 0 THEN 'event' ELSE 'fact' END AS by_classifier,
+CASE WHEN event_id % 4 = 0 THEN 'event' ELSE 'fact' END AS by_model, 'fact' AS by_none FROM e""")
+def memory_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The type of each memory in the three modes; classes and answers that are no types count as none."""
+    e = table(spark, sf_dir, "events")
+    predicted = F.when(F.col("value") > 60, "preference").when(F.col("value") > 30, "task")
+    said = F.when(F.col("event_id") % 4 == 0, " Event ").when(F.col("event_id") % 4 == 1, "unknown").when(F.col("event_id") % 4 == 2, "fact")
+    return e.select("event_id", *[memory.memory_type(predicted, said, m).alias(f"by_{n}") for m, n in (("clf", "classifier"), ("llm", "model"), ("none", "none"))])
