@@ -1,6 +1,7 @@
 """Literal cases of functions and operators."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,9 +120,28 @@ def test_cleaning():
     assert clean("see https://a.b/ｃ ＡＢ") == "see https://a.b/ｃ AB"
 
 
+def sequential(pairs):
+    """The rule row by row."""
+    links, canonical = {}, {}
+    for i, e, score in pairs:
+        links.setdefault(i, []).append((-score, e))
+        links.setdefault(e, [])
+    for i in sorted(links):
+        canonical[i] = next((e for _, e in sorted(links[i]) if canonical[e] == e), i)
+    return canonical
+
+
 def test_greedy_canonical(spark):
-    pairs = spark.createDataFrame([(1, 2, 1, 0.97), (1, 3, 2, 0.99), (1, 4, 3, 0.96), (1, 4, 1, 0.95)], "cluster long, id long, earlier_id long, score double")
-    assert dict(rows(documents.greedy_canonical(pairs), "id", "canonical_id")) == {1: 1, 2: 1, 3: 3, 4: 3}
+    schema = "id long, earlier_id long, score double"
+    pairs = [(2, 1, 0.97), (3, 2, 0.99), (4, 3, 0.96), (4, 1, 0.95)]
+    assert dict(rows(documents.greedy_canonical(spark.createDataFrame(pairs, schema)), "id", "canonical_id")) == {1: 1, 2: 1, 3: 3, 4: 3} == sequential(pairs)
+    rng = random.Random(5)
+    one = list({(a, b): (a, b, rng.choice([0.95, 0.96, 0.99])) for a, b in (sorted(rng.sample(range(600), 2), reverse=True) for _ in range(1500))}.values())  # one cluster
+    one += [(900 + k, 900 + k // 2, 0.95) for k in range(1, 60)]  # a tree of links
+    df = spark.createDataFrame(one + one[:50], schema)
+    for most in (100_000, 150):  # in one task, and in rounds with a remainder smaller than the cluster
+        assert dict(rows(documents.greedy_canonical(df, most), "id", "canonical_id")) == sequential(one)
+    assert documents.greedy_canonical(spark.createDataFrame([], schema)).count() == 0
 
 
 def test_rate_limit():

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import MEANINGFUL, PAGE_FURNITURE
+from ..session import written
 
 #: Sizes of chunks in characters, and the places to cut at, best first.
 LEAST, PARENT, CHILD, OVERLAP = 50, 4000, 300, 50
@@ -227,22 +228,47 @@ def exact_duplicates(docs: DataFrame, id_column: str, text_column: str) -> DataF
     return docs.withColumn("first_id", F.min(id_column).over(w)).where(F.col("first_id") < F.col(id_column)).select(F.col(id_column).alias("id"), "first_id")
 
 
-def greedy_canonical(pairs: DataFrame) -> DataFrame:
-    """id and canonical id from similar pairs (cluster, id, earlier_id, score): rows in order of id, each joins the best earlier canonical row or becomes one.
-
-    The order matters, so a cluster is resolved in one function; clusters are components of the pair graph."""
-
-    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        links: dict[int, list] = {}
-        for r in pdf.itertuples():
-            links.setdefault(r.id, []).append((-r.score, r.earlier_id))
-        canonical: dict[int, int] = {}
-        for i in sorted({*pdf["id"], *pdf["earlier_id"]}):
-            best = next((e for _, e in sorted(links.get(i, [])) if canonical.get(e) == e), None)
-            canonical[i] = i if best is None else best
-        return pd.DataFrame({"id": list(canonical), "canonical_id": list(canonical.values())})
-
-    return pairs.groupBy("cluster").applyInPandas(resolve, "id long, canonical_id long")
+#: Links up to which the rest of the canonical choice is settled in one task.
+SETTLED_LINKS = 200_000
+
+
+def greedy_canonical(pairs: DataFrame, most: int = SETTLED_LINKS) -> DataFrame:
+    """id and canonical_id from similar pairs (id, earlier_id, score): rows in order of id, each joins the best earlier canonical row (of equal scores the least id) or becomes
+    canonical itself.
+
+    The order matters, but not all of it: a row is canonical once all its earlier neighbours are known not to be, and is not once one of them is canonical.
+    So rounds of joins decide many rows each, whatever the size of a cluster; when `most` links or fewer are left, one task settles them in order."""
+    links = pairs.where("earlier_id < id").groupBy("id", "earlier_id").agg(F.max("score").alias("score"))
+    links = written(links, "links")
+    earlier = F.col("earlier_id").alias("id")
+    open_rows, left, decided = links.select("id").union(links.select(earlier)).distinct(), links.select("id", "earlier_id"), []
+    while left.count() > most:
+        free = open_rows.join(left.select("id").distinct(), "id", "left_anti").withColumn("canonical", F.lit(True))
+        free = written(free, "free")
+        joins = left.join(free.select(F.col("id").alias("earlier_id")), "earlier_id", "left_semi").select("id").distinct().withColumn("canonical", F.lit(False))
+        joins = written(joins, "joins")
+        decided += [free, joins]
+        open_rows = written(open_rows.join(free, "id", "left_anti").join(joins, "id", "left_anti"), "open")
+        left = written(left.join(joins, "id", "left_anti").join(joins.select(F.col("id").alias("earlier_id")), "earlier_id", "left_anti"), "left")
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        before: dict[int, list[int]] = {}
+        for i, e in zip(pdf["id"].tolist(), pdf["earlier_id"].tolist()):
+            before.setdefault(i, []).append(e)
+        canonical: dict[int, bool] = {}
+        for i in sorted(before):
+            canonical[i] = not any(canonical.get(e, True) for e in before[i])  # rows without links of their own are canonical
+        return pd.DataFrame({"id": list(canonical), "canonical": list(canonical.values())})
+
+    rest = left.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(settle, "id long, canonical boolean")  # `most` links, at most
+    decided += [rest, open_rows.join(left.select("id").distinct(), "id", "left_anti").withColumn("canonical", F.lit(True))]
+    status = decided[0]
+    for part in decided[1:]:
+        status = status.unionByName(part)
+    status = written(status, "status")
+    heads = status.where("canonical").select(F.col("id").alias("earlier_id"))
+    chosen = links.join(heads, "earlier_id", "left_semi").groupBy("id").agg(F.max_by("earlier_id", F.struct("score", -F.col("earlier_id"))).alias("head"))
+    return status.join(chosen, "id", "left").select("id", F.when(F.col("canonical"), F.col("id")).otherwise(F.col("head")).alias("canonical_id"))
 
 
 #: How a crawled page is judged under each policy.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import PROPER_NAMES_SQL, proper_names, tokens
-from ..operators import fusion, inverted_index, retrieval
+from ..operators import fusion, inverted_index, retrieval, vector_index
 from ..registry import query
 from ..session import small, table
 
@@ -114,6 +114,15 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_hits(spark, sf_dir, 10)
 
 
+@query(f"WITH {KNN_SQL}, r AS (SELECT *, {TOP} AS rank FROM knn) SELECT * FROM r WHERE rank <= 10")
+def index_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a stored index of inverted lists, exactly."""
+    e = table(spark, sf_dir, "embeddings")
+    index = vector_index.scratch_index(spark).build(e.select(F.col("vec_id").alias("id"), "embedding"), lists=16)
+    asked = e.join(small(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))), "vec_id")
+    return index.search(asked.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), 10)
+
+
 @query(f"WITH {BM25_SQL}, r AS (SELECT qid, id, score, {TOP} AS rank FROM hit) SELECT * FROM r WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fts_hits(spark, sf_dir, k=10)
