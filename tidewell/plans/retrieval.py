@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import PROPER_NAMES_SQL, proper_names, tokens
-from ..operators import fusion, inverted_index, retrieval, vector_index
+from ..operators import documents, fusion, inverted_index, near_vectors, retrieval, vector_index
 from ..registry import query
 from ..session import small, table
 
@@ -207,3 +207,39 @@ def knn_related_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rounded_pairs(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return retrieval.similar_pairs(e, least).select("id", "other_id", F.round("score", 6).alias("score"))
+
+
+#: The embeddings, and a near copy of each fourth one, its components moved a little and brought to length 1; copies are also repeated under a third id.
+PLANTED_SQL = """
+m AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x + 0.01 * ((i * 7 + vec_id) % 5 - 2)) AS v FROM embeddings WHERE vec_id % 4 = 0),
+u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM m),
+p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings UNION ALL SELECT vec_id + 1000000, v FROM u UNION ALL SELECT vec_id + 2000000, v FROM u WHERE vec_id % 8 = 0),
+h AS (SELECT min(id) AS id, v FROM p GROUP BY v)"""
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    moved = F.transform("v", lambda x, i: x + 0.01 * (((i + 1) * 7 + F.col("vec_id")) % 5 - 2))
+    unit = e.where("vec_id % 4 = 0").withColumn("v", moved).withColumn("v", F.expr("transform(v, x -> x / sqrt(aggregate(v, 0D, (a, y) -> a + y * y)))"))
+    copies = unit.select((F.col("vec_id") + 1_000_000).alias("id"), "v").unionByName(unit.where("vec_id % 8 = 0").select((F.col("vec_id") + 2_000_000).alias("id"), "v"))
+    return e.select(F.col("vec_id").alias("id"), "v").unionByName(copies).withColumnRenamed("v", "embedding")
+
+
+@query(f"""WITH {PLANTED_SQL} SELECT a.id, b.id AS other_id, round(list_dot_product(a.v, b.v), 6) AS score
+FROM h a JOIN h b ON a.id < b.id WHERE round(list_dot_product(a.v, b.v), 9) >= 0.95""")
+def near_vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planted near copies found by bands of signs; equal copies stand as one."""
+    return near_vectors.near_pairs(planted(spark, sf_dir), 0.95).select("id", "other_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {PLANTED_SQL} SELECT p.id, h.id AS head FROM p JOIN h ON h.v = p.v")
+def equal_vector_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For whom a vector of the pairs stands."""
+    return near_vectors.members(planted(spark, sf_dir))
+
+
+@query()
+def canonical_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical row of each vector that is related to another: rows in order, each joins its best earlier canonical one."""
+    pairs = rounded_pairs(spark, sf_dir, 0.4).select(F.col("other_id").alias("id"), F.col("id").alias("earlier_id"), "score")
+    return documents.greedy_canonical(pairs)
