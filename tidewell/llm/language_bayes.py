@@ -36,7 +36,7 @@ MATRIX_BYTES = 64 << 20
 #: Added to the count of every bucket of a language.
 SMOOTH = 0.2
 #: Bytes of text that a task scores at a time, or a single text.
-SLICE = 8 << 20
+SLICE = 2 << 20
 UNKNOWN = "und"
 
 
