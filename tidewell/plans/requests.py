@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import agents, claims, crawl, fusion, interview, memory, metrics, search
+from ..operators import agents, claims, crawl, fusion, interview, memory, metrics, request, retrieval, search
 from ..registry import query
 from ..session import table
-from .retrieval import CHANNELS_SQL, benchmark_queries, channels, fts_hits, graph_hits, vector_hits
+from .retrieval import CHANNELS_SQL, benchmark_queries, channels, entities, fts_hits, graph_hits, vector_hits
 
 #: Documents with a parent (every third is one), a flag of the canonical and of the superseded.
 DOCS_SQL = "d AS (SELECT *, CASE WHEN doc_id % 3 > 0 THEN doc_id - doc_id % 3 END AS parent_id, CASE WHEN doc_id % 5 < 4 THEN doc_id % 2 = 0 END AS is_canonical, CASE WHEN doc_id % 7 < 6 THEN doc_id % 11 = 0 END AS superseded, doc_id % 13 // 12 AS del_flag FROM documents)"
@@ -268,3 +268,27 @@ def memory_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = d.where("doc_id % 3 = 0").select(i.alias("id"), F.substring("text", 1, 40).alias("content"), F.col("source").alias("title"), F.col("n_chars").alias("created_at"), (i % 7 == 0).alias("superseded"))
     children = d.select((i % 10).alias("qid"), F.substring("text", 1, 30).alias("content"), (i - i % 3 + F.when(i % 11 == 0, 1).otherwise(0)).alias("parent_id"), F.col("source").alias("title"), ((i % 97) / 97).alias("abs_cosine"), F.lit(None).cast("double").alias("hybrid_score"), F.col("n_chars").alias("created_at"))
     return memory.expanded(children, parents).select("qid", "content", "score")
+
+
+@query(f"""WITH {CHANNELS_SQL}, f AS (SELECT qid, id, round(sum(1.0 / (60 + rnk)), 9) AS score FROM s GROUP BY qid, id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM f),
+v AS (SELECT qid, id, score AS abs_cosine FROM s WHERE channel = 'vector'),
+par AS (SELECT qid, id - id % 3 AS id, max(score) AS score, max(abs_cosine) AS abs_cosine FROM r LEFT JOIN v USING (qid, id) WHERE rank <= 25 GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM par)
+SELECT qid, rank, id, score, abs_cosine, 0 AS round, false AS used_rewrite, substr(text, 1, 500) AS content FROM o JOIN documents ON doc_id = id WHERE rank <= 25""")
+def request_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole request of 25 results: channels, fusion, parents, contents; a channel that fails counts as empty."""
+    texts = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "parent_id", "text")
+    e = table(spark, sf_dir, "embeddings")
+    asked = benchmark_queries(spark, sf_dir).join(e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), "qid", "left")
+
+    def graph(queries: DataFrame, k: int) -> DataFrame:
+        named = entities(texts, "id").join(entities(queries, "qid"), "name")
+        return fusion.best(named.groupBy("qid", "id").agg(F.countDistinct("name").cast("double").alias("score")), k)
+
+    parts = {
+        "fts": lambda queries, k: retrieval.bm25_of_texts(queries, texts.select("id", "text"), k),
+        "vector": lambda queries, k: retrieval.nearest(queries.select("qid", "q"), e.select(F.col("vec_id").alias("id"), "embedding"), k),
+        "graph": graph,
+    }
+    return request.answered(asked, parts, texts, request.Request(k=25))
