@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -38,19 +38,19 @@ def bm25(queries: DataFrame, index: DataFrame, k: int | None = None, match_all:
     return scored(hits, totals, asked, k, match_all)
 
 
-def bm25_of_texts(queries: DataFrame, texts: DataFrame, k: int | None = None, match_all: bool = False) -> DataFrame:
+def bm25_of_texts(queries: DataFrame, texts: DataFrame, k: int | None = None, match_all: bool = False, terms: Callable[[Column], Column] = tokens) -> DataFrame:
     """As bm25, over texts (id, text; an id for each) without an index, in one scan: a text's length goes along with its terms, of which those that no query
     asks for are left out before the shuffle; one more row a text holds the totals. What is left is written, for hits, frequencies and totals to read."""
-    asked = terms_of(queries)
+    asked = terms_of(queries, terms)
     wanted = asked.select("term").union(asked.sparkSession.range(1).select(F.lit(WHOLE))).distinct()
-    words = texts.select("id", tokens(F.col("text")).alias("words")).select("id", F.size("words").alias("length"), F.explode(F.array_append("words", F.lit(WHOLE))).alias("term"))
+    words = texts.select("id", terms(F.col("text")).alias("words")).select("id", F.size("words").alias("length"), F.explode(F.array_append("words", F.lit(WHOLE))).alias("term"))
     counts = written(words.join(small(wanted, asked), "term", "left_semi").groupBy("id", "length", "term").agg(F.count("*").alias("tf")), "hits")
     totals = counts.where((F.col("term") == WHOLE) & (F.col("length") > 0)).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     return scored(counts.where(F.col("term") != WHOLE), totals, asked, k, match_all)
 
 
-def terms_of(queries: DataFrame) -> DataFrame:
-    return queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+def terms_of(queries: DataFrame, terms: Callable[[Column], Column] = tokens) -> DataFrame:
+    return queries.select("qid", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
 
 
 def scored(hits: DataFrame, totals: DataFrame, asked: DataFrame, k: int | None, match_all: bool) -> DataFrame:
