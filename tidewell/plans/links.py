@@ -116,3 +116,12 @@ def prefix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = rules.unionByName(pages.where("page_id % 5 = 0").select(F.col("url").alias("prefix"), F.lit("page").alias("rule"), (F.col("page_id") % 3 == 0).alias("skip")))
     rules = rules.unionByName(spark.sql("SELECT prefix, rule, skip FROM VALUES ('  ', 'blank', true), ('http', 'any', false) AS t(prefix, rule, skip)"))
     return crawl.ruled(pages.select(F.col("page_id").alias("id"), F.col("url").alias("uri")), rules).drop("uri")
+
+
+@query()
+def crawl_within_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What four sources crawl, each from its share of the pages, with depths of one to three and budgets of pages."""
+    pages = table(spark, sf_dir, "pages")
+    sources = spark.range(4).select(F.col("id").alias("source"), (F.col("id") % 3 + 1).cast("int").alias("max_depth"), (F.col("id") * 40 + 30).alias("max_pages"))
+    seeds = pages.where("page_id % 10 = 0").select((F.col("page_id") / 10 % 4).cast("long").alias("source"), "url", F.col("page_id").alias("pos"))
+    return graph.crawled_within(graph.links(pages), seeds, sources)
