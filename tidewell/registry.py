@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tidewell.plans import conversations, documents, evaluation, links, memory, requests, retrieval, telemetry  # noqa: F401
+    from tidewell.plans import conversations, documents, evaluation, links, memory, requests, retrieval, rules, telemetry  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
