@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import documents as D
 from ..registry import query
+from ..sources import tables
 from ..session import small, table
 
 
@@ -69,16 +70,22 @@ def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.md5(D.cleaned(F.col("text"))).alias("clean"), F.length(D.normalised(F.col("text"))).alias("normal_chars"))
 
 
-@query("SELECT source, list_sort(list_distinct(list(lang))) AS langs, count(*) AS n FROM documents GROUP BY source")
+@query("""WITH stored AS (SELECT source, list_sort(list_distinct(list(lang))) AS langs FROM documents WHERE doc_id % 4 < 2 GROUP BY source),
+new AS (SELECT source, [lang] AS langs FROM documents WHERE doc_id % 4 >= 2)
+SELECT source, list_sort(list_distinct(flatten(list(langs)))) AS langs FROM (SELECT * FROM stored UNION ALL SELECT * FROM new) GROUP BY source""")
 def array_merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("langs"), F.count("*").alias("n"))
+    """Stored arrays by key, merged with those of new rows."""
+    d = docs(spark, sf_dir)
+    stored = tables.merged_ids(d.where("doc_id % 4 < 2").select("source", F.array("lang").alias("langs")), ["source"], "langs")
+    return tables.merged_ids(stored.unionByName(d.where("doc_id % 4 >= 2").select("source", F.array("lang").alias("langs"))), ["source"], "langs")
 
 
-@query("SELECT source, string_agg(CAST(n_chars AS VARCHAR), chr(10) ORDER BY doc_id) AS content, min(doc_id) AS first_id FROM documents GROUP BY source")
+@query("""SELECT doc_id // 5 AS root, string_agg(text, chr(10) ORDER BY doc_id) AS content, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1""")
 def reassemble_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of a document joined in order of their id."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))), lambda x: x["n_chars"].cast("string"))
-    return docs(spark, sf_dir).groupBy("source").agg(F.array_join(parts, "\n").alias("content"), F.min("doc_id").alias("first_id"))
+    """The parts of a document, here five rows, joined in order of their id."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"])
+    d = docs(spark, sf_dir).where("text IS NOT NULL")
+    return d.groupBy(F.floor(F.col("doc_id") / 5).alias("root")).agg(F.array_join(parts, "\n").alias("content"), F.min("doc_id").alias("first_id"))
 
 
 @query("SELECT doc_id FROM documents WHERE (source IS NULL OR source NOT LIKE 'src1%') AND lower(text) LIKE '% the %' AND lang IN ('en', 'de')")

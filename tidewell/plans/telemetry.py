@@ -23,13 +23,13 @@ def percentiles_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, list_sort(list(value))[least(count(*), CAST(floor(0.95 * count(*)) AS BIGINT) + 1)] AS p95_floor FROM events GROUP BY event_type")
 def percentiles_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest rank, rounded up and rounded down; the latter by ranks, so no array of a whole group is built."""
-    e = events(spark, sf_dir)
-    up = e.groupBy("event_type").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
+    """Nearest rank, rounded up and rounded down, from counts by value and their running sums: a task sorts values, not events."""
+    counts = events(spark, sf_dir).where("value IS NOT NULL").groupBy("event_type", "value").agg(F.count("*").alias("c"))
     w = Window.partitionBy("event_type")
-    ranked = e.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy("value")))
-    down = ranked.where(F.col("r") == F.least(F.col("n"), F.floor(F.lit(0.95) * F.col("n")) + 1)).select("event_type", F.col("value").alias("p95_floor"))
-    return up.join(down, "event_type")
+    upto = counts.withColumn("n", F.sum("c").over(w)).withColumn("upto", F.sum("c").over(w.orderBy("value")))
+    first = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("value")))
+    down = F.least(F.col("n"), F.floor(F.lit(0.95) * F.col("n")) + 1)
+    return upto.groupBy("event_type").agg(first(F.lit(0.5) * F.col("n")).alias("p50"), first(F.lit(0.95) * F.col("n")).alias("p95"), first(down).alias("p95_floor"))
 
 
 @query("SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS hour, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY date_trunc('hour', ts)")
