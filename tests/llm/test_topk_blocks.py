@@ -45,3 +45,25 @@ def test_repeated_ids(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in tb.top_k(df).orderBy("rank").collect()]
     assert got == [(20, 1, 1, 4096), (20, 2, 2, 2560), (20, 3, 1, 1024), (20, 4, 3, -5120)]
+
+
+def test_superblocks_are_pruned_before_shipping(spark, monkeypatch):
+    """On clustered vectors most queries go to few superblocks; results stay exact."""
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(16, 12)) * 3
+    rows = [(i, [round(float(c), 3) for c in centers[i % 16] + rng.normal(size=12) * 0.01]) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for name, value in (("SUPER", 25), ("EXTREMA", 5), ("ASKING", 3)):
+        monkeypatch.setattr(tb, name, value)
+    shipped, ship = [], tb.sent_queries
+
+    def counted(supers, dims):
+        sent = ship(supers, dims)
+        shipped.append((sum(len(r["query_ids"]) // 8 for r in sent.collect()), supers.where("n > 0").count()))
+        return sent
+
+    monkeypatch.setattr(tb, "sent_queries", counted)
+    got = [tuple(r) for r in tb.top_k(df, 5).orderBy("query_id", "rank").collect()]
+    assert got == brute(rows, 5)
+    queries, supers = 80, shipped[0][1]
+    assert supers >= 64 and shipped[0][0] < 0.6 * queries * supers, (shipped, queries)

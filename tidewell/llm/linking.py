@@ -143,20 +143,47 @@ def in_small_batches(scratch: Scratch, tiles: DataFrame, found: Callable) -> Dat
         conf.set(key, before)
 
 
+def with_leaders(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, a, b, n): each member b of a bucket beside its leader a, the member with most company."""
+    company = members.withColumn("company", F.sum("n").over(Window.partitionBy("node")))  # a node has as many rows as keys
+    leaders = scratch.put(company.groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("minus"))).alias("lead")).select("key", (-F.col("lead.minus")).alias("a")))
+    led = scratch.put(members.join(small_side(leaders, leaders.count() * PAIR_BYTES), "key").select("key", "a", F.col("node").alias("b"), "n"))
+    scratch.drop(leaders)
+    return led
+
+
+def told_of(led: DataFrame, bodies: DataFrame, verify: Callable, scratch: Scratch) -> DataFrame:
+    return scratch.put(compared(led.where("a <> b").select("a", "b").distinct(), bodies, verify))
+
+
 def linked_components(
-    keys: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], verify: Callable, sets_of: Callable, confirm: Callable, measure: Callable, limit: float, scratch: Scratch
+    keys: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], verify: Callable, sets_of: Callable, confirm: Callable, measure: Callable, limit: float, scratch: Scratch, early: int = 0
 ) -> DataFrame:
     """(node, component) of the nodes that match others; the component is its least node. `keys` has key and node, read twice; bodies_of(nodes) gives node and body of the
     nodes that share a key; verify compares pairs (Arrow) and tells their similarity by `measure`; sets_of gives sorted elements of texts, confirm decides on two
-    texts whose elements are alike enough."""
+    texts whose elements are alike enough.
+
+    With `early`, one bucket in so many, by its key, is compared with its leader and joined first. Buckets whose members are all in one component by then are done, which
+    for a family of copies are nearly all; the others go on, those first ones too."""
     members = shared_keys(keys, scratch)
-    company = members.withColumn("company", F.sum("n").over(Window.partitionBy("node")))  # a node has as many rows as keys
-    leaders = scratch.put(company.groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("minus"))).alias("lead")).select("key", (-F.col("lead.minus")).alias("a")))
-    led = scratch.put(members.join(small_side(leaders, leaders.count() * PAIR_BYTES), "key").select("key", "a", F.col("node").alias("b"), "n"))
-    scratch.drop(members, leaders)
-    bodies = bodies_of(led.select(F.col("b").alias("node")).distinct())
-    told = scratch.put(compared(led.where("a <> b").select("a", "b").distinct(), bodies, verify))
+    bodies = bodies_of(members.select("node").distinct())
+    known = None
+    if early:
+        led = with_leaders(members.where(F.pmod("key", F.lit(early)) == 0), scratch)
+        told = told_of(led, bodies, verify, scratch)
+        joined = connected_components(told.where("same").select("a", "b"), scratch)
+        known = joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        scratch.drop(led, told)
+        own = F.coalesce("component", "node")
+        open_keys = members.join(joined, "node", "left").groupBy("key").agg(F.min(own).alias("least"), F.max(own).alias("most")).where("least <> most").select("key")
+        rest = scratch.put(members.join(open_keys, "key", "left_semi"))
+        scratch.drop(members)
+        members = rest
+    led = with_leaders(members, scratch)
+    scratch.drop(members)
+    told = told_of(led, bodies, verify, scratch)
     links = told.where("same").select("a", "b")
+    links = links if known is None else scratch.put(links.union(known))
     component = connected_components(links, scratch)
     placed = led.where("n > 2").join(told.drop("same"), ["a", "b"], "left").join(component.withColumnRenamed("node", "b"), "b", "left")
     placed = scratch.put(placed.select("key", F.col("b").alias("node"), F.coalesce("component", "b").alias("component"), F.floor(F.coalesce("similarity", F.lit(1.0)) / BIN).alias("bin"), F.coalesce("size", F.lit(0)).alias("size")))

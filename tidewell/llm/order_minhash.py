@@ -30,6 +30,8 @@ from .linking import linked_components, of_larger
 from .words import coded_words, hash_words
 
 WORDS, SKETCHES, CHOSEN, LIMIT = 5, 64, 2, 0.8
+#: One bucket in so many is compared before the others.
+EARLY = 5
 #: k-mers that pass the first cut of a sketch on average; of texts left with fewer than CHOSEN all pass.
 PASS = 16
 #: Bytes of a row (number, digest, id) in a broadcast table.
@@ -214,7 +216,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         times = found.groupBy("node").count().where("count > 1").limit(1).count()
         return scratch.put(found.dropDuplicates(["node"])) if times else found  # rows of equal id and text
 
-    component = linked_components(keys, bodies_of, verified, labelled_words, aligned, of_larger, LIMIT, scratch)
+    component = linked_components(keys, bodies_of, verified, labelled_words, aligned, of_larger, LIMIT, scratch, EARLY)
     named = nodes.select("digest", "node", "first_id").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = named.groupBy("component").agg(F.min("first_id").alias("class_id"))
     named = named.join(classes, "component").select("digest", "class_id", "component")

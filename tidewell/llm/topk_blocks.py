@@ -5,7 +5,8 @@ nearest of a few centroids of a bounded sample, then the id), and runs of BLOCK
 least value of every term. A query's bound for a block is the sum over terms of its weight times the greatest (for a negative weight, the least) value.
 
 First each query is scored against the documents of its own superblock (up to SUPER documents), which gives a k-th score to beat. Then every chunk of
-queries meets every superblock: per query, blocks are ordered by bound and scored through their forward index (the matrix of their
+queries meets the extrema of every superblock, and the queries whose bound for it reaches their k-th score go there, the others not: so superblocks are pruned
+before anything is shipped. There, per query, blocks are ordered by bound and scored through their forward index (the matrix of their
 documents) in waves of 1, 2, 4, ... blocks, until the bounds left fall below the k-th score. Equal scores go to the smaller id, so bounds equal to the k-th
 score are still opened. Results are exact for any data; the order of documents only decides how much is skipped.
 
@@ -31,6 +32,8 @@ from .common import written
 SCALE, EVERY, K = 64, 20, 20
 BLOCK, SUPER = 64, 1 << 14
 SAMPLE, CENTROIDS = 2000, 48
+#: Superblocks whose extrema stand in a row of their table, and queries that go to one of them in a row.
+EXTREMA, ASKING = 1024, 1024
 #: Tiles that a Python task holds at a time.
 TILES = 4
 
@@ -134,21 +137,21 @@ def searched(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, docs
     return best, opened
 
 
-SUPERS = "part int, ids binary, docs binary, dims int, query_ids binary, queries binary, floors binary"
+SUPERS = "part long, n int, ids binary, docs binary, dims int, query_ids binary, queries binary, floors binary"
 
 
 def packer(dims: int, k: int):
     """Superblocks of a sorted partition, each with the queries that stand among its rows and their k-th scores within it."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, ids, rows, asking, held = TaskContext.get().partitionId(), [], [], [], 0
+        part, ids, rows, asking, held = TaskContext.get().partitionId() << 32, [], [], [], 0
 
         def out() -> pa.RecordBatch:
             own, x, asks = np.concatenate(ids), np.concatenate(rows), np.concatenate(asking)
             query_ids, queries, own, x = own[asks], x[asks], own[~asks], x[~asks]
             floor = np.full(len(query_ids), np.iinfo(np.int64).min)
             best, _ = searched(queries, query_ids, floor, x, own, k)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([a.tobytes()], pa.binary()) for a in (own, x)], pa.array([dims], pa.int32()), *[pa.array([a.tobytes()], pa.binary()) for a in (query_ids, queries, best.floor)]], names=[c.split()[0] for c in SUPERS.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([len(own)], pa.int32()), *[pa.array([a.tobytes()], pa.binary()) for a in (own, x)], pa.array([dims], pa.int32()), *[pa.array([a.tobytes()], pa.binary()) for a in (query_ids, queries, best.floor)]], names=[c.split()[0] for c in SUPERS.split(", ")])
 
         for batch in batches:
             own, x, asks = batch.column(0).to_numpy(), matrix(batch.column(1), dims), batch.column(2).to_numpy(zero_copy_only=False)
@@ -160,7 +163,7 @@ def packer(dims: int, k: int):
                 own, x, asks, held = own[take:], x[take:], asks[take:], held + take
                 if held == SUPER:
                     yield out()
-                    ids, rows, asking, held = [], [], [], 0
+                    part, ids, rows, asking, held = part + 1, [], [], [], 0
         if held:
             yield out()
 
@@ -179,23 +182,64 @@ def tile_search(k: int):
     return found
 
 
+def extrema(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The greatest and least value of every term in each superblock."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            x = np.frombuffer(r["docs"], np.int64).reshape(-1, r["dims"])
+            yield pa.RecordBatch.from_arrays([pa.array([r["part"]]), pa.array([x.max(axis=0).tobytes()], pa.binary()), pa.array([x.min(axis=0).tobytes()], pa.binary())], names=["part", "greatest", "least"])
+
+
+def sender(dims: int):
+    """Chunks of queries beside extrema: for each superblock that some may enter, these queries."""
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                queries = np.frombuffer(r["queries"], np.int64).reshape(-1, dims)
+                ids, floor = (np.frombuffer(r[c], np.int64) for c in ("query_ids", "floors"))
+                greatest, least = (np.array([np.frombuffer(b[c], np.int64) for b in r["supers"]]) for c in ("greatest", "least"))
+                for at in range(0, len(ids), ASKING):
+                    q = queries[at : at + ASKING]
+                    due = products(np.maximum(q, 0), greatest) + products(np.minimum(q, 0), least) >= floor[at : at + ASKING, None]
+                    for k in np.flatnonzero(due.any(axis=0)):
+                        own = at + np.flatnonzero(due[:, k])
+                        arrays = [pa.array([a.tobytes()], pa.binary()) for a in (ids[own], queries[own], floor[own])]
+                        yield pa.RecordBatch.from_arrays([pa.array([r["supers"][k]["part"]]), *arrays], names=["part", "query_ids", "queries", "floors"])
+
+    return sent
+
+
+def few_at_once(df: DataFrame, task, schema: str, name: str) -> DataFrame:
+    """df.mapInArrow(task), written, with TILES rows of megabytes in an Arrow batch."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = conf.get(key)
+    conf.set(key, str(TILES))
+    try:
+        return written(df.mapInArrow(task, schema), name)
+    finally:
+        conf.set(key, rows)
+
+
+def sent_queries(supers: DataFrame, dims: int) -> DataFrame:
+    """part, query_ids, queries, floors: the queries of each superblock that may find a document in another, or in their own."""
+    bounds = few_at_once(supers.where("n > 0").select("part", "docs", "dims"), extrema, "part long, greatest binary, least binary", "extrema")
+    numbers = written(bounds.select("part").withColumn("block", F.floor((F.row_number().over(Window.orderBy("part")) - 1) / EXTREMA).cast("int")), "numbers")  # a row a superblock
+    blocks = written(bounds.join(numbers, "part").groupBy("block").agg(F.collect_list(F.struct("part", "greatest", "least")).alias("supers")), "blocks")
+    most = blocks.agg(F.max("block")).first()[0] or 0
+    chunks = supers.where(F.octet_length("query_ids") > 0).select("query_ids", "queries", "floors", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("block"))
+    return few_at_once(chunks.join(blocks, "block").drop("block"), sender(dims), "part long, query_ids binary, queries binary, floors binary", "sent")
+
+
 def top_k(vectors: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank from 1, vec_id and score of the k best of each query."""
-    spark = vectors.sparkSession
     v = integers(vectors)
     dims = max(1, v.agg(F.max(F.size("v")).alias("d")).first()["d"] or 1)
     queries = v.where(F.col("vec_id") % EVERY == 0).groupBy("vec_id").agg(F.min("v").alias("v"))  # of repeated ids the least vector
     rows = v.withColumn("asks", F.lit(False)).unionByName(queries.withColumn("asks", F.lit(True)))
     ordered = rows.mapInArrow(nearest(centroids(v, dims)), "vec_id long, v array<long>, asks boolean, c int").repartitionByRange("c", "vec_id").sortWithinPartitions("c", "vec_id")
     supers = written(ordered.mapInArrow(packer(dims, k), SUPERS), "supers")
-    parts = (supers.agg(F.max("part").alias("p")).first()["p"] or 0) + 1
-    chunks = supers.where(F.octet_length("query_ids") > 0).select("query_ids", "queries", "floors", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    tiles = chunks.join(supers.select("part", "ids", "docs", "dims"), "part")
-    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TILES))  # a row is a tile of megabytes
-    try:
-        near = written(tiles.select("query_ids", "queries", "floors", "ids", "docs", "dims").mapInArrow(tile_search(k), "query_id long, vec_id long, score long"), "tiles")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    tiles = sent_queries(supers, dims).join(supers.select("part", "ids", "docs", "dims"), "part")
+    near = few_at_once(tiles.select("query_ids", "queries", "floors", "ids", "docs", "dims"), tile_search(k), "query_id long, vec_id long, score long", "tiles")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
