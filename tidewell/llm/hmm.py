@@ -29,11 +29,13 @@ from .common import bucket_of, slices, texts_of, written
 from .words import coded_words
 
 STATES, CLASSES, SEGMENT = 16, 60_000, 512
-#: Rounds of Baum-Welch.
-ROUNDS = 6
+#: Rounds of Baum-Welch at most, and the gain of a round, in the log likelihood of a token, under which it is the last.
+ROUNDS, GAIN = 6, 1e-4
 #: Partitions of the texts whose expected counts one task of a round adds up before they are shuffled.
 GATHER = 8
 SMOOTH = 4.0
+#: How much likelier the first model's states stay than go elsewhere. States that hardly stay take a dozen rounds to part from one another.
+STAY = 30.0
 CODED = "doc_id long, held_out boolean, n_tokens long, ids binary, top_known long, top_score double, rare array<string>, rare_times array<int>"
 
 
@@ -94,13 +96,13 @@ def first_model(v: Vocabulary, seed: int = 5) -> Model:
     lean = np.full((v.size, STATES), 0.3)
     lean[np.arange(v.size), rng.integers(STATES, size=v.size)] += 3.0
     b = lean * v.base[:, None]
-    a = np.full((STATES, STATES), 1.0) + rng.random((STATES, STATES)) + np.eye(STATES)
+    a = np.full((STATES, STATES), 1.0) + rng.random((STATES, STATES)) + STAY * np.eye(STATES)
     even = np.full(STATES, 1 / STATES)
     return Model(even, even, a / a.sum(axis=1, keepdims=True), b / b.sum(axis=0))
 
 
-def expected_counts(m: Model, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sums over sequences of initial, continuing, transition and (per token) state posteriors; sequences ordered by length, longest first."""
+def expected_counts(m: Model, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """Sums over sequences of initial, continuing, transition and (per token) state posteriors, and of log likelihoods; sequences ordered by length, longest first."""
     n, longest = len(starts), int(lengths[0])
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")  # sequences longer than t
     alphas, scales = [], []
@@ -112,6 +114,7 @@ def expected_counts(m: Model, flat: np.ndarray, starts: np.ndarray, lengths: np.
         alpha = alpha / scale
         alphas.append(alpha)
         scales.append(scale)
+    likelihood = float(sum(np.log(s, dtype=np.float64).sum() for s in scales))
     moves = np.zeros((STATES, STATES))
     posterior = np.zeros((len(flat), STATES), np.float32)
     beta = np.zeros((0, STATES), np.float32)
@@ -127,15 +130,16 @@ def expected_counts(m: Model, flat: np.ndarray, starts: np.ndarray, lengths: np.
         gamma = alphas[t] * beta
         posterior[starts[:k] + t] = gamma / (gamma.sum(axis=1, keepdims=True) + np.float32(1e-30))
     opening = posterior[starts]
-    return opening[first].sum(axis=0), opening[~first].sum(axis=0), moves * m.a, posterior, flat
+    return opening[first].sum(axis=0), opening[~first].sum(axis=0), moves * m.a, posterior, flat, likelihood
 
 
 def counter(m: Model, v: Vocabulary):
-    """One pass of expected counts over a partition: rows of (word, state counts); word -1-i is transition row i, -100 and -101 the openings."""
+    """One pass of expected counts over a partition: rows of (word, state counts); word -1-i is transition row i, -100 and -101 the openings, -102 has the
+    log likelihood and the tokens."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emit = np.zeros((v.size, STATES))
-        moves, start, continued = np.zeros((STATES, STATES)), np.zeros(STATES), np.zeros(STATES)
+        moves, start, continued, told = np.zeros((STATES, STATES)), np.zeros(STATES), np.zeros(STATES), np.zeros(STATES)
         for batch in slices(batches, "ids", 2 << 20):
             column = batch.column(0)
             offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 2
@@ -151,38 +155,53 @@ def counter(m: Model, v: Vocabulary):
                 some = order[at : at + 1024]
                 own = np.cumsum(lengths[some]) - lengths[some]
                 tokens = flat[gathered(starts[some], lengths[some])]
-                s, c, t, posterior, ids = expected_counts(m, tokens, own, lengths[some], part[some] == 0)
+                s, c, t, posterior, ids, likelihood = expected_counts(m, tokens, own, lengths[some], part[some] == 0)
+                told[:2] += likelihood, len(tokens)
                 start += s
                 continued += c
                 moves += t
                 for k in range(STATES):
                     emit[:, k] += np.bincount(ids, posterior[:, k], v.size)
         seen = np.flatnonzero(emit.any(axis=1))
-        words = np.concatenate([seen, -1 - np.arange(STATES), [-100, -101]]).astype(np.int64)
-        values = np.concatenate([emit[seen], moves, start[None], continued[None]])
+        words = np.concatenate([seen, -1 - np.arange(STATES), [-100, -101, -102]]).astype(np.int64)
+        values = np.concatenate([emit[seen], moves, start[None], continued[None], told[None]])
         yield pa.RecordBatch.from_arrays([pa.array(words), *[pa.array(values[:, k].astype(np.float32)) for k in range(STATES)]], names=["word", *[f"s{k}" for k in range(STATES)]])
 
     return counted
 
 
-def next_model(m: Model, v: Vocabulary, training: DataFrame) -> Model:
-    """One round of Baum-Welch over the training texts."""
+def next_model(m: Model, v: Vocabulary, training: DataFrame) -> tuple[Model, float]:
+    """One round of Baum-Welch over the training texts, and the log likelihood of a token under the model before it."""
     rows = training.mapInArrow(counter(m, v), "word long, " + ", ".join(f"s{k} float" for k in range(STATES)))
     summed = rows.groupBy("word").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES)])
     got = np.array([list(r) for r in summed.collect()]).reshape(-1, STATES + 1)  # a row a word of the bounded vocabulary
     words, values = got[:, 0].astype(int), got[:, 1:]
-    emit, moves, start, continued = np.zeros((v.size, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES), np.zeros(STATES)
+    emit, moves, start, continued, told = np.zeros((v.size, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES), np.zeros(STATES), np.zeros(2)
     emit[words[words >= 0]] = values[words >= 0]
     for word, value in zip(words, values):
         if word == -100:
             start += value
         elif word == -101:
             continued += value
+        elif word == -102:
+            told += value[:2]
         elif word < 0:
             moves[-1 - word] += value
     moves += 0.1
     emit += SMOOTH * v.base[:, None] * STATES
-    return Model((start + 0.1) / (start + 0.1).sum(), (continued + 0.1) / (continued + 0.1).sum(), moves / moves.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    begun = [x + 0.1 for x in (start, continued)]
+    return Model(*[x / x.sum() for x in begun], moves / moves.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)), told[0] / max(1.0, told[1])
+
+
+def trained(v: Vocabulary, training: DataFrame, rounds: int = ROUNDS, gain: float = GAIN) -> tuple[Model, list[float]]:
+    """The model after at most `rounds` rounds, fewer once a round gains less than `gain` a token; and the log likelihood of a token before each round."""
+    m, told = first_model(v), []
+    for _ in range(rounds):
+        m, likelihood = next_model(m, v, training)
+        told.append(likelihood)
+        if len(told) > 1 and told[-1] - told[-2] < gain:
+            break
+    return m, told
 
 
 def forward(m: Model, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -227,12 +246,10 @@ def score_texts(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (bucket_of("doc_id", 5) == 1).alias("held_out"), F.col("text").cast("string").alias("text"))
     coded = read.mapInArrow(encoder(v), CODED).withColumn("row", F.monotonically_increasing_id())
     coded = written(coded, "coded")
-    m = first_model(v)
     training = coded.where(~F.col("held_out")).select("ids")
     tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, training.rdd.getNumPartitions() // GATHER)
     training = training.coalesce(tasks)
-    for _ in range(rounds):
-        m = next_model(m, v, training)
+    m, _ = trained(v, training, rounds)
     rare = coded.select("row", F.explode(F.arrays_zip("rare", "rare_times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.rare_times").alias("times"))
     scarce = counts.where(F.col("c") <= (int(top[-1][1]) if top else 0))  # words of the classes never come up in `rare`
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / v.below)
