@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import bpe
 from .common import slices, texts_of, written
@@ -122,19 +123,36 @@ def places(plan: list[tuple[int, dict[int, int]]]) -> list[tuple[int, list[int],
 
 def packed(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """Each piece with sequence_id and offset; `pieces` has a length and the task that made the row, and is read twice."""
-    spark = pieces.sparkSession
     counted = written(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "counts")
     by_length = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    runs = spark.createDataFrame(places(bin_plan(by_length, capacity)), "length long, firsts array<long>, sequences array<long>, shares array<long>, offsets array<long>")
+    runs = places(bin_plan(by_length, capacity))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = counted.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     columns = [c for c in pieces.columns if c != "task"]
     ranked = pieces.withColumn("local", F.row_number().over(Window.partitionBy("task", "length").orderBy("doc_id", "piece")) - 1)
     ranked = ranked.join(base, ["task", "length"]).withColumn("rank", F.col("base") + F.col("local"))
-    placed = ranked.join(F.broadcast(runs), "length")  # a row a length, with the runs of its bins: the plan's size, whatever the input's
-    return placed.withColumn("run", F.expr("array_position(transform(firsts, x -> x <= rank), false)")).withColumn("run", F.when(F.col("run") == 0, F.size("firsts")).otherwise(F.col("run") - 1).cast("int")).selectExpr(
-        *columns, "element_at(sequences, run) + (rank - element_at(firsts, run)) div element_at(shares, run) AS sequence_id", "element_at(offsets, run) + length * ((rank - element_at(firsts, run)) % element_at(shares, run)) AS offset"
-    )
+    ranked = ranked.select(*columns, F.col("rank").alias("__rank"))
+    schema = StructType([*ranked.schema.fields[:-1], StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    return ranked.mapInArrow(placer(runs), schema)
+
+
+def placer(runs: list[tuple[int, list[int], list[int], list[int], list[int]]]):
+    """Sequence and offset of pieces by length and rank (the last column), by bisection in the runs of their length; the plan's size is that of the bins' kinds, whatever the input's."""
+    by_length = {length: tuple(np.array(x, np.int64) for x in rest) for length, *rest in runs}
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, rank = batch.column(batch.schema.get_field_index("length")).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
+            sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+            for k in np.unique(length):
+                firsts, sequences, shares, offsets = by_length[int(k)]
+                own = np.flatnonzero(length == k)
+                run = np.searchsorted(firsts, rank[own], side="right") - 1
+                within, share = rank[own] - firsts[run], shares[run]
+                sequence[own], offset[own] = sequences[run] + within // share, offsets[run] + k * (within % share)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
+
+    return placed
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = END_ID) -> DataFrame:
