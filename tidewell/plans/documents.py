@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import documents as D
 from ..registry import query
-from ..sources import tables
+from ..sources import layout, tables
 from ..session import small, table
 
 
@@ -152,3 +152,16 @@ def dynamic_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.interview import page_of
 
     return page_of(table(spark, sf_dir, "orders"), {"o_orderstatus": "F"}, {"o_orderpriority": "high"}, [("o_totalprice", False), ("o_orderkey", True)], 2, 20).select("o_orderkey", "o_orderpriority", "o_totalprice")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST((place * 7919) % 1000003 AS BIGINT) AS block, CAST(place AS BIGINT) AS place FROM l""")
+def page_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines set as a heading and three columns, their blocks numbered at random, in order again."""
+    lines = docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"), F.size(F.split("text", "\n")).alias("n"))
+    high = F.greatest(F.lit(1), F.ceil((F.col("n") - 1) / 3))
+    column, row, first = F.floor((F.col("k") - 1) / high), (F.col("k") - 1) % high, F.col("k") == 0
+    x0, y0 = F.when(first, 0).otherwise(column * 100 + 5), F.when(first, 0).otherwise(row * 12 + 30)
+    x1, y1 = F.when(first, 300).otherwise(x0 + 85), F.when(first, 20).otherwise(y0 + 10 - column)
+    blocks = lines.select("doc_id", ((F.col("k") + 1) * 7919 % 1_000_003).cast("long").alias("block"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    return layout.reading_order(blocks, "doc_id")
