@@ -104,9 +104,14 @@ def chunk_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     return parents.select(id_column, F.col("p.parent").alias("parent"), F.col("p.title").alias("title"), F.length("p.content").alias("parent_chars"), F.posexplode("p.children").alias("child", "content"))
 
 
+def composed(text: str) -> str:
+    """NFKC; most texts need only a look."""
+    return text if text.isascii() or unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)
+
+
 def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
-        yield batch.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+        yield batch.map(lambda t: None if t is None else composed(t))
 
 
 def nfkc(text: Column) -> Column:
@@ -148,11 +153,13 @@ def regions(text: str) -> list[tuple[str, list[str]]]:
 
 def normalised_around(text: str) -> str:
     """NFKC, but for inline code, mathematics and addresses."""
+    if composed(text) is text:
+        return text
     parts, at = [], 0
     for m in KEPT.finditer(text):
-        parts += [unicodedata.normalize("NFKC", text[at : m.start()]), m[0]]
+        parts += [composed(text[at : m.start()]), m[0]]
         at = m.end()
-    return "".join([*parts, unicodedata.normalize("NFKC", text[at:])])
+    return "".join([*parts, composed(text[at:])])
 
 
 def merged_lines(lines: list[str]) -> list[str]:
@@ -178,7 +185,9 @@ FURNITURE = re.compile(PAGE_FURNITURE)
 def cleaned_text(text: str | None) -> str | None:
     if text is None:
         return None
-    text = "".join(c for c in text.replace("\r\n", "\n") if c in "\n\t" or unicodedata.category(c)[0] != "C")
+    text = text.replace("\r\n", "\n")
+    if not text.replace("\n", "").replace("\t", "").isprintable():  # characters of the general category C, and separators, which stay
+        text = "".join(c for c in text if c in "\n\t" or unicodedata.category(c)[0] != "C")
     out: list[str] = []
     for kind, lines in regions(text):
         if kind in ("code", "math"):

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import documents as D
 from ..registry import query
 from ..sources import layout, tables
-from ..session import small, table
+from ..session import small, spread, table
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,12 +62,12 @@ def page_furniture_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parents and children of every document; the splitter is no SQL, so tests hold it against examples and properties."""
-    return D.chunk_rows(docs(spark, sf_dir)).select("doc_id", "parent", "title", "parent_chars", "child", F.length("content").alias("child_chars"))
+    return D.chunk_rows(spread(docs(spark, sf_dir).select("doc_id", "text"))).select("doc_id", "parent", "title", "parent_chars", "child", F.length("content").alias("child_chars"))
 
 
 @query()
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", F.md5(D.cleaned(F.col("text"))).alias("clean"), F.length(D.normalised(F.col("text"))).alias("normal_chars"))
+    return spread(docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.md5(D.cleaned(F.col("text"))).alias("clean"), F.length(D.normalised(F.col("text"))).alias("normal_chars"))
 
 
 @query("""WITH stored AS (SELECT source, list_sort(list_distinct(list(lang))) AS langs FROM documents WHERE doc_id % 4 < 2 GROUP BY source),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import crawl, entities, graph
 from ..registry import query
-from ..session import table
+from ..session import spread, table
 
 URL_SQL = r"""lower(regexp_extract({0}, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_replace(regexp_extract(regexp_replace(regexp_replace({0}, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', ''), '^([^/?]*)', 1), '^.*@', ''))
 || regexp_replace(regexp_extract(regexp_replace(regexp_replace({0}, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', ''), '^[^/?]*(/[^?]*)?', 1), '/+$', '') || regexp_extract(regexp_replace(regexp_replace({0}, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', ''), '(\?.*)$', 1)"""
@@ -31,14 +31,14 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LINKS_SQL} SELECT * FROM links")
 def page_title_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.links(table(spark, sf_dir, "pages"))
+    return graph.links(spread(table(spark, sf_dir, "pages").select("url", "html")))
 
 
 @query(f"WITH RECURSIVE {LINKS_SQL}, seeds AS (SELECT DISTINCT url FROM pages), w AS (SELECT url, 0 AS depth FROM seeds UNION SELECT l.target, w.depth + 1 FROM w JOIN links l ON l.url = w.url WHERE w.depth < 2) SELECT url, min(depth) AS depth FROM w GROUP BY url")
 def link_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a crawl of depth 2 reaches from the pages."""
     pages = table(spark, sf_dir, "pages")
-    return graph.crawled(graph.links(pages), pages.select("url"), 2)
+    return graph.crawled(graph.links(spread(pages.select("url", "html"))), pages.select("url"), 2)
 
 
 @query("SELECT page_id, regexp_replace(url, '[^0-9A-Za-z.\\-_]', '_', 'g') AS name, substr(sha256(html), 1, 16) AS stored FROM pages")

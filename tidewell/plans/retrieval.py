@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import PROPER_NAMES_SQL, proper_names, tokens
 from ..operators import documents, fusion, inverted_index, near_vectors, retrieval, segmentation, vector_index
 from ..registry import query
-from ..session import small, table
+from ..session import small, spread, table
 
 TOKENS_SQL = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 BM25_SQL = f"""
@@ -39,7 +39,7 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fts_hits(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return retrieval.bm25_of_texts(benchmark_queries(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), **options)
+    return retrieval.bm25_of_texts(benchmark_queries(spark, sf_dir), spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")), **options)
 
 
 def vector_hits(spark: SparkSession, sf_dir: str, k: int | None) -> DataFrame:
@@ -53,7 +53,7 @@ def entities(df: DataFrame, name: str) -> DataFrame:
 
 
 def graph_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = entities(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), "id")
+    docs = entities(spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")), "id")
     asked = entities(benchmark_queries(spark, sf_dir), "qid")
     return docs.join(small(asked), "name").groupBy("qid", "id").agg(F.countDistinct("name").cast("double").alias("score"))
 

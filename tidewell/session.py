@@ -37,6 +37,15 @@ def small(df: DataFrame, of: DataFrame | None = None, limit: int = BROADCAST_BYT
     return F.broadcast(df) if planned_bytes(df if of is None else of) <= limit else df
 
 
+#: Bytes, as the optimizer estimates them, under which an input is dealt over all cores before work on its texts.
+SPREAD_BYTES = 512 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it is small: a file with one row group is one task, however much work its texts are. Larger inputs have tasks enough and stay where they are."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if planned_bytes(df) <= SPREAD_BYTES else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this application below ``spark.checkpoint.dir``, which driver and executors share; only a local session may do without, with a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
