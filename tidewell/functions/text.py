@@ -198,10 +198,12 @@ def crawl_filename(url: Column, chars: int = 50) -> Column:
 
 #: Words that name nothing, marks between words, and particles of speech.
 STOP_WORDS = (
-    "的 了 是 在 和 有 不 这 我 你 他 她 它 们 那 就 都 也 还 但 而 如果 因为 所以 虽然 或者 什么 怎么 为什么 如何 哪些 哪个 可以 可能 需要 应该 进行 通过 使用 一个 一些 这个 那个 一下 一起 已经 不是 非常 比较 "
-    "the a an is are was were be been being have has had do does did will would could should may might shall can to of in for on with at by from as into about that "
-    "this these those it its not no nor or and but if then else when up out so than"
-).split()
+    "的", "了", "是", "在", "和", "有", "不", "这", "我", "你", "他", "她", "它", "们", "那", "就", "都", "也", "还", "但", "而", "如果", "因为", "所以", "虽然", "或者", "什么", "怎么",
+    "为什么", "如何", "哪些", "哪个", "可以", "可能", "需要", "应该", "进行", "通过", "使用", "一个", "一些", "这个", "那个", "一下", "一起", "已经", "不是", "非常", "比较", "the", "a", "an",
+    "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might",
+    "shall", "can", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "about", "that", "this", "these", "those", "it", "its",
+    "not", "no", "nor", "or", "and", "but", "if", "then", "else", "when", "up", "out", "so", "than",
+)
 DELIMITERS = r"[\s，。、；：？！,.:;?!]+"
 PARTICLES = ("哦", "呢", "呀", "啦", "请问", "那个", "嘛", "吧")
 
@@ -232,7 +234,12 @@ def facts_match(predicted: Column, golden: Column, least: float = 0.6) -> Column
     return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a) | (share >= least))
 
 
-def topic(question: Column, chars: int = 30, missing: str = "未知主题") -> Column:
+#: The topic of an empty question, and the labels of a learning note.
+NO_TOPIC = "未知主题"
+NOTE_LABELS = ("【待学笔记】", "面试问题: ", "本题得分: ", "面试反馈: ", "来源会话: ")
+
+
+def topic(question: Column, chars: int = 30, missing: str = NO_TOPIC) -> Column:
     """The beginning of a question, its white space squeezed."""
     squeezed = F.regexp_replace(F.trim(F.coalesce(question, F.lit(""))), r"\s+", " ")
     return F.when(squeezed == "", missing).otherwise(F.substring(squeezed, 1, chars))
@@ -241,10 +248,8 @@ def topic(question: Column, chars: int = 30, missing: str = "未知主题") -> C
 def learning_note(topic_: Column, question: Column, score: Column, total: Column, feedback: Column, session: Column) -> Column:
     """A note on a weak answer; unknown parts are empty, an unknown total is a question mark."""
     text = lambda c, missing="": F.coalesce(c.cast("string"), F.lit(missing))
-    lines = (
-        F.concat(F.lit("【待学笔记】"), text(topic_)), F.concat(F.lit("面试问题: "), text(question)), F.concat(F.lit("本题得分: "), text(score), F.lit("/"), text(total, "?")),
-        F.concat(F.lit("面试反馈: "), text(feedback)), F.concat(F.lit("来源会话: "), text(session)),
-    )
+    values = (text(topic_), text(question), F.concat(text(score), F.lit("/"), text(total, "?")), text(feedback), text(session))
+    lines = [F.concat(F.lit(label), value) for label, value in zip(NOTE_LABELS, values)]
     return F.concat_ws("\n", *lines)
 
 
