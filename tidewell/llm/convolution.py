@@ -17,23 +17,25 @@ SAMPLE_ROWS = 1500
 PIECE_CHARS = 16_384
 
 
-def pieces_of(chosen: dict[int, list[int]], chars: int):
-    """The chosen pieces of each text; runs in tasks, so that whole long texts stay there."""
+def pieces_of(chosen: dict[int, list[int]], told: dict[int, tuple[float, float]], chars: int):
+    """The chosen pieces of each text, with label and weight; runs in tasks, so that whole long texts stay there."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [(i, k, text[k * chars : (k + 1) * chars]) for i, text in zip(batch.column(0).to_pylist(), texts_of(batch).to_pylist()) for k in chosen[i]]
+            found = [(i, k, text[k * chars : (k + 1) * chars], *told[i]) for i, text in zip(batch.column(0).to_pylist(), texts_of(batch).to_pylist()) for k in chosen[i]]
             found = [r for r in found if r[2] or r[1] == 0]  # rows of one id may differ in length
-            ids, numbers, texts = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "piece", "text"])
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64())
+            columns = zip(*found) if found else ((),) * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["doc_id", "piece", "text", "y", "weight"])
 
     return cut
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int = SAMPLE_ROWS, chars: int = PIECE_CHARS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, labels and weights of at most `rows` training rows of each class, those with the least hashes of (doc_id, piece).
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int = SAMPLE_ROWS, chars: int = PIECE_CHARS) -> DataFrame | None:
+    """doc_id, piece, text, y and weight of at most `rows` training rows of each class, those with the least hashes of (doc_id, piece); None without any.
 
-    Weights of a class add up to its labelled texts, and those of a text's pieces are equal, so a text of many pieces counts once. Pieces are counted and drawn by ids and lengths alone, from all labelled training rows; only the drawn pieces' texts move."""
+    Weights of a class add up to its labelled texts, and those of a text's pieces are equal, so a text of many pieces counts once. Pieces
+    are counted and drawn by ids and lengths alone, from all labelled training rows; only the drawn pieces' texts move. Of repeated rows of an id the least text counts."""
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & learn)
     ids = ids.groupBy("doc_id").agg(F.max("y").alias("y"))
     lengths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("size"))
@@ -41,22 +43,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     fit = fit.withColumn("pieces", F.greatest(F.lit(1), F.ceil(F.col("size") / chars)).cast("long"))
     piece = fit.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
     chosen: dict[int, list[int]] = {}
-    kept, totals = {}, {r["y"]: r["n"] for r in fit.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    told: dict[int, tuple[float, float]] = {}
+    totals = {r["y"]: r["n"] for r in fit.groupBy("y").agg(F.count("*").alias("n")).collect()}
     for y in sorted(totals):
-        for r in piece.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", "piece"), "doc_id", "piece").limit(rows).collect():
+        drawn = piece.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", "piece"), "doc_id", "piece").limit(rows).select("doc_id", "piece", "pieces").collect()
+        share = totals[y] / sum(1 / r["pieces"] for r in drawn)
+        for r in drawn:
             chosen.setdefault(r["doc_id"], []).append(r["piece"])
-            kept[r["doc_id"]] = (y, r["pieces"])
+            told[r["doc_id"]] = float(y), share / r["pieces"]
     if not chosen:
-        return [], np.zeros(0), np.zeros(0)
-    drawn = docs.where(F.col("doc_id").isin(list(chosen))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    drawn = drawn.mapInArrow(pieces_of(chosen, chars), "doc_id long, piece long, text string")
-    drawn = drawn.groupBy("doc_id", "piece").agg(F.min("text").alias("text"))  # of repeated rows of an id the least text
-    found = sorted(((r["doc_id"], r["piece"], r["text"]) for r in drawn.collect()), key=lambda r: (hash_order(r[0]), *r))
-    y = np.array([kept[i][0] for i, _, _ in found], np.float64)
-    weight = np.array([1 / kept[i][1] for i, _, _ in found])
-    for c in totals:
-        weight[y == c] *= totals[c] / max(1e-9, weight[y == c].sum())
-    return [t for _, _, t in found], y, weight
+        return None
+    texts = docs.where(F.col("doc_id").isin(list(chosen))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = texts.mapInArrow(pieces_of(chosen, told, chars), "doc_id long, piece long, text string, y double, weight double")
+    return found.groupBy("doc_id", "piece", "y", "weight").agg(F.min("text").alias("text")).select("doc_id", "piece", "text", "y", "weight")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int = SAMPLE_ROWS, chars: int = PIECE_CHARS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts, labels and weights of `labelled_rows`, in an order that follows from the ids."""
+    drawn = labelled_rows(docs, labels, label, learn, rows, chars)
+    found = [] if drawn is None else sorted((tuple(r) for r in drawn.collect()), key=lambda r: (hash_order(r[0]), *r))
+    return [r[2] for r in found], np.array([r[3] for r in found]), np.array([r[4] for r in found])
 
 
 def hash_order(i: int) -> int:

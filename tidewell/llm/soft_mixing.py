@@ -33,8 +33,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, small_side, texts_of, written
-from .convolution import Adam, labelled_sample
+from .common import slices, small_side, texts_of, unreserved, written
+from .convolution import Adam, hash_order, labelled_rows
 from .words import buffers, coded_words, hash_words
 
 DOMAINS = ("clean", "low", "toxic")
@@ -49,7 +49,7 @@ KEY_BYTES = 64
 MAX_RATE = 4.0
 #: Steps at most, of which the fit takes a few; the miss of a domain's target, as a share of it, that is close enough; and the gain of a step, as a
 #: share of the loss, under which it is at its least.
-STEPS, CLOSE, STILL = 80, 1e-3, 1e-5
+STEPS, CLOSE, STILL = 80, 1e-3, 1e-4
 #: Steps after which the rates are written.
 REPLAY = 12
 #: A step may raise the loss above the last one, but not above the greatest of so many.
@@ -149,15 +149,42 @@ def membership(w: np.ndarray, dense: np.ndarray):
     return scored
 
 
-def domain_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, domains and weights of the bounded labelled sample: toxic before low before clean."""
+def domain_rows(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """doc_id, piece, text, domain and weight of the bounded labelled sample: toxic before low before clean."""
+    low = F.when((F.col("toxic") == 0) & (F.col("quality") == 0), 1).when((F.col("toxic") == 0) & (F.col("quality") == 1), 0)
     parts = []
-    for name, rule in (("toxic", F.when(F.col("toxic") == 1, 1)), ("low", F.when((F.col("toxic") == 0) & (F.col("quality") == 0), 1).when((F.col("toxic") == 0) & (F.col("quality") == 1), 0))):
-        texts, y, weight = labelled_sample(docs, labels.select("doc_id", rule.alias("y")), "y", F.lit(True))
-        parts.append((texts, np.where(y == 1, DOMAINS.index(name), DOMAINS.index("clean")), weight))
-    texts, codes, weights = parts[0][0] + parts[1][0], np.concatenate([p[1] for p in parts]).astype(int), np.concatenate([p[2] for p in parts])
-    order = np.random.default_rng(1).permutation(len(texts))
-    return [texts[i] for i in order], codes[order], (weights / weights.mean())[order] if len(weights) else weights
+    for name, rule in (("toxic", F.when(F.col("toxic") == 1, 1)), ("low", low)):
+        rows = labelled_rows(docs, labels.select("doc_id", rule.alias("y")), "y", F.lit(True))
+        if rows is not None:
+            code = F.when(F.col("y") == 1, DOMAINS.index(name)).otherwise(DOMAINS.index("clean"))
+            parts.append(rows.select("doc_id", "piece", "text", code.cast("long").alias("domain"), "weight"))
+    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0] if parts else None
+
+
+FITTED = "row long, " + ", ".join(f"w_{d} double" for d in DOMAINS)
+
+
+def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The classifier's weights that are not 0, by row of the table of words, then those of the dense features. One task has the whole sample."""
+    rows = sorted((tuple(r.values()) for batch in batches for r in batch.to_pylist()), key=lambda r: (hash_order(r[0]), *r))
+    order = np.random.default_rng(1).permutation(len(rows))
+    weights = np.array([rows[i][4] for i in order])
+    w, dense = fitted([rows[i][2] for i in order], np.array([rows[i][3] for i in order], int), weights / weights.mean() if len(rows) else weights)
+    active = np.flatnonzero(w.any(axis=1))
+    values = np.concatenate([w[active], dense]).astype(np.float64)
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([active, FEATURES + np.arange(SHARES)])), *[pa.array(values[:, d]) for d in range(len(DOMAINS))]], names=[c.split()[0] for c in FITTED.split(", ")])
+
+
+def classifier(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of words and of dense features, fitted in one task, so that the driver holds no text."""
+    rows = domain_rows(docs, labels)
+    if rows is None:
+        return fitted([], np.zeros(0, int), np.zeros(0))
+    got = rows.repartition(1).mapInArrow(fitting, FITTED).toArrow()
+    at, values = got.column("row").to_numpy(), np.stack([got.column(f"w_{d}").to_numpy() for d in DOMAINS], axis=1).astype(np.float32)
+    w = np.zeros((FEATURES, len(DOMAINS)), np.float32)
+    w[at[at < FEATURES]] = values[at < FEATURES]
+    return w, values[at >= FEATURES][np.argsort(at[at >= FEATURES])]
 
 
 def targets(supply: dict[str, float], weights: dict[str, float], n: float) -> dict[str, float]:
@@ -170,12 +197,25 @@ def targets(supply: dict[str, float], weights: dict[str, float], n: float) -> di
     return {d: weights[d] * whole if d in there or weights[d] <= 0 else supply[d] for d in DOMAINS}
 
 
-def stepped(rate: Column, slope: list[float]) -> Column:
+def stepped(rate: Column, slope: Column) -> Column:
     """A rate after one step: against slope . p, back into 0 to MAX_RATE."""
-    move = sum((F.lit(float(g)) * F.col(f"p_{d}") for d, g in zip(DOMAINS, slope)), F.lit(0.0))
+    move = sum((slope[k] * F.col(f"p_{d}") for k, d in enumerate(DOMAINS)), F.lit(0.0))
     return F.least(F.lit(MAX_RATE), F.greatest(F.lit(0.0), rate - move))
 
 
+def with_steps(stood: DataFrame, past: list[list[float]], last: list[float]) -> DataFrame:
+    """stood (with rate) and its rates after the past steps (before) and one more (after). Steps come as a table of one row, so that all of them are one plan and one
+    generated code, whatever their number."""
+    row = pa.table({"__past": pa.array([past], pa.list_(pa.list_(pa.float64()))), "__last": pa.array([last], pa.list_(pa.float64()))})
+    both = stood.crossJoin(F.broadcast(stood.sparkSession.createDataFrame(row)))
+    both = both.withColumn("before", F.aggregate("__past", F.col("rate"), lambda rate, slope: stepped(rate, slope)))
+    return both.withColumn("after", stepped(F.col("before"), F.col("__last"))).drop("__past", "__last")
+
+
+def after_steps(stood: DataFrame, past: list[list[float]]) -> DataFrame:
+    return with_steps(stood, past[:-1], past[-1]).drop("rate", "before").withColumnRenamed("after", "rate") if past else stood
+
+
 def fitted_rates(members: DataFrame, weights: dict[str, float] = WEIGHTS) -> tuple[DataFrame, dict[str, float], dict[str, float]]:
     """members with rate, the targets and the totals reached. `members` is read once a step.
 
@@ -191,16 +231,17 @@ def fitted_rates(members: DataFrame, weights: dict[str, float] = WEIGHTS) -> tup
     wish = np.array([target[d] for d in DOMAINS])
     scale = np.maximum(np.where(wish > 0, wish, reached), max(ABSENT * n, 1.0))
     loss = lambda reached: float(((reached - wish) ** 2 / scale).sum() / 2)
-    stood, rate = members.withColumn("rate", F.lit(1.0)), F.col("rate")
+    stood, past = members.withColumn("rate", F.lit(1.0)), []
     curvature = np.linalg.eigvalsh(gram / np.sqrt(scale[:, None] * scale[None])).max()
-    length, losses, since, still = 1 / max(curvature, 1e-12), [loss(reached)], 0, 0
+    length, losses, still = 1 / max(curvature, 1e-12), [loss(reached)], 0
     for _ in range(STEPS):
         if (np.abs(reached - wish) <= CLOSE * scale).all():
             break
         slope = (reached - wish) / scale
         for _ in range(8):
-            moved = stepped(rate, (length * slope).tolist())
-            sums = stood.agg(*[total(F.col("n") * moved * p(i)) for i in k], total(F.col("n") * (moved - rate) * (moved - rate))).first()
+            last = (length * slope).tolist()
+            moved = F.col("after") - F.col("before")
+            sums = with_steps(stood, past, last).agg(*[total(F.col("n") * F.col("after") * p(i)) for i in k], total(F.col("n") * moved * moved)).first()
             there, square = np.array(sums[: len(DOMAINS)]), sums[len(DOMAINS)]
             if loss(there) <= max(losses[-LOOK_BACK:]):
                 break
@@ -208,18 +249,17 @@ def fitted_rates(members: DataFrame, weights: dict[str, float] = WEIGHTS) -> tup
         still = still + 1 if losses[-1] - loss(there) <= STILL * losses[-1] else 0
         bent = float(((there - reached) ** 2 / scale).sum())
         length = square / bent if bent > 0 else length
-        rate, reached, since = moved, there, since + 1
+        past, reached = [*past, last], there
         losses.append(loss(there))
         if square <= 1e-12 * max(n, 1.0) or still >= LOOK_BACK:
             break
-        if since == REPLAY:
-            stood, rate, since = written(stood.withColumn("rate", rate), "rates"), F.col("rate"), 0
-    return stood.withColumn("rate", rate), target, dict(zip(DOMAINS, reached.tolist()))
+        if len(past) == REPLAY:
+            stood, past = written(after_steps(stood, past), "rates"), []
+    return after_steps(stood, past), target, dict(zip(DOMAINS, reached.tolist()))
 
 
 def memberships(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    texts, domain, weight = domain_sample(docs, labels)
-    w, dense = fitted(texts, domain, weight)
+    w, dense = classifier(docs, labels)
     text = F.col("text").cast("string")
     read = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("__doc"), text.alias("__text"))
     return written(read.mapInArrow(membership(w, dense), "__id long, __doc long, n double, " + ", ".join(f"p_{d} double" for d in DOMAINS)), "members")
@@ -270,8 +310,7 @@ def document_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float]
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """The rows of docs, each as often as its copies say."""
-    if clash := [c for c in docs.columns if c.startswith("__")]:
-        raise ValueError(f"columns whose names begin with __ are reserved: {clash}")
+    docs = unreserved(docs)
     rates = document_rates(docs, labels, weights).select(F.col("doc_id").alias("__i"), F.col("__doc").alias("__d"), F.col("copies").alias("__copies"))
     rates = written(rates.where("__copies <> 1").distinct(), "rates")
     rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__doc", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
