@@ -5,7 +5,7 @@ sums of table rows (byte embedding times filter). In each chunk the greatest res
 greatest of these over the document's chunks feed a logistic layer, which gives one probability. The network is fitted on a bounded sample of labelled
 training rows (convolution.SAMPLE_ROWS of each class); a fifth of it sets the shift by which 0.7 decides best.
 
-Nulls: a null or empty text is one empty chunk. Without labels of both classes every score is 0.5. Repeated rows each give a row, an
+Nulls: a null or empty text is one empty chunk. Without labels of both classes every score is 0.5. Ties: rows of the sample with equal hashes come by id; equal responses share what is learnt or leave it to the last. Repeated rows each give a row, an
 empty table none; any length is covered whole. Columns besides doc_id and text play no part.
 """
 

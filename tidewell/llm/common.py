@@ -73,6 +73,13 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def unreserved(docs: DataFrame) -> DataFrame:
+    """docs, if it has no column whose name begins with `__`, as the operators' own do; else an error."""
+    if clash := [c for c in docs.columns if c.startswith("__")]:
+        raise ValueError(f"columns whose names begin with __ are reserved: {clash}")
+    return docs
+
+
 def small_side(df: DataFrame, size: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A broadcast hint where the counted bytes allow it; else the join shuffles."""
     return F.broadcast(df) if size <= limit else df

@@ -8,7 +8,8 @@ method, as short histograms are noise.
 Nulls: a null text is empty, and fails the base rules for its few words; a null language is a language of its own. A language without
 a list of common words takes the first words of all lists; one without a document fit for reference rejects none. Very long texts are judged
 whole, within one row. Ties: a distance equal to its limit passes; of two middle values the lower is the median. Repeated rows each
-give a row, an empty table none. Columns besides doc_id, text and lang play no part.
+give a row, an empty table none. Columns besides doc_id, text and lang play no part; `kept_documents` keeps them, but refuses names that begin with `__`. On large
+input the medians come from merged summaries, exact to a thousandth of the ranks, so they may differ slightly with the partitions.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, written
+from .common import small_side, unreserved, written
 
 #: Common words of four languages.
 COMMON_WORDS = {
@@ -148,6 +149,7 @@ def judged(docs: DataFrame, min_words: int = MIN_WORDS, class_limit: float = CLA
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with their columns. Rejected rows' keys are broadcast up to a size, joined by a shuffle beyond."""
+    docs = unreserved(docs)
     gone = written(judged(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__i"), F.col("digest").alias("__d")).distinct(), "gone")
     digest = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     return docs.join(small_side(gone, gone.count() * KEY_BYTES), (digest == F.col("__d")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__i")), "left_anti")

@@ -13,7 +13,7 @@ Tables of lines to drop are broadcast up to a size in bytes, and joined by a shu
 Nulls: a null text stays null and has no lines. A null id sorts first. Repeated rows are rows of their own: the first keeps its lines, the
 others lose them. Ties: of equal ids the lower row number is first. Lines shorter than a shingle are padded; very long lines and texts are processed
 whole. A document whose lines all go becomes an empty text, and stays. An empty table gives no
-rows. Further columns are untouched, also ones named n_lines or n_dropped in `drop_lines_only`; names beginning with `__` are reserved.
+rows. Further columns are untouched, also ones named n_lines or n_dropped in `drop_lines_only`; names that begin with `__` are refused.
 """
 from __future__ import annotations
 
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import gathered
-from .common import Scratch, slices, small_side, texts_of, written
+from .common import Scratch, slices, small_side, texts_of, unreserved, written
 from .divergence import bound
 from .linking import jaccard, linked_components
 from .order_minhash import mixed
@@ -40,7 +40,7 @@ ROW_BYTES, NUMBER_BYTES = 64, 40
 
 def numbered(docs: DataFrame) -> DataFrame:
     """docs with the number __row."""
-    return docs.withColumn("__row", F.monotonically_increasing_id())
+    return unreserved(docs).withColumn("__row", F.monotonically_increasing_id())
 
 
 def exact_drops(rows: DataFrame, scratch: Scratch) -> DataFrame:

@@ -10,7 +10,7 @@ transition and emission counts over its sequences (texts, in segments of SEGMENT
 continuing-state distribution, which is learnt too), and Spark sums them by word. Emissions are smoothed towards the base. The scores
 are exact: the forward recursion runs over each whole text, without segments.
 
-Nulls: a null text is empty and has the end alone; a null id is held out of neither side and trains. Repeated rows count each time. An empty table
+Ties: of words of equal count the first by code points stay in the classes. Nulls: a null text is empty and has the end alone; a null id is held out of neither side and trains. Repeated rows count each time. An empty table
 gives no rows; without training texts every word is unknown. Columns besides doc_id and text play no part.
 """
 

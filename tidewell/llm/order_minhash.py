@@ -12,8 +12,8 @@ it. Edits that leave no five words in a row alone, as one in every fifth word, l
 Equal texts are one node before anything else, so copies cost a row each. Nulls: a null text is empty, and all texts without words are one
 class; rows with a null id join classes but name none unless all ids of a class are null. Texts of fewer than WORDS words have one k-mer,
 the whole. Very long texts are sketched and compared whole, one at a time. Ties: equal hashes keep the text's order; of equal first ids the least digest counts.
-Repeated rows get the same class. An empty table gives no rows. Columns besides doc_id and text play no part; `one_of_each` keeps them, names beginning with `__` are
-reserved there.
+Repeated rows get the same class. An empty table gives no rows. Columns besides doc_id and text play no part; `one_of_each` keeps them, but refuses
+names that begin with `__`.
 """
 from __future__ import annotations
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import gathered
-from .common import Scratch, slices, small_side, texts_of, written
+from .common import Scratch, slices, small_side, texts_of, unreserved, written
 from .linking import linked_components, of_larger
 from .words import coded_words, hash_words
 
@@ -227,7 +227,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of docs for each class, of the class's own id; for a class without ids, one of its rows."""
-    classes = near_duplicate_classes(docs)
+    classes = near_duplicate_classes(unreserved(docs))
     own = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
     heads = own.groupBy("component").agg(F.min("digest").alias("__d"), F.first("class_id").alias("__i"))
     times = own.groupBy(F.col("doc_id").alias("id"), F.col("digest").alias("d")).agg(F.count("*").alias("n"))

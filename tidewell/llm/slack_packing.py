@@ -9,7 +9,8 @@ its lengths still allow. Each step uses up a length or brings it below its share
 Pieces then find their places with joins alone: each gets its rank among those of its length (a count for each task and length plus a
 rank within the task), and the plan tells which ranks of a length go to which sequence and offset.
 
-Nulls: a null text is an empty document, one end id long. Repeated rows are packed each time. Very long documents give many pieces. An
+Nulls: a null text is an empty document, one end id long. Ties: of pieces of equal length those of earlier tasks, then of smaller doc_id and piece come first; of equal
+combinations the one with the longest lengths. Repeated rows are packed each time. Very long documents give many pieces. An
 empty table gives no rows. Columns besides doc_id and text play no part.
 """
 
