@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, line deduplication, near-duplicate documents, mixing to target weights, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a DataFrame; all but the last return the
-columns of documents.
+columns of documents. An empty table gives an empty one, further columns go along, and columns whose names begin with `__` are refused.
 """
 
 from __future__ import annotations
@@ -19,19 +19,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that are near-equal to an earlier one: texts may become empty, null ones stay null; of repeated rows the first keeps its lines."""
     return fuzzy_lines.drop_lines_only(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class."""
+    """One document of each class, that of its least id (of repeated rows of it, one): null and empty texts are one class, a class without ids keeps one of its rows."""
     return order_minhash.one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their copies say, 0 to 4 times; null and empty texts count as one token, repeated rows have equal copies, and without labels all stay once."""
     return soft_mixing.mixed_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document; null and empty texts are one end id, repeated rows and copies are packed each time."""
     return slack_packing.pack_documents(docs, tokenizer_path())
 
 
