@@ -28,6 +28,8 @@ from .components import connected_components
 BLOCK, BLOCK_BYTES, BIN = 1024, 8 << 20, 0.04
 #: Tiles, of two blocks each, that a Python task holds at a time.
 TILES = 8
+#: Pairs of texts that it holds at a time.
+PAIRS = 1024
 #: Columns of the incidence matrix that are multiplied at a time.
 COLUMNS = 4096
 #: Elements in this many sets of a tile or more count as frequent.
@@ -132,13 +134,13 @@ def shared_keys(keys: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def in_small_batches(scratch: Scratch, tiles: DataFrame, found: Callable) -> DataFrame:
-    """The links of tiles, of which a Python task holds TILES at a time."""
+def in_small_batches(scratch: Scratch, df: DataFrame, rows: int) -> DataFrame:
+    """df, whose Python tasks hold so many rows at a time, as a table."""
     conf, key = scratch.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(key)
-    conf.set(key, str(TILES))
+    conf.set(key, str(rows))
     try:
-        return scratch.put(tiles.mapInArrow(found, "a long, b long"))
+        return scratch.put(df)
     finally:
         conf.set(key, before)
 
@@ -153,7 +155,8 @@ def with_leaders(members: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def told_of(led: DataFrame, bodies: DataFrame, verify: Callable, scratch: Scratch) -> DataFrame:
-    return scratch.put(compared(led.where("a <> b").select("a", "b").distinct(), bodies, verify))
+    """What `verify` tells of the members and their leaders."""
+    return in_small_batches(scratch, compared(led.where("a <> b").select("a", "b").distinct(), bodies, verify), PAIRS)
 
 
 def linked_components(
@@ -208,7 +211,7 @@ def linked_components(
         one, other = (packed.select("key", F.col("block").alias(c), F.col("members").alias(f"members_{c}")) for c in "ij")
         whole = tiles.where("i = j").join(one, ["key", "i"]).select("members_i", F.lit(None).cast(packed.schema["members"].dataType).alias("members_j"))
         pairs = tiles.where("i < j").join(one, ["key", "i"]).join(other, ["key", "j"]).select("members_i", "members_j")
-        links = in_small_batches(scratch, whole.union(pairs), tile_links(sets_of, confirm, measure, limit))
+        links = in_small_batches(scratch, whole.union(pairs).mapInArrow(tile_links(sets_of, confirm, measure, limit), "a long, b long"), TILES)
         joined = connected_components(links, scratch)
         alone = joined.select("node").join(component, "node", "left_anti").select("node", F.col("node").alias("component"))
         onward = joined.select(F.col("node").alias("component"), F.col("component").alias("on"))

@@ -171,7 +171,7 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Share of common words and the verdict of the alignment, for pairs of texts."""
-    for batch in slices(batches, "body_b", 4 << 20):
+    for batch in slices(batches, "body_b", 2 << 20):
         both = pa.concat_arrays([texts_of(batch, "body_a"), texts_of(batch, "body_b")])
         coded = both.dictionary_encode()  # a leader's text stands in many pairs
         sets, words = word_sets(coded.dictionary)
