@@ -2,8 +2,10 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +77,29 @@ def test_learnt_lexicon(spark, monkeypatch):
     monkeypatch.setattr(segmentation, "LEXICON_ROWS", 3)
     with pytest.raises(ValueError):
         segmentation.segmenter(lexicon)
+
+
+def test_one_long_run_among_many_short_ones_takes_memory_of_its_length():
+    rng = random.Random(3)
+    words = {"".join(rng.choice("甲乙丙丁") for _ in range(rng.randrange(1, 6))): rng.randrange(1, 100) for _ in range(60)}
+    runs = ["".join(rng.choice("甲乙丙丁己") for _ in range(30_000))] + ["".join(rng.choice("甲乙丙丁己") for _ in range(rng.randrange(1, 12))) for _ in range(1500)]
+    lattice = segmentation.Lattice(list(words), np.array(list(words.values()), float))
+    tracemalloc.start()
+    got = segmentation.segmented(lattice, runs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # a table of all runs by the longest one's length would be 720 MB
+    assert ["".join(g) for g in got] == runs
+    assert got[1:50] == [best_path(words, r) for r in runs[1:50]]
+
+
+def test_blocks_and_slices_change_nothing(monkeypatch):
+    rng = random.Random(4)
+    words = {"".join(rng.choice("甲乙丙") for _ in range(rng.randrange(1, 7))): rng.randrange(1, 9) for _ in range(40)}
+    runs = ["".join(rng.choice("甲乙丙己") for _ in range(rng.randrange(0, 300))) for _ in range(120)]
+    lattice = segmentation.Lattice(list(words), np.array(list(words.values()), float))
+    whole = segmentation.segmented(lattice, runs)
+    monkeypatch.setattr(segmentation, "BLOCK", 37)
+    monkeypatch.setattr(segmentation, "SLICE_CHARS", 700)
+    assert segmentation.segmented(lattice, runs) == whole
+    assert [w for runs in segmentation.cut_texts(lattice, pa.array([runs], pa.list_(pa.string()))).to_pylist()[0] for w in runs] == [w for r in whole for w in r]

@@ -4,6 +4,7 @@ A lexicon is a table (word, n). It may be given, or learnt: `learnt_lexicon` cou
 frequent and hold together better than their parts would by chance. Characters that no word covers stand alone, rarer than any word.
 
 Runs of CJK characters are cut so; other letters and digits are words as `functions.text.tokens` has them. Of paths of equal probability the one with the longer last word counts.
+Runs are cut some SLICE_CHARS characters at a time, in one list of places, so memory follows the longest run, not the number of runs times its length.
 Null texts have no words. A lexicon goes to the tasks whole: its rows are counted, and more than LEXICON_ROWS are an error.
 """
 
@@ -12,7 +13,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -21,6 +23,8 @@ from ..functions.text import tokens
 
 #: Characters of a word at most, and rows of a lexicon.
 MOST, LEXICON_ROWS = 6, 500_000
+#: Characters that are cut at a time, unless one run alone is longer, and places whose words are looked up at a time.
+SLICE_CHARS, BLOCK = 1 << 20, 1 << 17
 CJK = r"[㐀-䶿一-鿿]+"
 
 
@@ -73,31 +77,37 @@ class Lattice:
 
     def cut(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """For each place of the runs, whether a word of the best path begins there."""
-        order = np.argsort(-lengths, kind="stable")
-        starts, lengths = starts[order], lengths[order]
         begins = np.zeros(len(codes), bool)
         if not len(codes):
             return begins
-        score = [self.scores(codes, n) for n in range(1, self.most + 1)]
-        longest = int(lengths[0])
-        active = np.searchsorted(-lengths, -np.arange(longest), side="left")  # runs longer than t
-        best = np.full((longest + 1, len(starts)), -np.inf)
-        back = np.zeros((longest + 1, len(starts)), np.int64)
-        best[0] = 0
-        for t in range(1, longest + 1):
-            k = active[t - 1]
-            for n in range(1, min(t, self.most) + 1):
-                s = best[t - n, :k] + score[n - 1][starts[:k] + t - n]
-                better = s >= best[t, :k]  # of equals the longer
-                best[t, :k] = np.where(better, s, best[t, :k])
-                back[t, :k] = np.where(better & (s > -np.inf), n, back[t, :k])
-        at = lengths.copy()
-        while (at > 0).any():
-            own = np.flatnonzero(at > 0)
-            at[own] -= back[at[own], own]
-            begins[starts[own] + at[own]] = True
+        first = np.repeat(starts, lengths)  # of the run of each place; runs follow each other without gaps
+        best, back = [-np.inf] * (len(codes) + 1) + [0.0], [0] * (len(codes) + 1)  # the last one stands before every run
+        for low in range(0, len(codes), BLOCK):
+            for end, source, n, log in zip(*self.ending(codes, first, low, min(len(codes), low + BLOCK))):
+                s = best[source] + log
+                if s >= best[end]:  # of equals the longer
+                    best[end] = s
+                    back[end] = n
+        for start, length in zip(starts.tolist(), lengths.tolist()):
+            at = start + length
+            while at > start:
+                at -= back[at]
+                begins[at] = True
         return begins
 
+    def ending(self, codes: np.ndarray, first: np.ndarray, low: int, high: int) -> tuple[list, list, list, list]:
+        """Words that end after one of the places `low` to `high`, within a run: end, place before them (beyond all where a run begins), length, score; by end and length."""
+        begin = max(0, low + 1 - self.most)
+        found = []
+        for n in range(1, self.most + 1):
+            s = self.scores(codes[begin:high], n)
+            own = begin + np.flatnonzero(s > -np.inf)
+            own = own[(own + n > low) & (first[own] == first[np.minimum(own + n, len(first)) - 1])]
+            found.append((own + n, np.where(own == first[own], len(codes) + 1, own), np.full(len(own), n), s[own - begin]))
+        columns = [np.concatenate(c) for c in zip(*found)]
+        order = np.lexsort((columns[2], columns[0]))
+        return tuple(c[order].tolist() for c in columns)
+
 
 def hashed(codes: np.ndarray, length: int) -> np.ndarray:
     """A 64-bit hash of the `length` characters from each place that has as many."""
@@ -110,15 +120,33 @@ def hashed(codes: np.ndarray, length: int) -> np.ndarray:
 
 def segmented(lattice: Lattice, runs: list[str]) -> list[list[str]]:
     """The words of each run."""
-    codes = np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32).astype(np.int64)
-    lengths = np.array([len(r) for r in runs], np.int64)
+    return words_of(lattice, pa.array(runs, pa.string())).to_pylist()
+
+
+def words_of(lattice: Lattice, runs: pa.Array) -> pa.Array:
+    """The words of each run, as lists of slices of the runs' own bytes."""
+    text = "".join(runs.to_pylist())
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    lengths = pc.utf8_length(runs).to_numpy(zero_copy_only=False).astype(np.int64)
     starts = np.cumsum(lengths) - lengths
-    begins = lattice.cut(codes, starts[lengths > 0], lengths[lengths > 0])
-    out = []
-    for run, s in zip(runs, starts.tolist()):
-        edges = [*np.flatnonzero(begins[s : s + len(run)]).tolist(), len(run)]
-        out.append([run[a:b] for a, b in zip(edges, edges[1:])])
-    return out
+    places = np.flatnonzero(lattice.cut(codes, starts[lengths > 0], lengths[lengths > 0]))
+    ends = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))])
+    edges = ends[np.append(places, len(codes))].astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(places), pa.py_buffer(edges), pa.py_buffer(text.encode())).cast(pa.string())
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(places, np.append(starts, len(codes))), pa.int32()), words)
+
+
+def cut_texts(lattice: Lattice, texts: pa.Array) -> pa.Array:
+    """The words of each run of texts (lists of runs), some SLICE_CHARS characters at a time."""
+    runs = texts.flatten()
+    total = np.cumsum(pc.utf8_length(runs).to_numpy(zero_copy_only=False).astype(np.int64))
+    parts, at = [pa.array([], pa.list_(pa.string()))], 0
+    while at < len(runs):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE_CHARS, side="right")))
+        parts.append(words_of(lattice, runs.slice(at, to - at)))
+        at = to
+    sizes = pc.list_value_length(texts).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.concat_arrays(parts))
 
 
 def segmenter(lexicon: DataFrame) -> Callable[[Column], Column]:
@@ -128,16 +156,11 @@ def segmenter(lexicon: DataFrame) -> Callable[[Column], Column]:
         raise ValueError(f"a lexicon of more than {LEXICON_ROWS} words")
     words, counts = rows.column("word").to_pylist(), rows.column("n").to_numpy().astype(np.float64)
 
-    @F.pandas_udf(ArrayType(ArrayType(StringType())))
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ArrayType(ArrayType(StringType())))
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lattice = Lattice(words, counts)
         for texts in batches:
-            flat = [run for runs in texts for run in runs]
-            parts, at, out = segmented(lattice, flat), 0, []
-            for runs in texts:
-                out.append([w for w in parts[at : at + len(runs)]])
-                at += len(runs)
-            yield pd.Series(out)
+            yield cut_texts(lattice, texts)
 
     def terms(text: Column) -> Column:
         return F.concat(F.flatten(cut(F.coalesce(cjk_runs(text), F.array().cast("array<string>")))), tokens(F.regexp_replace(F.coalesce(text, F.lit("")), CJK, " ")))
