@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import agents, claims, crawl, fusion, interview, memory, metrics, request, retrieval, search
 from ..registry import query
 from ..session import table
-from .retrieval import CHANNELS_SQL, benchmark_queries, channels, entities, fts_hits, graph_hits, vector_hits
+from .retrieval import CHANNELS_SQL, benchmark_queries, channels, fts_hits, graph_hits, named_hits, vector_hits
 
 #: Documents with a parent (every third is one), a flag of the canonical and of the superseded.
 DOCS_SQL = "d AS (SELECT *, CASE WHEN doc_id % 3 > 0 THEN doc_id - doc_id % 3 END AS parent_id, CASE WHEN doc_id % 5 < 4 THEN doc_id % 2 = 0 END AS is_canonical, CASE WHEN doc_id % 7 < 6 THEN doc_id % 11 = 0 END AS superseded, doc_id % 13 // 12 AS del_flag FROM documents)"
@@ -55,7 +55,7 @@ HYBRID_SQL = """f AS (SELECT qid, id, round(0.3 * coalesce(max(CASE WHEN channel
 
 
 def by_channel(spark: SparkSession, sf_dir: str) -> dict:
-    return {"fts": lambda k: fts_hits(spark, sf_dir, k=k), "vector": lambda k: vector_hits(spark, sf_dir, k), "graph": lambda k: fusion.best(graph_hits(spark, sf_dir), k)}
+    return {"fts": lambda k: fts_hits(spark, sf_dir, k=k), "vector": lambda k: vector_hits(spark, sf_dir, k), "graph": lambda k: graph_hits(spark, sf_dir, k)}
 
 
 @query(f"WITH {CHANNELS_SQL}, {HYBRID_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM f) SELECT qid, id, score, rank FROM r WHERE rank <= 25")
@@ -282,13 +282,9 @@ def request_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     asked = benchmark_queries(spark, sf_dir).join(e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), "qid", "left")
 
-    def graph(queries: DataFrame, k: int) -> DataFrame:
-        named = entities(texts, "id").join(entities(queries, "qid"), "name")
-        return fusion.best(named.groupBy("qid", "id").agg(F.countDistinct("name").cast("double").alias("score")), k)
-
     parts = {
         "fts": lambda queries, k: retrieval.bm25_of_texts(queries, texts.select("id", "text"), k),
         "vector": lambda queries, k: retrieval.nearest(queries.select("qid", "q"), e.select(F.col("vec_id").alias("id"), "embedding"), k),
-        "graph": graph,
+        "graph": lambda queries, k: named_hits(queries, texts.select("id", "text"), k),
     }
     return request.answered(asked, parts, texts, request.Request(k=25))

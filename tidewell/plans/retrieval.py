@@ -52,15 +52,18 @@ def entities(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.col(name), F.explode(F.array_distinct(proper_names(F.col("text")))).alias("name"))
 
 
-def graph_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = entities(spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")), "id")
-    asked = entities(benchmark_queries(spark, sf_dir), "qid")
-    return docs.join(small(asked), "name").groupBy("qid", "id").agg(F.countDistinct("name").cast("double").alias("score"))
+def named_hits(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """The k texts (id, text) with the most names of each query (qid, text)."""
+    return retrieval.shared_terms(entities(queries, "qid").withColumnRenamed("name", "term"), texts.select("id", F.array_distinct(proper_names(F.col("text"))).alias("words")), k)
+
+
+def graph_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return named_hits(benchmark_queries(spark, sf_dir), spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")), k)
 
 
 def channels(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
     """The candidates of the three channels."""
-    parts = {"fts": fts_hits(spark, sf_dir, k=k), "vector": vector_hits(spark, sf_dir, k), "graph": fusion.best(graph_hits(spark, sf_dir), k)}
+    parts = {"fts": fts_hits(spark, sf_dir, k=k), "vector": vector_hits(spark, sf_dir, k), "graph": graph_hits(spark, sf_dir, k)}
     out = None
     for name, part in parts.items():
         part = part.select(F.lit(name).alias("channel"), "qid", "id", "score")
