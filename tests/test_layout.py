@@ -50,3 +50,11 @@ def test_odd_blocks(spark):
     df = spark.createDataFrame([(1, 1, 0.0, 9.0, 5.0, 12.0), (1, 2, None, 0.0, 5.0, 3.0), (1, 3, 0.0, 0.0, 5.0, 3.0), (2, 1, 0.0, 0.0, 1.0, 1.0)], "page int, block int, x0 double, y0 double, x1 double, y1 double")
     assert {(r["page"], r["place"]): r["block"] for r in layout.reading_order(df, "page").collect()} == {(1, 1): 3, (1, 2): 1, (1, 3): 2, (2, 1): 1}
     assert layout.reading_order(df.where(F.lit(False)), "page").count() == 0
+
+
+def test_pages_are_read_in_batches_not_group_by_group(spark):
+    rows = [(p, b, x, y, x + 10, y + 5) for p in range(4) for b, x, y in [(9, 0.0, 20.0), (3, 0.0, 0.0), (5, 50.0, 0.0), (5, 50.0, 10.0)]] + [(7, 2, None, 0.0, 1.0, 1.0), (7, 1, None, 0.0, 1.0, 1.0), (7, None, 0.0, 0.0, 1.0, 1.0)]
+    found = layout.reading_order(spark.createDataFrame(rows, "page int, block int, x0 double, y0 double, x1 double, y1 double"), "page")
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    got = sorted((r["page"], r["place"], r["block"]) for r in found.collect())
+    assert got == [(p, k + 1, b) for p in range(4) for k, b in enumerate((3, 9, 5, 5))] + [(7, 1, None), (7, 2, 1), (7, 3, 2)]

@@ -7,8 +7,11 @@ read by top and left edge. A page's blocks are a bounded group, read in one func
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,16 +64,29 @@ def bands(y0: np.ndarray, y1: np.ndarray, wide: np.ndarray) -> list[np.ndarray]:
 
 
 def reading_order(blocks: DataFrame, *page: str) -> DataFrame:
-    """page, block and place (from 1) of blocks (page, block, x0, y0, x1, y1); blocks without a full box come last, by number."""
+    """page, block and place (from 1) of blocks (page, block, x0, y0, x1, y1); blocks without a full box come last, by number. A page is a row of lists, so a task works
+    through batches of pages."""
     kinds = dict(blocks.dtypes)
+    sides = ("x0", "y0", "x1", "y1")
 
-    def placed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block", kind="stable").reset_index(drop=True)
-        box = pdf[["x0", "y0", "x1", "y1"]].to_numpy(np.float64)
-        whole = ~np.isnan(box).any(axis=1)
-        order = ordered(box, np.flatnonzero(whole)) + np.flatnonzero(~whole).tolist()
-        out = pdf.loc[order, [*page, "block"]]
-        return out.assign(place=np.arange(1, len(out) + 1))
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(page))
+            rows, numbers = lists.flatten(), pc.list_parent_indices(lists)
+            sort = pc.sort_indices(pa.table({"page": numbers, "block": rows.field("block")}), [("page", "ascending"), ("block", "ascending")])
+            box = np.stack([rows.field(c).take(sort).to_numpy(zero_copy_only=False).astype(np.float64) for c in sides], axis=1).reshape(-1, 4)
+            whole = ~np.isnan(box).any(axis=1)
+            order, places, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+            for n in pc.list_value_length(lists).to_pylist():
+                own = whole[at : at + n]
+                order.append(at + np.array(ordered(box[at : at + n], np.flatnonzero(own)) + np.flatnonzero(~own).tolist(), np.int64))
+                places.append(np.arange(1, n + 1))
+                at += n
+            taken = sort.take(pa.array(np.concatenate(order)))
+            pages = numbers.take(taken)
+            columns = [*(batch.column(k).take(pages) for k in range(len(page))), rows.field("block").take(taken), pa.array(np.concatenate(places))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*page, "block", "place"])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in (*page, "block")) + ", place long"
-    return blocks.select(*page, "block", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]).groupBy(*page).applyInPandas(placed, schema)
+    boxes = F.struct("block", *[F.col(c).cast("double").alias(c) for c in sides])
+    return blocks.groupBy(*page).agg(F.collect_list(boxes).alias("boxes")).mapInArrow(placed, schema)
