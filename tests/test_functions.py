@@ -282,3 +282,24 @@ def test_folds_do_not_depend_on_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", keep)
     assert sum(r[2] for r in whole[0]) == 300
+
+
+def test_frequent_words_are_counted_where_they_stand(spark):
+    rows = [(1, ["b", "a", "a", "c", "b"]), (2, []), (3, None), (4, ["x"]), (5, ["a", "b", "c"])]
+    want = [(1, "a", 2, 2), (1, "b", 2, 1), (4, "x", 1, 1), (5, "a", 1, 1), (5, "b", 1, 2)]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, words array<string>").where(F.size("words") > 0)
+    once = documents.frequent_words(frame(rows), 2)
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, once.collect())) == want
+    again = documents.frequent_words(frame([*rows, (4, ["y", "y"])]), 2)  # an id of two rows is one text
+    assert sorted(map(tuple, again.collect())) == [*want[:2], (4, "x", 1, 2), (4, "y", 2, 1), *want[3:]]
+
+
+def test_chunks_are_made_a_few_texts_at_a_time(monkeypatch):
+    monkeypatch.setattr(documents, "TEXTS", 3)
+    texts = [None, "", "short"] + [f"## h\n{'word and word. ' * n}" for n in range(0, 800, 90)]
+    sizes = []
+    made = documents.pa.array
+    monkeypatch.setattr(documents.pa, "array", lambda rows, *a: (sizes.append(len(rows)), made(rows, *a))[1])
+    (out,) = documents._chunks(iter([made(texts)]))
+    assert max(sizes) <= 3 and out.to_pylist() == [documents.chunked_text(t) for t in texts]

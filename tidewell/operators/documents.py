@@ -6,7 +6,10 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,14 +89,20 @@ def chunked_text(text: str | None) -> list[dict]:
     return [{"parent": i, "title": t, "content": c, "children": pieces(c, CHILD, OVERLAP)} for i, (t, c) in enumerate(split)]
 
 
-def _chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+#: Texts that are chunked at a time.
+TEXTS = 64
+CHUNKS_ARROW = pa.list_(pa.struct([("parent", pa.int32()), ("title", pa.string()), ("content", pa.string()), ("children", pa.list_(pa.string()))]))
+
+
+def _chunks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
-        yield batch.map(chunked_text)
+        parts = [pa.array([chunked_text(t) for t in batch.slice(at, TEXTS).to_pylist()], CHUNKS_ARROW) for at in range(0, len(batch), TEXTS)]
+        yield pa.concat_arrays([pa.array([], CHUNKS_ARROW), *parts])
 
 
 def chunks(text: Column) -> Column:
     """Parents (by headings, capped) with their children; one parent and child of the whole where nothing can be cut."""
-    cut = F.pandas_udf(_chunks, CHUNKS)(text)
+    cut = F.arrow_udf(_chunks, CHUNKS)(text)
     whole = F.array(F.struct(F.lit(0).alias("parent"), F.lit("").alias("title"), text.alias("content"), F.array(text).alias("children")))
     return F.when(F.size(cut) > 0, cut).otherwise(whole.cast(CHUNKS))
 
@@ -104,6 +113,29 @@ def chunk_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     return parents.select(id_column, F.col("p.parent").alias("parent"), F.col("p.title").alias("title"), F.length("p.content").alias("parent_chars"), F.posexplode("p.children").alias("child", "content"))
 
 
+def frequent_words(texts: DataFrame, k: int) -> DataFrame:
+    """id, word, n, rank of the k most frequent words of each id of texts (id, words), ties to the first seen. A task counts a text's words, so none are shuffled;
+    only where an id stands more than once, which is asked first by ids alone, words meet by id."""
+    if texts.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count():
+        seen = texts.select("id", F.posexplode("words").alias("pos", "word")).groupBy("id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+        w = Window.partitionBy("id").orderBy(F.desc("n"), "first_pos")
+        return seen.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "word", "n", "rank")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(1).flatten().dictionary_encode()
+            row, code = pc.list_parent_indices(batch.column(1)).to_numpy().astype(np.int64), words.indices.to_numpy()
+            pairs, first, n = np.unique(row * max(1, len(words.dictionary)) + code, return_index=True, return_counts=True)
+            row, code = np.divmod(pairs, max(1, len(words.dictionary)))
+            order = np.lexsort((first, -n, row))
+            rank = np.arange(len(row)) - np.searchsorted(row, row) + 1  # rows are in order, so places within them are ranks
+            order, rank = order[rank <= k], rank[rank <= k]
+            columns = [batch.column(0).take(pa.array(row[order])), words.dictionary.take(pa.array(code[order])), pa.array(n[order]), pa.array(rank, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "word", "n", "rank"])
+
+    return texts.mapInArrow(counted, f"id {dict(texts.dtypes)['id']}, word string, n long, rank int")
+
+
 def composed(text: str) -> str:
     """NFKC; most texts need only a look."""
     return text if text.isascii() or unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)

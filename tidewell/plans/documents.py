@@ -118,11 +118,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_po
 SELECT doc_id, word, n, rank FROM r WHERE rank <= 8""")
 def keyword_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight most frequent words of each text; ties to the first seen."""
-    words = docs(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("pos", "word"))
-    words = words.where((F.length("word") >= 2) & ~F.col("word").isin("the", "and", "of", "to", "in", "is", "that"))
-    g = words.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first_pos")
-    return g.withColumn("rank", F.row_number().over(w)).where("rank <= 8").select("doc_id", "word", "n", "rank")
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
+    kept = F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin("the", "and", "of", "to", "in", "is", "that"))
+    return D.frequent_words(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), kept.alias("words")).where(F.size("words") > 0), 8).withColumnRenamed("id", "doc_id")
 
 
 @query("""SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1""")
