@@ -113,3 +113,23 @@ def test_word_network_equals_a_naive_convolution():
         best.append(np.max(np.maximum(0, windows), axis=0))
     want = np.concatenate(best) @ p["o"] + p["c"][0]
     assert np.isclose(toxicity_cnn.logits_of(e, p, toxicity_cnn.tables(p))[0], want, atol=1e-4)
+
+
+def test_toxicity_learns_from_rows_outside_the_first_sample(spark):
+    """A word found only in toxic texts that the first fit never saw is learnt, and counted, and the rest still is."""
+    docs, labels = two_kinds(spark, 1200)
+    drawn = {r["doc_id"] for r in convolution.labelled_rows(docs, labels, "toxic", toxicity_cnn.bucket_of("doc_id", 5) > 0, 60).collect()}
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    outside = ~F.col("doc_id").isin(sorted(drawn)) & (F.col("doc_id") % 4 == 1)  # toxic by its odd number
+    text = F.when(outside, F.lit("the tale of zork zork zork zork zork zork")).otherwise(F.col("text"))
+    rows = toxicity_cnn.score_toxicity(docs.select("doc_id", text.alias("text")), labels, sample=60).join(labels, "doc_id").where(held).withColumn("new", outside).collect()
+    assert len([r for r in rows if r["new"]]) > 30 and all(r["predicted"] == 1 for r in rows if r["new"])
+    assert np.mean([r["predicted"] == r["toxic"] for r in rows]) > 0.98
+
+
+def test_thresholds_come_from_all_rows(spark):
+    rows = [(float(k % 50) / 10 + (1.0 if language else 0.0), language, int(k % 50 >= 20)) for k in range(400) for language in (0, 1)] + [(-3.0, 2, 1)] * 3
+    told = spark.createDataFrame(rows, "logit double, language int, y int")
+    cuts = toxicity_cnn.thresholds(told, np.zeros(len(toxicity_cnn.LANGUAGES) + 1))
+    assert abs(cuts[0] - 1.95) < 0.05 and abs(cuts[1] - 2.95) < 0.05 and len(set(cuts[2:])) == 1
+    assert (toxicity_cnn.thresholds(told.where("language = 2"), np.full(len(toxicity_cnn.LANGUAGES) + 1, 0.7)) == 0.7).all()

@@ -111,6 +111,11 @@ def best_threshold(logits: np.ndarray, y: np.ndarray, weight: np.ndarray, fallba
         return fallback
     order = np.argsort(logits)
     x, up, down = logits[order], (y * weight)[order], ((1 - y) * weight)[order]
+    return best_cut(x, up, down, caution)
+
+
+def best_cut(x: np.ndarray, up: np.ndarray, down: np.ndarray, caution: float = 1.0) -> float:
+    """The same of rising logits x with the weights of both labels."""
     below_up, below_down = np.concatenate([[0], np.cumsum(up)]), np.concatenate([[0], np.cumsum(down)])
     gain = (up.sum() - below_up) / up.sum() + caution * below_down / down.sum()
     good = np.flatnonzero(gain >= gain.max() - 1e-9)
