@@ -37,13 +37,21 @@ def small(df: DataFrame, of: DataFrame | None = None, limit: int = BROADCAST_BYT
     return F.broadcast(df) if planned_bytes(df if of is None else of) <= limit else df
 
 
-#: Bytes, as the optimizer estimates them, under which an input is dealt over all cores before work on its texts.
-SPREAD_BYTES = 512 << 20
+#: Bytes, as the optimizer estimates them, under which an input is dealt over all cores before work on its texts, and of a part of a larger one that is dealt.
+SPREAD_BYTES, PART_BYTES = 512 << 20, 64 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, if it is small: a file with one row group is one task, however much work its texts are. Larger inputs have tasks enough and stay where they are."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if planned_bytes(df) <= SPREAD_BYTES else df
+    """df over all cores, if it is small or few of its tasks hold its rows: a row group is one task, however large it is and however much work its texts are. Rows of a larger
+    input are counted by task, for which no column that nothing asks for is read; one whose tasks are even stays where it is.
+
+    What a later filter asks for is worked out before the rows are dealt, as the optimizer moves filters down; so filters on the results of such work belong behind it."""
+    cores, size = df.sparkSession.sparkContext.defaultParallelism, planned_bytes(df)
+    if size > SPREAD_BYTES:
+        rows = [r["n"] for r in df.select(F.spark_partition_id().alias("part")).groupBy("part").agg(F.count("*").alias("n")).collect()]  # a row a task
+        if not rows or 2 * max(rows) * cores <= 3 * sum(rows):
+            return df
+    return df.repartition(max(cores, -(-size // PART_BYTES)))
 
 
 def shared_folder(spark: SparkSession) -> str:
