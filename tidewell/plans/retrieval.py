@@ -138,7 +138,7 @@ UPDATED_SQL = BM25_SQL.replace("FROM documents", """FROM (SELECT doc_id, CASE WH
 @query(f"WITH {UPDATED_SQL}, r AS (SELECT qid, id, score, {TOP} AS rank FROM hit) SELECT * FROM r WHERE rank <= 10")
 def index_search_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents by a stored index, after a first load, an append, a deletion and an update."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
     index = inverted_index.scratch_index(spark, buckets=64)
     index.appended(docs.where("id % 3 <> 0"))
     index.appended(docs.where("id % 3 = 0"))

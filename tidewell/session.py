@@ -71,7 +71,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: what several branches read is worked out once, and lost executors cost no more than reading it."""
-    path = new_path(df.sparkSession, name)
+    return stored(df, new_path(df.sparkSession, name))
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """df as a Parquet table at `path`, read again."""
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
