@@ -141,3 +141,26 @@ def test_recall_over_the_range_of_the_limit(similarity, least):
     keys = om.sketches(pa.array(a + b))
     assert all(om.aligned(x, y) for x, y in zip(a, b))
     assert (keys[:300] == keys[300:]).any(axis=1).mean() >= least
+
+
+def test_a_tile_splits_its_texts_once(monkeypatch):
+    """Texts of the same words in other orders pass every bound, so all pairs are aligned: their words are split once for the tile, not for each pair."""
+    import pyarrow as pa
+
+    from tidewell.llm import linking
+
+    rng = random.Random(4)
+    members = []
+    for k in range(30):
+        words = [f"w{i}" for i in range(60)]
+        rng.shuffle(words)
+        members.append({"component": k, "body": " ".join(words)})
+    near = members[7]["body"].split()
+    near[20:25] = ["other"] * 5
+    members.append({"component": 30, "body": " ".join(near)})
+    kind = pa.list_(pa.struct([("component", pa.int64()), ("body", pa.string())]))
+    tile = pa.RecordBatch.from_arrays([pa.array([members], kind), pa.array([None], kind)], names=["members_i", "members_j"])
+    calls, split = [], om.word_sets
+    monkeypatch.setattr(om, "word_sets", lambda texts: calls.append(len(texts)) or split(texts))
+    (found,) = linking.tile_links(om.labelled_words, linking.of_larger, om.LIMIT)([tile])
+    assert found.to_pydict() == {"a": [7], "b": [30]} and calls == [31]

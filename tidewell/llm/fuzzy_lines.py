@@ -17,7 +17,7 @@ rows. Further columns are untouched, also ones named n_lines or n_dropped in `dr
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,11 +79,11 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(rolled[gathered(starts, windows)]), windows
 
 
-def shingle_sets(lines: list[str]) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each line."""
+def shingle_sets(lines: list[str]) -> tuple[list[np.ndarray], Callable[[int, int], bool]]:
+    """Sorted distinct shingle hashes of each line, which decide alone."""
     h, windows = shingle_hashes(lines)
     ends = np.cumsum(windows)
-    return [np.unique(h[end - n : end]) for end, n in zip(ends, windows)]
+    return [np.unique(h[end - n : end]) for end, n in zip(ends, windows)], lambda i, j: True
 
 
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,7 @@ def fuzzy_drops(rows: DataFrame, exact: DataFrame, scratch: Scratch) -> DataFram
         return scratch.put(found.select(F.col("w.node").alias("node"), F.get("lines", F.col("w.place")).alias("body")))
 
     keys = lines.select("node", F.explode("keys").alias("key"))
-    component = linked_components(keys, bodies_of, verified, shingle_sets, lambda a, b: True, jaccard, LIMIT, scratch)
+    component = linked_components(keys, bodies_of, verified, shingle_sets, jaccard, LIMIT, scratch)
     members = scratch.put(lines.select("id", "__row", "place", "node").join(small_side(component, component.count() * NUMBER_BYTES), "node"))
     firsts = members.groupBy("component").agg(F.min(F.struct("id", "__row", "place")).alias("first"))
     return members.join(firsts, "component").where(F.struct("id", "__row", "place") != F.col("first")).select("__row", "place")

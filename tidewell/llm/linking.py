@@ -34,6 +34,8 @@ PAIRS = 1024
 COLUMNS = 4096
 #: Elements in this many sets of a tile or more count as frequent.
 OFTEN = 16
+#: Members of a tile up to which its sets meet pair by pair, and characters of tiles that are split into elements together.
+FEW, TOGETHER = 5, 1 << 18
 SLIM = 1e-9
 #: Bytes of a row of two numbers in a broadcast table.
 PAIR_BYTES = 40
@@ -50,10 +52,10 @@ def compared(pairs: DataFrame, bodies: DataFrame, verify: Callable) -> DataFrame
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     """How many elements sets i < j share, above the diagonal: elements in many sets by a product of incidence matrices, the others pair by pair."""
     n = len(sets)
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
-    order = np.argsort(column, kind="stable")
-    row, times = row[order], times[times > 0]
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    values, row = values[order], np.repeat(np.arange(n), [len(s) for s in sets])[order]
+    times = np.diff(np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]]))) if len(values) else np.zeros(0, np.int64)
     out = np.zeros((n, n), np.float32)
     often = times >= OFTEN
     width, per = int(often.sum()), np.repeat(often, times)
@@ -83,8 +85,22 @@ def of_larger(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return common / np.maximum(np.maximum(a, b), 1)
 
 
-def joining_links(components: list[int], texts: list[str], sets_of: Callable, confirm: Callable, measure: Callable, limit: float) -> list[tuple[int, int]]:
-    """Pairs of components with members that match, as many as join them, the likest first."""
+def alike_pairs(components: list[int], sets: list[np.ndarray], measure: Callable, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the members of different components whose similarity reaches the limit, the likest first."""
+    sizes, own = np.array([len(s) for s in sets]), np.array(components)
+    a, b = np.nonzero(np.triu(own[:, None] != own[None], 1))
+    if len(sets) <= FEW:
+        common = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a.tolist(), b.tolist())], np.float32)
+    else:
+        common = common_counts(sets)[a, b]
+    similarity = measure(common, sizes[a], sizes[b])
+    near = np.flatnonzero(similarity >= limit - SLIM)
+    near = near[np.argsort(-similarity[near], kind="stable")]
+    return a[near], b[near]
+
+
+def joining_links(components: list[int], sets: list[np.ndarray], confirm: Callable, measure: Callable, limit: float) -> list[tuple[int, int]]:
+    """Pairs of components with members that match, as many as join them, the likest first. confirm decides on two places."""
     parent = {c: c for c in components}
 
     def root(c: int) -> int:
@@ -93,31 +109,40 @@ def joining_links(components: list[int], texts: list[str], sets_of: Callable, co
             c = parent[c]
         return c
 
-    sets = sets_of(texts)
-    sizes = np.array([len(s) for s in sets])
-    similarity = measure(common_counts(sets), sizes[:, None], sizes[None])
-    own = np.array(components)
-    a, b = np.nonzero(np.triu(similarity >= limit - SLIM, 1) & (own[:, None] != own[None]))
-    order = np.argsort(-similarity[a, b], kind="stable")
     links = []
-    for i, j in zip(a[order].tolist(), b[order].tolist()):
-        if root(components[i]) != root(components[j]) and confirm(texts[i], texts[j]):
+    for i, j in zip(*(x.tolist() for x in alike_pairs(components, sets, measure, limit))):
+        if root(components[i]) != root(components[j]) and confirm(i, j):
             parent[root(components[i])] = root(components[j])
             links.append((components[i], components[j]))
     return links
 
 
-def tile_links(sets_of: Callable, confirm: Callable, measure: Callable, limit: float) -> Callable:
-    """Over tiles, rows of the members (component, body) of one block, and of another, or null for a block with itself."""
+def tile_links(elements: Callable, measure: Callable, limit: float) -> Callable:
+    """Over tiles, rows of the members (component, body) of one block, and of another, or null for a block with itself. Small tiles are split into elements together."""
+
+    def linked(tiles: list[list[dict]]) -> list[tuple[int, int]]:
+        place: dict[str, int] = {}
+        at = [[place.setdefault(m["body"] or "", len(place)) for m in members] for members in tiles]
+        sets, confirm = elements(list(place))
+        links: list[tuple[int, int]] = []
+        for members, own in zip(tiles, at):
+            links += joining_links([m["component"] for m in members], [sets[k] for k in own], lambda i, j, own=own: confirm(own[i], own[j]), measure, limit)
+        return links
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links: list[tuple[int, int]] = []
+            tiles, size = [], 0
             for one, other in zip(batch.column(0), batch.column(1)):
                 members = one.as_py() + (other.as_py() or [])
-                components = [m["component"] for m in members]
-                if len(set(components)) > 1:
-                    links += joining_links(components, [m["body"] or "" for m in members], sets_of, confirm, measure, limit)
+                if len({m["component"] for m in members}) > 1:
+                    tiles.append(members)
+                    size += sum(len(m["body"] or "") for m in members)
+                if size > TOGETHER:
+                    links += linked(tiles)
+                    tiles, size = [], 0
+            if tiles:
+                links += linked(tiles)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
     return found
@@ -160,11 +185,11 @@ def told_of(led: DataFrame, bodies: DataFrame, verify: Callable, scratch: Scratc
 
 
 def linked_components(
-    keys: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], verify: Callable, sets_of: Callable, confirm: Callable, measure: Callable, limit: float, scratch: Scratch, early: int = 0
+    keys: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], verify: Callable, elements: Callable, measure: Callable, limit: float, scratch: Scratch, early: int = 0
 ) -> DataFrame:
-    """(node, component) of the nodes that match others; the component is its least node. `keys` has key and node, read twice; bodies_of(nodes) gives node and body of the
-    nodes that share a key; verify compares pairs (Arrow) and tells their similarity by `measure`; sets_of gives sorted elements of texts, confirm decides on two
-    texts whose elements are alike enough.
+    """(node, component) of the nodes that match others; the component is its least node. `keys` has key and node; bodies_of(nodes) gives node and body of the
+    nodes that share a key; verify compares pairs (Arrow) and tells their similarity by `measure`; elements gives the sorted elements of each text, and a function that decides on
+    the places of two texts whose elements are alike enough.
 
     With `early`, one bucket in so many, by its key, is compared with its leader and joined first. Buckets whose members are all in one component by then are done, which
     for a family of copies are nearly all; the others go on, those first ones too."""
@@ -211,7 +236,7 @@ def linked_components(
         one, other = (packed.select("key", F.col("block").alias(c), F.col("members").alias(f"members_{c}")) for c in "ij")
         whole = tiles.where("i = j").join(one, ["key", "i"]).select("members_i", F.lit(None).cast(packed.schema["members"].dataType).alias("members_j"))
         pairs = tiles.where("i < j").join(one, ["key", "i"]).join(other, ["key", "j"]).select("members_i", "members_j")
-        links = in_small_batches(scratch, whole.union(pairs).mapInArrow(tile_links(sets_of, confirm, measure, limit), "a long, b long"), TILES)
+        links = in_small_batches(scratch, whole.union(pairs).mapInArrow(tile_links(elements, measure, limit), "a long, b long"), TILES)
         joined = connected_components(links, scratch)
         alone = joined.select("node").join(component, "node", "left_anti").select("node", F.col("node").alias("component"))
         onward = joined.select(F.col("node").alias("component"), F.col("component").alias("on"))

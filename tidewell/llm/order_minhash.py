@@ -17,7 +17,7 @@ names that begin with `__`.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -187,12 +187,14 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similarity), pa.array(same), batch.column(4)], names=["a", "b", "similarity", "same", "size"])
 
 
-def labelled_words(texts: list[str]) -> list[np.ndarray]:
-    return word_sets(pa.array(texts, pa.string()))[0]
+def labelled_words(texts: list[str]) -> tuple[list[np.ndarray], Callable[[int, int], bool]]:
+    """Sorted labelled words of each text, and the verdict of the alignment on two of them."""
+    sets, words = word_sets(pa.array(texts, pa.string()))
+    return sets, lambda i, j: alike(words[i], words[j])
 
 
 def aligned(a: str, b: str) -> bool:
-    return alike(*word_sets(pa.array([a, b], pa.string()))[1])
+    return labelled_words([a, b])[1](0, 1)
 
 
 def with_digest(docs: DataFrame) -> DataFrame:
@@ -216,7 +218,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         times = found.groupBy("node").count().where("count > 1").limit(1).count()
         return scratch.put(found.dropDuplicates(["node"])) if times else found  # rows of equal id and text
 
-    component = linked_components(keys, bodies_of, verified, labelled_words, aligned, of_larger, LIMIT, scratch, EARLY)
+    component = linked_components(keys, bodies_of, verified, labelled_words, of_larger, LIMIT, scratch, EARLY)
     named = nodes.select("digest", "node", "first_id").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = named.groupBy("component").agg(F.min("first_id").alias("class_id"))
     named = named.join(classes, "component").select("digest", "class_id", "component")
