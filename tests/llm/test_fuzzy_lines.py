@@ -108,3 +108,33 @@ def test_large_buckets_are_compared_in_tiles(spark, monkeypatch):
     assert sorted((r["doc_id"], r["text"]) for r in fl.drop_lines(df).collect()) == whole
     want = brute(rows)
     assert sum(t != want[i] for i, t in whole) <= 2
+
+
+def test_keys_are_shuffled_once(spark):
+    """Of keys with equal members one stays, and its rows come from the shuffle that counted them."""
+    from tidewell.llm import linking
+
+    class Plans:
+        def __init__(self):
+            self.all = []
+
+        def put(self, df):
+            self.all.append(df)
+            return df
+
+        def drop(self, *tables):
+            pass
+
+    rng = random.Random(6)
+    rows = [(n, k) for n in range(400) for k in rng.sample(range(900), 3)] + [(n, k) for n in (1000, 1001, 1002) for k in (5001, 5002)]
+    plans = Plans()
+    got = linking.shared_keys(spark.createDataFrame(rows + [(1, None)], "node long, key long"), plans)
+    by, sets = {}, {}
+    for n, k in rows:
+        by.setdefault(k, set()).add(n)
+    for k, nodes in by.items():
+        if len(nodes) > 1:
+            sets[frozenset(nodes)] = min(k, sets.get(frozenset(nodes), k))
+    assert sorted((r["key"], r["node"], r["n"]) for r in got.collect()) == sorted((k, n, len(nodes)) for nodes, k in sets.items() for n in nodes)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len(plans.all) == 1 and "ReusedExchange" in plan and plan.split("Initial Plan")[0].count("REPARTITION_BY_COL") == 1 + plan.split("Initial Plan")[0].count("ReusedExchange")

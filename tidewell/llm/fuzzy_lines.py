@@ -82,8 +82,12 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def shingle_sets(lines: list[str]) -> tuple[list[np.ndarray], Callable[[int, int], bool]]:
     """Sorted distinct shingle hashes of each line, which decide alone."""
     h, windows = shingle_hashes(lines)
-    ends = np.cumsum(windows)
-    return [np.unique(h[end - n : end]) for end, n in zip(ends, windows)], lambda i, j: True
+    own = np.repeat(np.arange(len(lines)), windows)
+    for end, n in zip(np.cumsum(windows).tolist(), windows.tolist()):
+        h[end - n : end].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+    return np.split(h[new], np.cumsum(np.bincount(own[new], minlength=len(lines)))[:-1]), lambda i, j: True
 
 
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -149,14 +149,11 @@ def tile_links(elements: Callable, measure: Callable, limit: float) -> Callable:
 
 
 def shared_keys(keys: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, node, n) of the keys that two or more nodes have, one key for each set of nodes; n is their number. `keys` is read twice."""
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = scratch.put(keys.join(sizes, "key").select("key", "node", "n"))  # sizes grow with the input: a shuffle, whatever their number
-    marks = members.groupBy("key", "n").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    marks = scratch.put(marks.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"))
-    out = scratch.put(members.join(small_side(marks, marks.count() * PAIR_BYTES), "key"))
-    scratch.drop(members, marks)
-    return out
+    """(key, node, n) of the keys that two or more nodes have, one key for each set of nodes; n is their number. The rows are shuffled once, for the counts and for the members."""
+    dealt = keys.where("key IS NOT NULL").repartition("key")
+    marks = dealt.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
+    marks = marks.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")  # grow with the input: a shuffle, whatever their number
+    return scratch.put(dealt.join(marks.hint("shuffle_hash"), "key").select("key", "node", "n"))
 
 
 def in_small_batches(scratch: Scratch, df: DataFrame, rows: int) -> DataFrame:
