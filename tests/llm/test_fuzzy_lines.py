@@ -138,3 +138,48 @@ def test_keys_are_shuffled_once(spark):
     assert sorted((r["key"], r["node"], r["n"]) for r in got.collect()) == sorted((k, n, len(nodes)) for nodes, k in sets.items() for n in nodes)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert len(plans.all) == 1 and "ReusedExchange" in plan and plan.split("Initial Plan")[0].count("REPARTITION_BY_COL") == 1 + plan.split("Initial Plan")[0].count("ReusedExchange")
+
+
+def test_pairs_are_compared_by_hashed_shingles():
+    """Similarities are those of the sets of strings, to the last bit, also of lines shorter than a shingle, of equal and of empty ones; no line is cut into strings."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    lines = ["", "a", "ab", "ababababababab", "ééééééééé", "x\x00y", "x\x00y\x00", *("".join(rng.choice("abc ") for _ in range(rng.randrange(60))) for _ in range(60))]
+    pairs = [(rng.randrange(len(lines)), rng.randrange(len(lines))) for _ in range(900)] + [(k, k) for k in range(len(lines))]
+    columns = [pa.array([lines[x[k]] for x in pairs]) for k in (0, 1)]
+    numbers = [pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)]
+    batch = pa.RecordBatch.from_arrays([*numbers, *columns, pa.array([len(lines[b].encode()) for _, b in pairs], pa.int64())], names=["a", "b", "body_a", "body_b", "size"])
+    cut, fl.shingles = fl.shingles, None
+    try:
+        got = pa.Table.from_batches(fl.verified(iter([batch]))).to_pylist()
+    finally:
+        fl.shingles = cut
+    for r, (a, b) in zip(got, pairs):
+        one, other = fl.shingles(lines[a]), fl.shingles(lines[b])
+        assert (r["a"], r["b"], r["similarity"]) == (a, b, len(one & other) / len(one | other))
+        assert r["same"] == (r["similarity"] >= fl.LIMIT)
+
+
+def test_small_tiles_of_several_batches_are_split_together():
+    import pyarrow as pa
+
+    from tidewell.llm import linking
+
+    member = pa.struct([("component", pa.int64()), ("body", pa.string())])
+    rng, tiles = random.Random(4), []
+    for k in range(40):
+        line = " ".join(f"{rng.randrange(10**4):04d}" for _ in range(20))
+        tiles.append([(3 * k, line), (3 * k + 1, line[:-4] + "zzzz"), (3 * k + 2, f"apart {k} {rng.random()}")])
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array([[{"component": c, "body": b} for c, b in t] for t in tiles[at : at + 4]], pa.list_(member)), pa.nulls(4, pa.list_(member))], names=["members_i", "members_j"])
+        for at in range(0, 40, 4)
+    ]
+    calls = []
+
+    def elements(texts):
+        calls.append(len(texts))
+        return fl.shingle_sets(texts)
+
+    links = [(r["a"], r["b"]) for x in linking.tile_links(elements, linking.jaccard, fl.LIMIT)(iter(batches)) for r in x.to_pylist()]
+    assert links == [(3 * k, 3 * k + 1) for k in range(40)] and calls == [120]

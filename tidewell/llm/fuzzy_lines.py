@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .bpe import gathered
 from .common import Scratch, slices, small_side, texts_of, unreserved, written
 from .divergence import bound
-from .linking import jaccard, linked_components
+from .linking import common_of, jaccard, linked_components
 from .order_minhash import mixed
 
 SHINGLE, BANDS, ROWS, LIMIT = 8, 12, 4, 0.8
@@ -69,7 +69,7 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     padded = np.maximum(size, SHINGLE)
     starts = np.cumsum(padded) - padded
-    flat = np.zeros(int(padded.sum()), np.uint64)
+    flat = np.full(int(padded.sum()), 2**64 - 1, np.uint64)  # what pads short lines is no character
     flat[gathered(starts, size)] = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     rolled, width = flat + np.uint64(1), 1
     while width < SHINGLE:  # SHINGLE is a power of two
@@ -135,15 +135,13 @@ def shingles(line: str) -> set[str]:
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Jaccard similarity of the shingle sets of pairs of lines."""
+    """Jaccard similarity of the shingle sets of pairs of lines. A leader's line stands in many pairs and is hashed once."""
     for batch in slices(batches, "body_b", 4 << 20):
-        similarity, last, own = np.zeros(batch.num_rows), None, set()
-        for k, (a, b) in enumerate(zip(texts_of(batch, "body_a").to_pylist(), texts_of(batch, "body_b").to_pylist())):
-            if a != last:
-                last, own = a, shingles(a)
-            other = shingles(b)
-            common = len(own & other)
-            similarity[k] = common / (len(own) + len(other) - common)
+        coded = pa.concat_arrays([texts_of(batch, "body_a"), texts_of(batch, "body_b")]).dictionary_encode()
+        sets, _ = shingle_sets(coded.dictionary.to_pylist())
+        size, which = np.array([len(s) for s in sets]), coded.indices.to_numpy()
+        a, b = which[: batch.num_rows], which[batch.num_rows :]
+        similarity = jaccard(common_of(sets, a, b), size[a], size[b])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similarity), pa.array(similarity >= LIMIT), batch.column(4)], names=["a", "b", "similarity", "same", "size"])
 
 

@@ -85,12 +85,22 @@ def of_larger(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return common / np.maximum(np.maximum(a, b), 1)
 
 
+def common_of(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many elements sets a[k] and b[k] share, for each k; the elements of a set are distinct."""
+    out = np.zeros(len(a), np.int64)
+    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
+        both = np.concatenate((sets[i], sets[j]))
+        both.sort()
+        out[k] = np.count_nonzero(both[1:] == both[:-1])
+    return out
+
+
 def alike_pairs(components: list[int], sets: list[np.ndarray], measure: Callable, limit: float) -> tuple[np.ndarray, np.ndarray]:
     """Places of the members of different components whose similarity reaches the limit, the likest first."""
     sizes, own = np.array([len(s) for s in sets]), np.array(components)
     a, b = np.nonzero(np.triu(own[:, None] != own[None], 1))
     if len(sets) <= FEW:
-        common = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a.tolist(), b.tolist())], np.float32)
+        common = common_of(sets, a, b)
     else:
         common = common_counts(sets)[a, b]
     similarity = measure(common, sizes[a], sizes[b])
@@ -129,21 +139,22 @@ def tile_links(elements: Callable, measure: Callable, limit: float) -> Callable:
             links += joining_links([m["component"] for m in members], [sets[k] for k in own], lambda i, j, own=own: confirm(own[i], own[j]), measure, limit)
         return links
 
+    def rows(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tiles, size = [], 0  # small tiles wait for others, also of later batches
         for batch in batches:
-            links: list[tuple[int, int]] = []
-            tiles, size = [], 0
             for one, other in zip(batch.column(0), batch.column(1)):
                 members = one.as_py() + (other.as_py() or [])
                 if len({m["component"] for m in members}) > 1:
                     tiles.append(members)
                     size += sum(len(m["body"] or "") for m in members)
                 if size > TOGETHER:
-                    links += linked(tiles)
+                    yield rows(linked(tiles))
                     tiles, size = [], 0
-            if tiles:
-                links += linked(tiles)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+        if tiles:
+            yield rows(linked(tiles))
 
     return found
 
@@ -226,13 +237,14 @@ def linked_components(
         blocks = counts.select("key", "bin", "kind", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("sub")).select("key", "bin", "kind", number(F.col("sub")).alias("block"))
         first, second = (blocks.select("key", F.col("bin").alias(f"bin_{c}"), F.col("kind").alias(f"kind_{c}"), F.col("block").alias(c)) for c in "ij")
         near = (F.abs(F.col("bin_i") - F.col("bin_j")) - 1) * BIN <= 1 - limit + SLIM
-        tiles = first.join(second, "key").where((F.col("i") <= F.col("j")) & (F.col("kind_i") + F.col("kind_j") < 2) & near).select("key", "i", "j")
+        tiles = first.join(second, "key").where((F.col("i") < F.col("j")) & (F.col("kind_i") + F.col("kind_j") < 2) & near).select("key", "i", "j")
         sub = F.pmod(F.xxhash64("node"), F.col("blocks"))
         dealt = placed.join(counts, ["key", "bin", "kind"]).select("key", "node", "component", number(sub).alias("block")).join(bodies, "node")
         packed = scratch.put(dealt.groupBy("key", "block").agg(F.collect_list(F.struct("component", "body")).alias("members")))  # about BLOCK members at most
         one, other = (packed.select("key", F.col("block").alias(c), F.col("members").alias(f"members_{c}")) for c in "ij")
-        whole = tiles.where("i = j").join(one, ["key", "i"]).select("members_i", F.lit(None).cast(packed.schema["members"].dataType).alias("members_j"))
-        pairs = tiles.where("i < j").join(one, ["key", "i"]).join(other, ["key", "j"]).select("members_i", "members_j")
+        own = F.shiftright("block", 32).bitwiseAND(F.lit(1)) == 0  # the block's kind: those of the main component are not compared among themselves
+        whole = packed.where(own).select(F.col("members").alias("members_i"), F.lit(None).cast(packed.schema["members"].dataType).alias("members_j"))
+        pairs = tiles.join(one, ["key", "i"]).join(other, ["key", "j"]).select("members_i", "members_j")
         links = in_small_batches(scratch, whole.union(pairs).mapInArrow(tile_links(elements, measure, limit), "a long, b long"), TILES)
         joined = connected_components(links, scratch)
         alone = joined.select("node").join(component, "node", "left_anti").select("node", F.col("node").alias("component"))
