@@ -164,3 +164,36 @@ def test_a_tile_splits_its_texts_once(monkeypatch):
     monkeypatch.setattr(om, "word_sets", lambda texts: calls.append(len(texts)) or split(texts))
     (found,) = linking.tile_links(om.labelled_words, linking.of_larger, om.LIMIT)([tile])
     assert found.to_pydict() == {"a": [7], "b": [30]} and calls == [31]
+
+
+def test_components_of_few_links_take_few_tasks(spark):
+    """Tables of a round are no longer written by a task for each partition of a shuffle; beyond the rows of a task and the bytes of a broadcast the components are the same."""
+    from tidewell.llm import components
+
+    rng = np.random.default_rng(3)
+    links = [(int(a), int(b)) for a, b in rng.integers(300, size=(160, 2))]
+    parent = list(range(300))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in links:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    want = {k: root(k) for pair in links if pair[0] != pair[1] for k in pair}
+    df = spark.createDataFrame(links, "a long, b long")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    kept = components.TASK_ROWS, components.POINTER_BYTES
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for components.TASK_ROWS, components.POINTER_BYTES, most in ((*kept, 1), (1, 0, 7)):
+            out = connected_components(df)
+            assert {r["node"]: r["component"] for r in out.collect()} == want
+            assert len(out.inputFiles()) <= most
+    finally:
+        components.TASK_ROWS, components.POINTER_BYTES = kept
+        for k, v in before.items():
+            spark.conf.set(k, v)
