@@ -19,20 +19,24 @@ Channel = Callable[[DataFrame, int], DataFrame]
 
 
 class Request(NamedTuple):
-    """How a search is asked: hits wanted (kept within the limits), mode, score from which a document counts for further rounds, and characters of a content."""
+    """How a search is asked: hits wanted (kept within the limits), mode, score from which a document counts for further rounds, characters of a content, and whether all
+    channels must answer: if so, one that fails is an error, as results would lack its hits."""
 
     k: int = 5
     mode: str = "fusion"
     least: float = search.MIN_SCORE
     chars: int = search.CONTENT_CHARS
+    all_channels: bool = False
 
 
-def tried(name: str, channel: Channel, queries: DataFrame, k: int) -> DataFrame:
-    """The hits of a channel, written; a channel that fails, when it is planned or when it runs, counts as empty, with a warning."""
+def tried(name: str, channel: Channel, queries: DataFrame, k: int, must: bool = False) -> DataFrame:
+    """The hits of a channel, written; a channel that fails, when it is planned or when it runs, is an error if it must answer, else counts as empty, with a warning."""
     try:
         hits = channel(queries, k)
         return written(hits.select(F.lit(name).alias("channel"), F.col("qid").cast("long").alias("qid"), F.col("id").cast("long").alias("id"), F.col("score").cast("double").alias("score")), name)
     except (PySparkException, ValueError, ConnectionError, TimeoutError) as error:
+        if must:
+            raise
         warnings.warn(f"channel {name} failed and counts as empty: {str(error)[:200]}", stacklevel=2)
         return queries.sparkSession.createDataFrame([], HITS)
 
@@ -40,7 +44,7 @@ def tried(name: str, channel: Channel, queries: DataFrame, k: int) -> DataFrame:
 def one_round(queries: DataFrame, channels: dict[str, Channel], request: Request, number: int) -> DataFrame:
     """qid, id, score, rank, abs_cosine of a round: every channel once, fused as the mode says; the cosine is the vector channel's score."""
     asked = written(search.checked_queries(queries), "asked")
-    found = {name: tried(name, channel, asked, search.OVER_FETCH * search.request_size(request.k)) for name, channel in channels.items()}
+    found = {name: tried(name, channel, asked, search.OVER_FETCH * search.request_size(request.k), request.all_channels) for name, channel in channels.items()}
     hits = search.searched({name: lambda k, name=name: found[name] for name in found}, request.k, request.mode, number)
     if "vector" not in found:
         return hits.select("qid", "id", "score", "rank", F.lit(None).cast("double").alias("abs_cosine"))
