@@ -250,12 +250,11 @@ def canonical_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def segmented_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words found again in texts without spaces: letters a to z turned into ideographs, spaces left out, the lexicon being the words of the documents."""
+    """Words found again in texts without spaces: letters a to z turned into ideographs, spaces left out, the lexicon being all words of the documents."""
     letters, ideographs = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + k) for k in range(26))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "").alias("words"))
     turned = F.transform("words", lambda w: F.translate(w, letters, ideographs))
     docs = docs.where("words IS NOT NULL").select("doc_id", turned.alias("words"))
-    lexicon = docs.select(F.explode("words").alias("word")).where(F.length("word") <= segmentation.MOST).groupBy("word").agg(F.count("*").alias("n"))
-    terms = segmentation.segmenter(lexicon)
-    found = docs.select("doc_id", F.size("words").alias("n_words"), F.col("words"), terms(F.array_join("words", "")).alias("found"))
-    return found.select("doc_id", "n_words", F.size("found").alias("n_found"), F.size(F.array_intersect("words", "found")).alias("n_same"))
+    lexicon = docs.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    found = segmentation.with_words(docs.withColumn("text", F.array_join("words", "")), "text", "found", lexicon)
+    return found.select("doc_id", F.size("words").alias("n_words"), F.size("found").alias("n_found"), F.size(F.array_intersect("words", "found")).alias("n_same"))
