@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .topk_blocks import Best, centroids, matrix, products
+from .topk_blocks import Best, centroids, matrix, products, size_of
 
 SCALE, EVERY, POSITIVES, NEGATIVES, LOW = 256, 100, 5, 5, 80
 #: Every so manyth id has its label moved on, by one of so many.
@@ -336,10 +336,10 @@ def best_of(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
 def hard_negatives(vectors: DataFrame) -> DataFrame:
     """anchor_id, positive_id, rank from 1, negative_id, positive_score and negative_score."""
     v = usable(vectors)
-    dims = max(1, v.agg(F.max(F.size("v")).alias("d")).first()["d"] or 1)
+    size, dims = size_of(v)
     asks = v.where(F.col("vec_id") % EVERY == 0).groupBy("vec_id").agg(F.min(F.struct("v", "label")).alias("a")).select("vec_id", F.col("a.label").alias("label"), F.col("a.v").alias("v"))
     rows = v.withColumn("asks", F.lit(False)).unionByName(asks.withColumn("asks", F.lit(True)))
-    ordered = rows.mapInArrow(nearest(centroids(v, dims)), "vec_id long, label long, v array<long>, asks boolean, c int").repartitionByRange("c", "vec_id").sortWithinPartitions("c", "vec_id")
+    ordered = rows.mapInArrow(nearest(centroids(v, size, dims)), "vec_id long, label long, v array<long>, asks boolean, c int").repartitionByRange("c", "vec_id").sortWithinPartitions("c", "vec_id")
     parts = written(ordered.mapInArrow(packer(dims), PARTS), "parts")
     numbered = Window.orderBy("part")  # a row a part
     roots = written(parts.where("n > 0").select("part", "dims", "labels", "docs").mapInArrow(rooted, "part long, centre array<double>, radius double, first long, mixed boolean"), "roots")

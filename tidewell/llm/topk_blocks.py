@@ -45,9 +45,21 @@ def integers(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(~bad).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
 
 
-def centroids(v: DataFrame, dims: int, seed: int = 1) -> np.ndarray:
-    """k-means of a bounded sample, the least hashed ids."""
-    rows = [r["v"] for r in v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
+def size_of(v: DataFrame) -> tuple[int, int]:
+    """Rows, and components of the longest vector."""
+    told = v.agg(F.count("*").alias("rows"), F.max(F.size("v")).alias("dims")).first()
+    return told["rows"], max(1, told["dims"] or 1)
+
+
+def sampled(v: DataFrame, rows: int) -> DataFrame:
+    """vec_id, v: about 2 SAMPLE different ones of so many rows, by a hash, before they are ordered. So few rows reach the driver, where an order alone would send SAMPLE rows from each task."""
+    share = min(1.0, 2 * SAMPLE / max(1, rows))
+    return v.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 40)) < int(share * (1 << 40))).select("vec_id", "v").distinct()
+
+
+def centroids(v: DataFrame, rows: int, dims: int, seed: int = 1) -> np.ndarray:
+    """k-means of a bounded sample of the rows, the least hashed ids of it."""
+    rows = [r["v"] for r in sampled(v, rows).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
     x = np.zeros((len(rows), dims))
     for i, r in enumerate(rows):
         x[i, : len(r)] = r
@@ -210,6 +222,11 @@ def sender(dims: int):
     return sent
 
 
+def met(sent: DataFrame, parts: DataFrame) -> DataFrame:
+    """sent with the part that each row names. Both grow with the input, and their files are many times smaller than their rows: by its estimate Spark would broadcast them, through the driver."""
+    return sent.hint("merge").join(parts.hint("merge"), "part")
+
+
 def few_at_once(df: DataFrame, task, schema: str, name: str) -> DataFrame:
     """df.mapInArrow(task), written, with TILES rows of megabytes in an Arrow batch."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -234,12 +251,12 @@ def sent_queries(supers: DataFrame, dims: int) -> DataFrame:
 def top_k(vectors: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank from 1, vec_id and score of the k best of each query."""
     v = integers(vectors)
-    dims = max(1, v.agg(F.max(F.size("v")).alias("d")).first()["d"] or 1)
+    size, dims = size_of(v)
     queries = v.where(F.col("vec_id") % EVERY == 0).groupBy("vec_id").agg(F.min("v").alias("v"))  # of repeated ids the least vector
     rows = v.withColumn("asks", F.lit(False)).unionByName(queries.withColumn("asks", F.lit(True)))
-    ordered = rows.mapInArrow(nearest(centroids(v, dims)), "vec_id long, v array<long>, asks boolean, c int").repartitionByRange("c", "vec_id").sortWithinPartitions("c", "vec_id")
+    ordered = rows.mapInArrow(nearest(centroids(v, size, dims)), "vec_id long, v array<long>, asks boolean, c int").repartitionByRange("c", "vec_id").sortWithinPartitions("c", "vec_id")
     supers = written(ordered.mapInArrow(packer(dims, k), SUPERS), "supers")
-    tiles = sent_queries(supers, dims).join(supers.select("part", "ids", "docs", "dims"), "part")
+    tiles = met(sent_queries(supers, dims), supers.select("part", "ids", "docs", "dims"))
     near = few_at_once(tiles.select("query_ids", "queries", "floors", "ids", "docs", "dims"), tile_search(k), "query_id long, vec_id long, score long", "tiles")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
