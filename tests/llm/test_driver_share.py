@@ -24,7 +24,7 @@ def test_the_sample_does_not_grow_with_tasks(spark, monkeypatch):
     assert tb.sampled(same, 2000).count() <= 1
 
 
-@pytest.mark.parametrize("module, run", [(tb, lambda df: tb.top_k(df))])
+@pytest.mark.parametrize("module, run", [(tb, lambda df: tb.top_k(df)), (bt, lambda df: bt.hard_negatives(df))])
 def test_no_part_is_broadcast(spark, monkeypatch, module, run):
     plans, keep = [], module.few_at_once
 
@@ -34,5 +34,15 @@ def test_no_part_is_broadcast(spark, monkeypatch, module, run):
 
     monkeypatch.setattr(module, "few_at_once", seen)
     run(vectors(spark, 1000, 4)).collect()
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096"
     with_parts = [p for p in plans if "Join" in p and "docs" in p]
     assert [re.search(r"\w+Join", p)[0] for p in with_parts] == ["SortMergeJoin"] * (1 if module is tb else 3)
+
+
+def test_few_large_rows_are_read_at_a_time(spark, tmp_path, monkeypatch):
+    """Rows of megabytes, small in their files, would fill a task by thousands."""
+    sizes, write = [], tb.written
+    monkeypatch.setattr(tb, "written", lambda df, name: sizes.append(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) or write(df, name))
+    spark.range(100).write.parquet(f"{tmp_path}/rows")
+    out = tb.few_at_once(spark.read.parquet(f"{tmp_path}/rows"), lambda batches: batches, "id long", "rows")
+    assert out.count() == 100 and sizes == [str(tb.TILES)]

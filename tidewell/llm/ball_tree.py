@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .topk_blocks import Best, centroids, matrix, products, size_of
+from .topk_blocks import Best, centroids, few_at_once, matrix, met, products, size_of
 
 SCALE, EVERY, POSITIVES, NEGATIVES, LOW = 256, 100, 5, 5, 80
 #: Every so manyth id has its label moved on, by one of so many.
@@ -39,8 +39,6 @@ LEAF, SUPER = 32, 1 << 13
 ROOTS = 2048
 #: Queries in a row that is sent to a part.
 ASKING = 1024
-#: Parts with their queries that a Python task holds at a time.
-TILES = 4
 NONE = np.iinfo(np.int64).min
 
 
@@ -308,24 +306,13 @@ def asked(chunks: DataFrame, parts: DataFrame, roots: DataFrame, dims: int, k: i
     chunks = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks or 0))))
     sent = chunks.join(roots, "block").drop("block")
     sent = few_at_once(sent, sender(dims), "part long, " + CHUNK, f"{name}-sent")
-    tiles = sent.join(parts.select("part", "dims", "ids", "labels", "docs"), "part")
+    tiles = met(sent, parts.select("part", "dims", "ids", "labels", "docs"))
     return few_at_once(tiles, tile_search(k), "anchor_id long, partner long, high long, vec_id long, score long", name)
 
 
-def few_at_once(df: DataFrame, task, schema: str, name: str) -> DataFrame:
-    """df.mapInArrow(task), written, with TILES rows of megabytes in an Arrow batch."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows = conf.get(key)
-    conf.set(key, str(TILES))
-    try:
-        return written(df.mapInArrow(task, schema), name)
-    finally:
-        conf.set(key, rows)
-
-
 def homed(pairs: DataFrame, parts: DataFrame, dims: int) -> DataFrame:
     columns = ["part", "query_ids", "query_labels", "queries", "dims", "ids", "labels", "docs"]
-    return few_at_once(pairs.join(parts.select(*columns), "part"), chunk_of_pairs(dims), CHUNK, "pairs")
+    return few_at_once(met(pairs, parts.select(*columns)), chunk_of_pairs(dims), CHUNK, "pairs")
 
 
 def best_of(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -342,7 +329,7 @@ def hard_negatives(vectors: DataFrame) -> DataFrame:
     ordered = rows.mapInArrow(nearest(centroids(v, size, dims)), "vec_id long, label long, v array<long>, asks boolean, c int").repartitionByRange("c", "vec_id").sortWithinPartitions("c", "vec_id")
     parts = written(ordered.mapInArrow(packer(dims), PARTS), "parts")
     numbered = Window.orderBy("part")  # a row a part
-    roots = written(parts.where("n > 0").select("part", "dims", "labels", "docs").mapInArrow(rooted, "part long, centre array<double>, radius double, first long, mixed boolean"), "roots")
+    roots = few_at_once(parts.where("n > 0").select("part", "dims", "labels", "docs"), rooted, "part long, centre array<double>, radius double, first long, mixed boolean", "roots")
     places = written(roots.select("part").withColumn("block", F.floor((F.row_number().over(numbered) - 1) / ROOTS).cast("int")), "places")
     roots = written(roots.join(places, "part").groupBy("block").agg(F.collect_list(F.struct("part", "centre", "radius", "first", "mixed")).alias("roots")), "blocks")
     none = F.lit(None).cast("array<long>")

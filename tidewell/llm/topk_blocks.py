@@ -228,14 +228,16 @@ def met(sent: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def few_at_once(df: DataFrame, task, schema: str, name: str) -> DataFrame:
-    """df.mapInArrow(task), written, with TILES rows of megabytes in an Arrow batch."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows = conf.get(key)
-    conf.set(key, str(TILES))
+    """df.mapInArrow(task), written, with TILES rows of megabytes in an Arrow batch, and in a batch of the reader of Parquet, which takes 4,096 rows else."""
+    conf, keys = df.sparkSession.conf, ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {key: conf.get(key) for key in keys}
+    for key in keys:
+        conf.set(key, str(TILES))
     try:
         return written(df.mapInArrow(task, schema), name)
     finally:
-        conf.set(key, rows)
+        for key in keys:
+            conf.set(key, before[key])
 
 
 def sent_queries(supers: DataFrame, dims: int) -> DataFrame:
